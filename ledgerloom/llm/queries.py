@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, sharding, simhash, token_orc
+from . import byte_bpe, exact_dedup, line_dedup, packing, pii, quality_rules, sharding, simhash, token_orc, weak_classifier
 from .common import read_documents
 from .tokens import TokenizerSpec
 
@@ -26,6 +26,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_documents(spark, sf_dir), byte_tokenizer())
 
 
+def op2_weak_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read_documents(spark, sf_dir))
+    base = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", "n_words", *base, "base_failed", "kept", "posterior")
+
+
 def op3_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.encode_to_orc(read_documents(spark, sf_dir), word_tokenizer())
 
@@ -35,19 +41,41 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(read_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(read_documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op8_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_documents(spark, sf_dir))
 
 
+def op9_weak_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_classifier.classify(read_documents(spark, sf_dir))
+
+
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_weak_quality_rules": op2_weak_quality_rules,
     "op3_token_orc": op3_token_orc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_pii_surrogates": op6_pii_surrogates,
+    "op7_line_dedup": op7_line_dedup,
     "op8_hypergeometric_sharding": op8_hypergeometric_sharding,
+    "op9_weak_classifier": op9_weak_classifier,
     "op10_simhash_golay": op10_simhash_golay,
 }
 
@@ -61,4 +89,5 @@ ORACLE_SQL = {
                sha256(text) AS text_sha256
         FROM t WINDOW w AS (PARTITION BY text)
     """,
+    "op7_line_dedup": line_dedup.ORACLE_SQL,
 }
