@@ -3,8 +3,9 @@
 Entities are found by one pattern.  A surrogate is of the entity's type and
 keeps its format: letters stay letters of the same script and case, digits
 stay digits, punctuation stays; card numbers keep a valid check digit,
-addresses of machines keep octets in range, mail addresses keep their last
-label, titled names keep title, gender and script.
+addresses of machines keep octets in range, hexadecimal secrets stay
+hexadecimal, mail addresses keep their last label, telephone numbers the first
+digit of a country code, and titled names keep title, gender and script.
 
 Coreference: surrogates belong to canonical entities (case and separators
 removed), so the same entity gets the same surrogate wherever and however it is
@@ -162,7 +163,11 @@ def draw_surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) ->
             body = F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: _pick(SYLLABLES[s], _number(z, i + 2))), "")
             return F.concat(body, _pick(ENDINGS[s, gender], _number(z, F.lit(1))))
 
-        out = F.when(kind == "email", email).when(kind == "card", card)
+        hexed = F.array_join(F.transform(letters, lambda c, i: _pick("0123456789abcdef", _number(z, i))), "")
+        hex_only = (kind == "secret") & canon.rlike(r"\A[0-9a-f]+\z")
+        abroad = (kind == "phone") & (F.length(canon) > 10)  # the first digit of a country code stays
+        phone = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(plain, F.lit(2)))
+        out = F.when(kind == "email", email).when(kind == "card", card).when(hex_only, hexed).when(abroad, phone)
         for s in SYLLABLES:
             for gender in ("male", "female"):
                 out = out.when((kind == gender) & (script == s), name(s, gender))

@@ -32,8 +32,10 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of words
 ROUNDS = 50
-#: Accuracies stay within these bounds: a rule is better than chance and not beyond doubt.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.98
+#: Bounds of the estimates: chance of a bad vote on a bad and on a good document.
+#: Junk is of many kinds and a rule knows one or two, so that it misses most bad documents.
+LEAST_CAUGHT, MOST_CAUGHT = 0.1, 0.4
+LEAST_BLAMED, MOST_BLAMED = 0.0002, 0.05
 
 #: Frequent words of the four languages of the corpus.
 STOP_WORDS = (
@@ -116,10 +118,11 @@ class Rule:
 #: Shares are written as products, so that no rule divides.
 RULES = (
     Rule("symbols", "n_symbols * 10 >= n_words * 3", "n_symbols * 50 <= n_words"),
+    Rule("symbol_share", "n_symbols * 14 >= word_chars", "n_symbols * 100 <= word_chars"),
     Rule("shouting", "n_shouts * 5 >= n_words", "n_shouts * 50 <= n_words"),
     Rule("capitals", "n_upper * 10 >= word_chars * 4", "n_upper * 10 <= word_chars * 2"),
-    Rule("repeated_lines", "n_dup_lines * 10 >= n_lines * 3", "n_dup_lines = 0 AND n_lines >= 3"),
-    Rule("repeated_words", "n_repeat_words * 10 >= n_words", "n_repeat_words = 0 AND n_words >= 50"),
+    Rule("repeated_lines", "n_dup_lines >= 2 AND n_dup_lines * 10 >= n_lines * 4", "n_dup_lines = 0 AND n_lines >= 3"),
+    Rule("repeated_words", "n_repeat_words * 5 > n_words", "n_repeat_words = 0 AND n_words >= 50"),
     Rule("stop_words", "n_stop = 0 AND n_words >= 40", "n_stop >= 3"),
     Rule("word_length", "word_chars >= n_words * 14 OR word_chars <= n_words * 2", "word_chars BETWEEN n_words * 3 AND n_words * 10"),
     Rule("variety", "n_distinct * 5 <= n_words AND n_words <= 5000", "n_distinct * 3 >= n_words"),
@@ -141,35 +144,52 @@ def votes(rules: tuple[Rule, ...] = RULES) -> list[Column]:
 
 @dataclass(frozen=True)
 class WeakModel:
-    """Share of good documents and accuracy of each rule where it votes."""
+    """Share of good documents and, for each rule where it votes, its two accuracies.
+
+    ``caught``: chance of a bad vote on a bad document.  ``blamed``: chance of a
+    bad vote on a good one.  Two numbers, because a rule that knows one kind of
+    junk is nearly always right when it votes bad and says little when it votes good.
+    """
 
     good: float
-    accuracy: tuple[float, ...]
+    caught: tuple[float, ...]
+    blamed: tuple[float, ...]
+
+    def weights(self) -> list[tuple[float, float]]:
+        """Log odds of good that a good and a bad vote of each rule add."""
+        return [(math.log((1 - b) / (1 - a)), math.log(b / a)) for a, b in zip(self.caught, self.blamed)]
 
-    def weights(self) -> list[float]:
-        return [math.log(a / (1 - a)) for a in self.accuracy]
+    def prior(self) -> float:
+        return math.log(self.good / (1 - self.good))
 
-    def log_odds(self, pattern) -> float:
-        return math.log(self.good / (1 - self.good)) + sum(v * w for v, w in zip(pattern, self.weights()))
+    def posterior(self, pattern: tuple[int, ...]) -> float:
+        odds = self.prior() + sum((g if v > 0 else b) for v, (g, b) in zip(pattern, self.weights()) if v)
+        return 1 / (1 + math.exp(-odds))
 
 
 def fit(counts: dict[tuple[int, ...], int], rules: int, rounds: int = ROUNDS) -> WeakModel:
-    """Expectation maximisation over counts of vote patterns, in a fixed order."""
-    items = sorted((p, n) for p, n in counts.items())
+    """Expectation maximisation over counts of vote patterns, in a fixed order.
+
+    The pseudo-counts and bounds keep a bad vote evidence of a bad document.
+    """
+    items = sorted(counts.items())
     total = sum(n for _, n in items)
-    model = WeakModel(0.8, (0.8,) * rules)
+    model = WeakModel(0.8, (0.2,) * rules, (0.005,) * rules)
     for _ in range(rounds if total else 0):
-        good, right, cast = 0.0, [0.0] * rules, [0.0] * rules
+        good = 0.0
+        bad_votes, all_votes = [[0.0, 0.0] for _ in range(rules)], [[0.0, 0.0] for _ in range(rules)]
         for pattern, n in items:
-            p = 1 / (1 + math.exp(-model.log_odds(pattern)))
+            p = model.posterior(pattern)
             good += n * p
             for r, v in enumerate(pattern):
                 if v:
-                    cast[r] += n
-                    right[r] += n * (p if v > 0 else 1 - p)
+                    for k, share in enumerate((1 - p, p)):
+                        all_votes[r][k] += n * share
+                        bad_votes[r][k] += n * share * (v < 0)
         model = WeakModel(
-            min(max((good + 1) / (total + 2), 0.05), 0.95),
-            tuple(min(max((a + 4) / (b + 5), LEAST_ACCURACY), MOST_ACCURACY) for a, b in zip(right, cast)),
+            min(max((good + 4) / (total + 5), 0.05), 0.95),
+            tuple(min(max((x[0] + 1) / (y[0] + 2), LEAST_CAUGHT), MOST_CAUGHT) for x, y in zip(bad_votes, all_votes)),
+            tuple(min(max((x[1] + 0.1) / (y[1] + 5), LEAST_BLAMED), MOST_BLAMED) for x, y in zip(bad_votes, all_votes)),
         )
     return model
 
@@ -181,9 +201,9 @@ def fit_votes(rows: DataFrame, names: list[str]) -> WeakModel:
 
 
 def posterior(model: WeakModel, cast: list[Column]) -> Column:
-    odds = F.lit(math.log(model.good / (1 - model.good)))
-    for vote, weight in zip(cast, model.weights()):
-        odds = odds + vote * F.lit(weight)
+    odds = F.lit(model.prior())
+    for vote, (good, bad) in zip(cast, model.weights()):
+        odds = odds + F.when(vote > 0, F.lit(good)).when(vote < 0, F.lit(bad)).otherwise(F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
