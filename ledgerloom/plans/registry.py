@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import temporal_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in (temporal_queries,):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
