@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def common_length(a: str, b: str) -> int:
@@ -60,7 +61,7 @@ def _column(function):
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else function(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    return F.pandas_udf(run, "double")
+    return F.pandas_udf(run, DoubleType())
 
 
 token_sort_ratio = _column(token_sort)

@@ -87,12 +87,12 @@ def neighbour_bounds(targets: DataFrame, known: DataFrame, target_id: str, day:
     return targets.select(target_id).join(out, target_id, "left")
 
 
-def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_day: str, days: int) -> DataFrame:
-    """All pairs within ``days`` of each other, joined on day buckets."""
+def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_day: str, days: int, by: list[str] | None = None) -> DataFrame:
+    """All pairs within ``days`` of each other and equal in ``by``, joined on day buckets."""
     number = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
     a = left.withColumn("__b", F.explode(F.array(*[number(left_day) + k for k in (-1, 0, 1)])))
     b = right.withColumn("__b", number(right_day))
-    return a.join(b, "__b").filter(F.abs(F.datediff(left_day, right_day)) <= days).drop("__b")
+    return a.join(b, [*(by or []), "__b"]).filter(F.abs(F.datediff(left_day, right_day)) <= days).drop("__b")
 
 
 def greedy_assignment(pairs: DataFrame, group: str, left: str, right: str, order: str, score: str) -> DataFrame:

@@ -14,9 +14,9 @@ D = lambda c: F.col(c).cast("date")
 
 
 def supplier_eras(spark: SparkSession, sf: str, overlap: bool = False) -> DataFrame:
-    """Two closed year windows a supplier, split at 1998; with ``overlap`` those of every tenth supplier share 1997 and 1998."""
+    """Two closed year windows a supplier, split at 1998; with ``overlap`` those of suppliers of nations 0 to 4 share 1997 and 1998."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    clash = (F.col("s_suppkey") % 10 == 0) if overlap else F.lit(False)
+    clash = (F.col("s_nationkey") < 5) if overlap else F.lit(False)
     first = F.struct(F.col("s_nationkey").alias("firm"), F.lit(1990).alias("valid_from"), F.when(clash, 1998).otherwise(1997).alias("valid_to"))
     second = F.struct((F.col("s_nationkey") + 100).alias("firm"), F.when(clash, 1997).otherwise(1998).alias("valid_from"), F.lit(2010).alias("valid_to"))
     return s.select("s_suppkey", F.inline(F.array(first, second)))
@@ -27,7 +27,7 @@ ERAS = """
              UNION ALL
              SELECT s_suppkey, s_nationkey + 100, CASE WHEN {clash} THEN 1997 ELSE 1998 END, 2010 FROM supplier)
 """
-PLAIN, CLASH = ERAS.format(clash="false"), ERAS.format(clash="s_suppkey % 10 = 0")
+PLAIN, CLASH = ERAS.format(clash="false"), ERAS.format(clash="s_nationkey < 5")
 
 
 def shipments(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,8 +49,8 @@ def validity_rollup(spark: SparkSession, sf: str) -> DataFrame:
 def era_resolve(spark: SparkSession, sf: str) -> DataFrame:
     rows = shipments(spark, sf).groupBy("s_suppkey", "year").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumns({"row_id": F.concat_ws("-", "s_suppkey", "year"), "firm": F.lit(-1)})
-    eras = supplier_eras(spark, sf, overlap=True).filter("s_suppkey % 10 <> 2")
-    blocked = table(spark, sf, "supplier").filter("s_suppkey % 10 = 1").select("s_suppkey")
+    eras = supplier_eras(spark, sf, overlap=True).filter("firm % 100 < 15")  # suppliers of other nations have none
+    blocked = table(spark, sf, "supplier").filter("s_nationkey >= 20").select("s_suppkey")
     out = temporal.resolve_by_era(rows, eras, blocked, "s_suppkey", "year", "firm", "row_id")
     return out.select("s_suppkey", "year", "n", "firm")
 
@@ -61,10 +61,11 @@ def overlap_guard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def two_route_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier ids known for even keys only; the others link by nation."""
+    """Suppliers with a balance over 4000 have known ids; the others link by nation."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     rows = shipments(spark, sf).groupBy("s_suppkey", "year").agg(F.count(F.lit(1)).alias("n")).join(s, "s_suppkey")
-    by_id = temporal.era_list(supplier_eras(spark, sf).filter("s_suppkey % 2 = 0 AND valid_to < 2000"), "s_suppkey", "firm")
+    known = table(spark, sf, "supplier").filter("s_acctbal > 4000").select("s_suppkey")
+    by_id = temporal.era_list(supplier_eras(spark, sf).join(known, "s_suppkey").filter("valid_to < 2000"), "s_suppkey", "firm")
     nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("s_nationkey"), (F.col("n_nationkey") + 500).alias("firm"))
     by_name = temporal.era_list(nations.withColumns({"valid_from": F.lit(1996), "valid_to": F.lit(1999)}), "s_nationkey", "firm")
     out = temporal.two_route_link(rows, by_id, by_name, "s_suppkey", "s_nationkey", "year")
@@ -119,9 +120,9 @@ def fiscal_year_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 def half_open_listing(spark: SparkSession, sf: str) -> DataFrame:
     """Orders by the customer's listing window [start, end) on their day, first window first."""
-    c = table(spark, sf, "customer").select("c_custkey")
+    c = table(spark, sf, "customer").filter("c_mktsegment = 'MACHINERY'").select("c_custkey")
     w = lambda p, a, b, x: F.struct(F.lit(p).alias("position"), F.lit(a).cast("date").alias("start"), F.lit(b).cast("date").alias("end"), F.lit(x).alias("exchange"))
-    windows = c.filter("c_custkey % 3 = 0").select(
+    windows = c.select(
         F.col("c_custkey").alias("o_custkey"), F.inline(F.array(w(1, "1996-01-01", "1998-01-01", "NYSE"), w(2, "1997-06-01", "2000-01-01", "NASDAQ"), w(3, "2000-06-01", None, "OTC")))
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", D("o_orderdate").alias("day"))
@@ -132,7 +133,7 @@ def reconcile_outer(spark: SparkSession, sf: str) -> DataFrame:
     """Panel counts against counts of events with a gap on one side: what differs."""
     e = table(spark, sf, "events")
     left = e.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    right = e.filter("event_id % 97 <> 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    right = e.filter("value < 60").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return checks.reconcile(left, right, ["user_id", "event_type"], ["n"])
 
 
@@ -179,12 +180,13 @@ ORACLE_SQL = {
     "era_resolve": f"""
         WITH {CLASH}, {SHIP},
         rows AS (SELECT s_suppkey, year, count(*) AS n FROM ships GROUP BY ALL),
-        used AS (SELECT * FROM eras WHERE s_suppkey % 10 <> 2),
+        used AS (SELECT * FROM eras WHERE firm % 100 < 15),
+        blocked AS (SELECT s_suppkey FROM supplier WHERE s_nationkey >= 20),
         hits AS (SELECT r.*, u.firm, count(*) OVER (PARTITION BY r.s_suppkey, r.year) AS k
                  FROM rows r JOIN used u ON r.s_suppkey = u.s_suppkey AND r.year BETWEEN u.valid_from AND u.valid_to)
-        SELECT s_suppkey, year, n, firm FROM hits WHERE k = 1 AND s_suppkey % 10 <> 1
+        SELECT s_suppkey, year, n, firm FROM hits WHERE k = 1 AND s_suppkey NOT IN (FROM blocked)
         UNION ALL
-        SELECT s_suppkey, year, n, -1 FROM rows WHERE s_suppkey NOT IN (SELECT s_suppkey FROM used) AND s_suppkey % 10 <> 1
+        SELECT s_suppkey, year, n, -1 FROM rows WHERE s_suppkey NOT IN (SELECT s_suppkey FROM used) AND s_suppkey NOT IN (FROM blocked)
     """,
     "overlap_guard": f"""
         WITH {CLASH}
@@ -196,13 +198,13 @@ ORACLE_SQL = {
         WITH {PLAIN}, {SHIP},
         rows AS (SELECT s_suppkey, year, count(*) AS n FROM ships GROUP BY ALL),
         linked AS (
-            SELECT r.*, s.s_nationkey,
-                   CASE WHEN r.s_suppkey % 2 = 0
+            SELECT r.*, s.s_nationkey, s.s_acctbal > 4000 AS known,
+                   CASE WHEN s.s_acctbal > 4000
                         THEN (SELECT min(firm) FROM eras e WHERE e.s_suppkey = r.s_suppkey AND e.valid_to < 2000 AND r.year BETWEEN e.valid_from AND e.valid_to)
                         ELSE CASE WHEN r.year BETWEEN 1996 AND 1999 THEN s.s_nationkey + 500 END END AS link_key
             FROM rows r JOIN supplier s USING (s_suppkey))
         SELECT s_suppkey, year, n, link_key,
-               CASE WHEN link_key IS NULL THEN NULL WHEN s_suppkey % 2 = 0 THEN 'fei_exact' ELSE 'name_normalized' END AS link_source
+               CASE WHEN link_key IS NULL THEN NULL WHEN known THEN 'fei_exact' ELSE 'name_normalized' END AS link_source
         FROM linked
     """,
     "asof_backward_strict": """
@@ -232,7 +234,7 @@ ORACLE_SQL = {
     """,
     "half_open_listing": """
         SELECT o_orderkey,
-               CASE WHEN o_custkey % 3 <> 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) THEN NULL
+               CASE WHEN o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY') THEN NULL
                     WHEN CAST(o_orderdate AS DATE) >= DATE '1996-01-01' AND CAST(o_orderdate AS DATE) < DATE '1998-01-01' THEN 'NYSE'
                     WHEN CAST(o_orderdate AS DATE) >= DATE '1997-06-01' AND CAST(o_orderdate AS DATE) < DATE '2000-01-01' THEN 'NASDAQ'
                     WHEN CAST(o_orderdate AS DATE) >= DATE '2000-06-01' THEN 'OTC' END AS exchange
@@ -240,7 +242,7 @@ ORACLE_SQL = {
     """,
     "reconcile_outer": """
         WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
-        b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 97 <> 0 GROUP BY ALL)
+        b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE value < 60 GROUP BY ALL)
         SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, a.n AS left_n, b.n AS right_n
         FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE a.n IS DISTINCT FROM b.n
     """,

@@ -7,6 +7,7 @@ import zlib
 from html.parser import HTMLParser
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
 
 def _dechunk(body: bytes) -> bytes:
@@ -46,7 +47,7 @@ def record_body(record: bytes | None) -> bytes | None:
     return body
 
 
-@F.udf("binary", useArrow=True)
+@F.udf(BinaryType(), useArrow=True)
 def archive_body(record):
     return record_body(record)
 
@@ -94,7 +95,7 @@ def table_rows(markup: str) -> list[tuple[list[str], str | None]]:
     return parser.rows
 
 
-@F.udtf(returnType="row_no int, cells array<string>, link string")
+@F.udtf(returnType=StructType().add("row_no", IntegerType()).add("cells", ArrayType(StringType())).add("link", StringType()))
 class ListingRows:
     """``SELECT * FROM pages, LATERAL listing_rows(html)`` once registered: a row for each row of a page's tables."""
 
