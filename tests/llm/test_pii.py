@@ -1,0 +1,82 @@
+import re
+
+from ledgerloom.llm import pii
+
+from .conftest import TEXTS, strip
+
+CASES = [
+    (1, "write to ann.lee42@mail3.example.com or Ann.Lee42@Mail3.example.com"),
+    (2, "call +1 (017) 555-7713 or +1 017 555 7713 today"),
+    (3, "hosts 97.51.17.173 and 10.0.0.7, version 2.0. and 4.0."),
+    (4, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and TOKEN = "24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"'),
+    (5, "card 4111 1111 1111 1111, again 4111111111111111###"),
+    (6, "Mr. Smith met Mrs. Jones and Mr. John Smith; г-жа Иванова"),
+    (7, "nothing here, only 12 apples and 3.5 pears in 2024"),
+    (8, None),
+    (9, "ssn 123-45-6789 password = 'hunter22!'"),
+    (10, "two: 4111111111111111 5555555555554444"),
+]
+
+
+def luhn(number):
+    digits = [int(c) for c in number][::-1]
+    return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0
+
+
+def replaced(spark, rows=CASES):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(df).collect()}
+
+
+def test_formats_and_coreference(spark):
+    out = {k: v[0] for k, v in replaced(spark).items()}
+    mails = re.findall(r"[\w.]+@[\w.]+", out[1])
+    assert len(mails) == 2 and mails[0].lower() == mails[1].lower() and mails[0] != mails[1]
+    assert mails[0].endswith(".com") and "ann.lee42" not in out[1].lower()
+    phones = re.findall(r"\+[\d() -]+\d", out[2])
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0]) and re.sub(r"\D", "", phones[0]) == re.sub(r"\D", "", phones[1])
+    assert "555-7713" not in out[2]
+    hosts = re.findall(r"\d+\.\d+\.\d+\.\d+", out[3])
+    assert len(hosts) == 2 and all(0 <= int(o) <= 255 for h in hosts for o in h.split(".")) and "97.51.17.173" not in out[3]
+    assert out[3].endswith("version 2.0. and 4.0.")
+    low, high = re.findall(r'"(\w+)"', out[4])
+    assert re.fullmatch("[0-9a-f]{40}", low) and high == low.upper() and not low.startswith("24be")
+    cards = re.findall(r"\d{4} ?\d{4} ?\d{4} ?\d{4}", out[5])
+    assert cards[0].replace(" ", "") == cards[1] and luhn(cards[1]) and cards[1] != "4111111111111111"
+    names = re.findall(r"(?:Mr|Mrs)\. [A-Z]\w+(?: [A-Z]\w+)?", out[6])
+    assert len(names) == 3 and "Smith" not in out[6] and "Jones" not in out[6]
+    assert names[0].split()[-1] == names[2].split()[-1]
+    assert re.search(r"г-жа [А-Я][а-я]+(?:ова|ина)$", out[6])
+    assert out[7] == CASES[6][1] and out[8] is None
+    assert "123-45-6789" not in out[9] and "hunter22" not in out[9] and re.search(r"\d{3}-\d{2}-\d{4}", out[9])
+    first, second = re.findall(r"\d{16}", out[10])
+    assert first == cards[1] and second != first
+
+
+def test_same_key_same_surrogates(spark):
+    assert replaced(spark) == replaced(spark, list(reversed(CASES)))
+
+
+def test_surrogates_are_distinct_and_no_entity(spark):
+    from pyspark.sql import functions as F
+
+    # Few octet formats: one-digit addresses collide at once and are drawn again.
+    rows = [(i, f"{a}.{b}.{c}.1") for i, (a, b, c) in enumerate((x % 10, x // 10 % 10, x // 100) for x in range(0, 900, 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    entities = pii.stored(pii.mentions(df).select("kind", F.col("entity").alias("canon")).distinct(), "t")
+    out = [(r.canon, r.surrogate) for r in pii.assign_surrogates(entities).collect()]
+    assert len(out) == len(rows)
+    assert len({s for _, s in out}) == len(out)
+    assert not {s for _, s in out} & {c for c, _ in out}
+
+
+def test_edge_tables(spark, docs, clashing, nothing):
+    out = pii.keep_private(docs)
+    assert out.columns == docs.columns and out.count() == len(TEXTS)
+    by_id = {r.doc_id: r.text for r in out.collect()}
+    assert by_id[9] == dict(TEXTS)[9] and by_id[10] == dict(TEXTS)[10] and by_id[1] is None
+    assert pii.keep_private(clashing).columns == clashing.columns
+    assert strip(pii.keep_private(clashing).select("doc_id", "text").collect()) == strip(out.select("doc_id", "text").collect())
+    assert pii.keep_private(nothing).collect() == []
+    surname = re.search(r"Mr\. (\w+) and", by_id[12])[1]
+    assert by_id[12].endswith(surname + " agrees")
