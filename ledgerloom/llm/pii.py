@@ -228,7 +228,7 @@ def _dress(kind: Column, entity: Column, surrogate: Column, key: str) -> Column:
         def at(c: Column, i: Column) -> Column:
             before = F.length(F.regexp_replace(F.array_join(F.slice(chars, 1, i), ""), r"[^\p{L}\p{N}]", ""))
             new = F.substr(surrogate, before + 1, F.lit(1))
-            return F.when(~c.rlike(r"[\p{L}\p{N}]"), c).when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+            return F.when(~c.rlike(r"[\p{L}\p{N}]"), c).when(capitals | c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
 
         return F.array_join(F.transform(chars, at), "")
 
@@ -239,6 +239,7 @@ def _dress(kind: Column, entity: Column, surrogate: Column, key: str) -> Column:
         )
         return F.array_join(cased, "")
 
+    capitals = ~entity.rlike(r"\p{Ll}")  # digits may become letters, whose case is that of the whole
     words = F.split(entity, " ")
     script = F.when(surrogate.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
     given = F.lit("")
