@@ -52,15 +52,23 @@ MONTHS = "January February March April May June July August September October No
 
 
 def text_dates(text: Column) -> Column:
-    """Dates written as 'Month day, year' in a text, in order."""
-    pattern = r"(?i)\b((?:" + "|".join(MONTHS) + r")\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})\b"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    """Dates written as 'Month day, year' or 'm/d/yy(yy)' in a text; those that are no dates are left out."""
+    named = r"(?i)\b((?:" + "|".join(MONTHS) + r")\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})\b"
+    numeric = r"(?<!\d)(\d{1,2}/\d{1,2}/(?:\d{4}|\d{2}))(?!\d)"
 
     def read(match: Column) -> Column:
         clean = F.regexp_replace(F.regexp_replace(match, r"(?<=\d)(?:st|nd|rd|th)", ""), r"[,\s]+", " ")
         return F.try_to_timestamp(F.initcap(clean), F.lit("MMMM d yyyy")).cast("date")
 
-    return F.filter(F.transform(found, read), lambda d: d.isNotNull())
+    def read_numeric(match: Column) -> Column:
+        long = F.try_to_timestamp(match, F.lit("M/d/yyyy"))
+        return F.when(match.rlike(r"/\d{4}$"), long).otherwise(F.try_to_timestamp(match, F.lit("M/d/yy"))).cast("date")
+
+    found = F.concat(
+        F.transform(F.regexp_extract_all(text, F.lit(named), F.lit(1)), read),
+        F.transform(F.regexp_extract_all(text, F.lit(numeric), F.lit(1)), read_numeric),
+    )
+    return F.filter(found, lambda d: d.isNotNull())
 
 
 def nearest_gap(days: Column, target: Column) -> Column:

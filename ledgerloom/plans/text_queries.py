@@ -64,7 +64,7 @@ def widest_span(spark: SparkSession, sf: str) -> DataFrame:
 def letter_types(spark: SparkSession, sf: str) -> DataFrame:
     """Letters made of documents: type, printed dates and id."""
     day = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 700).cast("int"))
-    head = F.when(F.col("lang") == "en", "WARNING LETTER\n").when(F.col("lang") == "fr", "Close-out Letter\n").when(F.col("lang") == "de", "Response Letter\n").otherwise("")
+    head = F.when(F.col("lang") == "en", "WARNING LETTER\n").when(F.col("lang") == "fr", "The agency has completed an evaluation of your firm's corrective actions\n").when(F.col("lang") == "de", "Response Letter\n").otherwise("")
     body = F.concat(head, F.lit("Dated "), F.date_format(day, "MMMM d, yyyy"), F.lit("\nRef "), F.col("doc_id"), F.lit("\n"), F.col("text"))
     d = table(spark, sf, "documents").select("doc_id", body.alias("body"))
     return d.select(
