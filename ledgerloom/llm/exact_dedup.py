@@ -138,5 +138,5 @@ def keep_one(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         {"__key": F.xxhash64(text), "__sha": F.sha2(text, 256), "__id": F.coalesce(docs["doc_id"].cast("long"), least)}
     )
     # Entries are unique in (key, sha, keep_id) and rows to drop meet no partner, so no key is hot.
-    found = rows.join(keep, ["__key", "__sha", "__id"], "left_semi")
+    found = rows.join(keep.hint("merge"), ["__key", "__sha", "__id"], "left_semi")
     return found.dropDuplicates(["__key", "__sha", "__id"]).select(*[f"`{c}`" for c in columns])

@@ -224,5 +224,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = stay.select(F.coalesce("doc_id", least).alias("__id")).distinct()
     rows = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), least), "__text": F.xxhash64(docs["text"].cast("string"))})
-    found = rows.join(stay, "__id", "left_semi")
+    found = rows.join(stay.hint("merge"), "__id", "left_semi")
     return found.dropDuplicates(["__id", "__text"]).select(*[f"`{c}`" for c in columns])
