@@ -119,3 +119,33 @@ def joined(values: Column, separator: str = "; ") -> Column:
     """Non-null elements joined; nothing to join gives NULL."""
     present = F.filter(values, lambda v: v.isNotNull())
     return F.when(F.size(present) > 0, F.array_join(present, separator))
+
+
+def page_id(url: Column) -> Column:
+    """The page number 'ucmNNN' in an address, else the address."""
+    found = F.regexp_extract(url, r"ucm\d+", 0)
+    return F.when(found != "", found).otherwise(url)
+
+
+def case_in_url(url: Column) -> Column:
+    """struct(case_id, dated) of an address that ends in '-<case>-<MMDDYYYY>'."""
+    pattern = r"-(\d{5,7})-(\d{8})/?$"
+    dated = F.try_to_timestamp(F.regexp_extract(url, pattern, 2), F.lit("MMddyyyy")).cast("date")
+    return F.struct(F.nullif(F.regexp_extract(url, pattern, 1), F.lit("")).alias("case_id"), dated.alias("dated"))
+
+
+def partition_tag(url: Column) -> Column:
+    """'YYYYqN__part' of a bulk partition's address, so that equal part names of different quarters stay apart."""
+    quarter = F.regexp_extract(url, r"/(\d{4}q\d)/", 1)
+    part = F.regexp_extract(url, r"(\d{4}-of-\d{4})", 1)
+    return F.concat_ws("__", quarter, part)
+
+
+def mentions_place(text: Column, name: Column, code: Column, aliases: Column) -> Column:
+    """Whether a text names a state (in full, or its code before a ZIP code) or any alias of a country."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}0-9]+", " "), F.lit(" "))
+    full = F.contains(F.lower(padded), F.lower(F.concat(F.lit(" "), name, F.lit(" "))))
+    zips = F.transform(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2})\b\.?\s+\d{5}"), F.lit(1)), lambda c: c)
+    coded = F.array_contains(zips, code)
+    abroad = F.exists(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: F.contains(F.lower(text), F.lower(a)))
+    return F.coalesce(full, F.lit(False)) | F.coalesce(coded, F.lit(False)) | abroad

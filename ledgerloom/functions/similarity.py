@@ -47,11 +47,11 @@ def token_set(a: str, b: str) -> float:
 
 
 def score_names(a: str, b: str) -> float:
-    """100 for equal names only; word order and extra words count less than 100."""
+    """Token-sorted similarity; where a name contains the other or they begin alike, up to 99 by their shared words."""
     if a == b:
         return 100.0
     left, right = a.split(), b.split()
-    score = min(99.0, token_sort(a, b))
+    score = token_sort(a, b)
     if left and right and (left[0] == right[0] or set(left) <= set(right) or set(right) <= set(left)):
         score = max(score, min(99.0, token_set(a, b)))
     return score
