@@ -61,7 +61,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     rows = docs.withColumn("__hash", F.xxhash64(docs["text"].cast("string")))
     same = rows["doc_id"].cast("long").eqNullSafe(cover["__id"]) & (rows["__hash"] == cover["__th"])
-    joined = rows.join(cover, same, "left").withColumn("__ls", F.explode(F.array(_lines(F.coalesce(rows["text"].cast("string"), F.lit(""))))))
+    # Texts meet their lists by sorting at every size; the lists grow with the input and are not broadcast.
+    joined = rows.join(cover.hint("merge"), same, "left").withColumn("__ls", F.explode(F.array(_lines(F.coalesce(rows["text"].cast("string"), F.lit(""))))))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__ls") - 1), F.coalesce("__lines", F.array().cast("array<int>")))
     text = F.array_join(F.transform(stay, lambda i: F.get("__ls", i)), "\n")
     changed = F.when(F.col("__lines").isNotNull(), text).otherwise(rows["text"].cast("string"))
