@@ -275,7 +275,8 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     rows = docs.withColumn("__hash", F.xxhash64(docs["text"].cast("string")))
     text = rows["text"].cast("string")
     same = rows["doc_id"].cast("long").eqNullSafe(lists["__id"]) & (rows["__hash"] == lists["__th"])
-    joined = rows.join(lists, same, "left")
+    # Texts meet their lists by sorting at every size; the lists grow with the input and are not broadcast.
+    joined = rows.join(lists.hint("merge"), same, "left")
     gaps = F.split(text, ANY, -1)
     rebuilt = F.array_join(F.transform(F.arrays_zip(gaps.alias("gap"), F.col("__new").alias("new")), lambda x: F.concat(x["gap"], F.coalesce(x["new"], F.lit("")))), "")
     changed = F.when(F.col("__new").isNull(), text).otherwise(rebuilt).alias("text")
