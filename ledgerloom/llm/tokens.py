@@ -12,13 +12,13 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units that a worker remembers; beyond, it forgets all of them (results do not depend on it).
+#: Units that a worker remembers; beyond, it forgets the later half (results do not depend on it).
 CACHE_UNITS = 700_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 4_000_000
@@ -46,9 +46,6 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(spec.path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spec.spaced
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}  # unit: its number
         self.pool = np.zeros(1 << 16, np.int32)  # ids of all units
         self.bounds = np.zeros(1 << 14, np.int64)  # unit n has pool[bounds[n]:bounds[n + 1]]
@@ -76,10 +73,11 @@ class Encoder:
 
     def _numbers(self, units: list[str]) -> np.ndarray:
         known = self.known
-        new = [u for u in units if u not in known]
+        new = list(dict.fromkeys(u for u in units if u not in known))  # numbers go without gaps
         if new and len(known) + len(new) > CACHE_UNITS:
-            self.forget()
-            known, new = self.known, units
+            # Frequent units are met first, so the first half stays.
+            known = self.known = dict(islice(known.items(), CACHE_UNITS // 2))
+            new = list(dict.fromkeys(u for u in units if u not in known))
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
         return np.fromiter(map(known.__getitem__, units), np.int64, len(units))

@@ -42,6 +42,15 @@ def test_cache_limit_changes_nothing(monkeypatch):
         assert list(ids) == whole(text)
 
 
+def test_a_unit_at_the_start_and_within():
+    """The same unit may come from the start of one text and the middle of another."""
+    encoder = Encoder(TokenizerSpec(P.path("byte_bpe_50k.json"), True))
+    whole = library("byte_bpe_50k.json")
+    for texts in (["\nlead x", "a\nlead", "last"], ["new words", "last", "\nlead"], ["more of them last"]):
+        offsets, ids = encoder.encode(pa.array(texts))
+        assert [list(ids[a:b]) for a, b in zip(offsets, offsets[1:])] == [whole(t) for t in texts]
+
+
 def test_orc_round_trip(spark, docs, clashing, nothing):
     spec = TokenizerSpec(P.path("word_bpe_49k.json"), spaced=False)
     whole = library("word_bpe_49k.json")
