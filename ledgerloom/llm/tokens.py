@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units that a worker remembers; beyond, it forgets the later half (results do not depend on it).
-CACHE_UNITS = 700_000
+CACHE_UNITS = 600_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 4_000_000
 #: White space of any kind before a blank or line feed.
