@@ -45,8 +45,6 @@ PATTERNS: dict[str, str] = {
     "female": rf"(?<!\p{{L}}){TITLES_F}\.? {NAME}(?: {NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A quick look for texts that can hold an entity at all.
-HINT = rf"@|\d{{3}}|\d\.\d|[0-9A-Fa-f]{{32}}|(?i:token|secret|password|api_?key)|{TITLES_M}\.? \p{{Lu}}|{TITLES_F}\.? \p{{Lu}}"
 #: Alphabets by script; a letter is drawn from its own.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
@@ -90,7 +88,7 @@ def canonical(kind: Column, entity: Column) -> Column:
 
 def mentions(docs: DataFrame) -> DataFrame:
     """doc_id, th, pos, entity, kind, canon of every match in every text, in the order of the text."""
-    rows = documents(docs).filter(F.col("text").rlike(HINT))
+    rows = documents(docs).filter(F.col("text").rlike(ANY))
     found = rows.select(
         "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity")
     )
