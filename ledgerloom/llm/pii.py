@@ -11,7 +11,9 @@ Coreference: surrogates belong to canonical entities (case and separators
 removed), so the same entity gets the same surrogate wherever and however it is
 written.  Distinctness: the surrogates of all canonical entities are compared;
 one that two entities share, or that is itself an entity of the corpus, is
-drawn again for all but the least of them, until none collides.
+drawn again for all but the least of them, until none collides.  Surnames and
+given names of titled names are entities each, so two people get one name only
+where they have one.
 
 Only entities move between machines, and only the rows of texts that hold any.
 
@@ -66,6 +68,8 @@ GIVEN = {
     ("cyrillic", "male"): "Антон Борис Виктор Глеб Денис Иван Карл Лев Марк Олег Павел Роман".split(),
     ("cyrillic", "female"): "Анна Белла Вера Галина Дина Елена Зоя Инна Лидия Мария Нина Ольга".split(),
 }
+#: Given names are entities of their own kinds.
+GIVEN_KIND = {"male": "male given", "female": "female given"}
 #: Draws before an entity whose format has no room left gets a name made of its hash.
 MOST_DRAWS = 24
 KEY = "ledgerloom"
@@ -79,13 +83,24 @@ def _first_type(entity: Column) -> Column:
     return out
 
 
+def _part(word: Column) -> Column:
+    """The canonical form of a surname or given name."""
+    return F.lower(F.translate(word, "’", "'"))
+
+
 def canonical(kind: Column, entity: Column) -> Column:
     """What coreferent mentions share."""
-    surname = F.lower(F.element_at(F.split(entity, " "), -1))
+    surname = _part(F.element_at(F.split(entity, " "), -1))
     bare = F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
     return F.when(kind.isin("male", "female"), surname).when(kind.isin("email", "value"), F.lower(entity)).otherwise(bare)
 
 
+def given_name(kind: Column, entity: Column) -> Column:
+    """The canonical given name of a titled name, null where it has none."""
+    words = F.split(entity, " ")
+    return F.when(kind.isin("male", "female") & (F.size(words) > 2), _part(F.get(words, 1)))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """doc_id, th, pos, entity, kind, canon of every match in every text, in the order of the text."""
     rows = documents(docs).filter(F.col("text").rlike(ANY))
@@ -168,7 +183,11 @@ def draw_surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) ->
         out = F.when(kind == "email", email).when(kind == "card", card).when(hex_only, hexed).when(abroad, phone)
         for s in SYLLABLES:
             for gender in ("male", "female"):
+                # The names known by heart serve for the first draw; those that collide or are real are made of syllables.
+                first = _pick(GIVEN[s, gender], _number(z, F.lit(0)))
+                given = F.when(draw == 0, F.lower(first)).otherwise(name(s, gender))
                 out = out.when((kind == gender) & (script == s), name(s, gender))
+                out = out.when((kind == GIVEN_KIND[gender]) & (script == s), given)
         return out.otherwise(plain)
 
     return F.get(F.transform(F.array(noise), drawn), 0)
@@ -218,8 +237,8 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError("surrogates still collide")
 
 
-def _dress(kind: Column, entity: Column, surrogate: Column, key: str) -> Column:
-    """The surrogate in the format of the mention."""
+def _dress(kind: Column, entity: Column, surrogate: Column, given: Column) -> Column:
+    """The surrogate in the format of the mention; ``given`` is that of its given name, null without one."""
 
     def spread(chars: Column) -> Column:
         # Letters and digits take the surrogate's characters in turn; the rest stays.
@@ -239,12 +258,7 @@ def _dress(kind: Column, entity: Column, surrogate: Column, key: str) -> Column:
 
     capitals = ~entity.rlike(r"\p{Ll}")  # digits may become letters, whose case is that of the whole
     words = F.split(entity, " ")
-    script = F.when(surrogate.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
-    given = F.lit("")
-    for (s, gender), names in GIVEN.items():
-        n = F.pmod(F.xxhash64(F.lit(key), F.lower(F.get(words, 1))), F.lit(len(names))).cast("int")
-        given = F.when((kind == gender) & (script == s), F.get(F.lit(names), n)).otherwise(given)
-    name = F.concat_ws(" ", F.get(words, 0), F.when(F.size(words) > 2, given), F.initcap(surrogate))
+    name = F.concat_ws(" ", F.get(words, 0), F.initcap(given), F.initcap(surrogate))
     chars = F.split(entity, "")
     return (
         F.when(kind.isin("male", "female"), name)
@@ -260,13 +274,25 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     columns = docs.columns
     # The canonical form of an address keeps its dots, since its octets are what is drawn.
     found = mentions(docs).withColumn("canon", F.when(F.col("kind") == "ip", F.col("entity")).otherwise(F.col("canon")))
-    found = stored(found, "pii-mentions")
-    entities = stored(found.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")), "pii-entities")
+    given_kind = F.concat("kind", F.lit(" given"))
+    found = found.withColumn("given", given_name(F.col("kind"), F.col("entity")))
+    found = stored(found.withColumn("given_kind", F.when(F.col("given").isNotNull(), given_kind)), "pii-mentions")
+    titled = found.filter("given IS NOT NULL")
+    named = found.select("kind", "canon").unionByName(titled.select(F.col("given_kind").alias("kind"), F.col("given").alias("canon")))
+    entities = stored(named.groupBy("kind", "canon").agg(F.count(F.lit(1)).alias("n")), "pii-entities")
     chosen = stored(
         assign_surrogates(entities.select("kind", "canon"), key).join(entities, ["kind", "canon"]), "pii-chosen"
     )
-    placed = keyed_join(found, chosen, ["kind", "canon"], "n", found.count())
-    dressed = placed.select("doc_id", "th", "pos", _dress(F.col("kind"), F.col("entity"), F.col("surrogate"), key).alias("new"))
+    total = found.count()
+    placed = keyed_join(found, chosen, ["kind", "canon"], "n", total).drop("n")
+    placed = stored(placed, "pii-placed")
+    of_given = chosen.select(F.col("kind").alias("given_kind"), F.col("canon").alias("given"), F.col("surrogate").alias("given_surrogate"), "n")
+    full = keyed_join(placed.filter("given IS NOT NULL"), of_given, ["given_kind", "given"], "n", total).drop("n")
+    bare = placed.filter("given IS NULL").withColumn("given_surrogate", F.lit(None).cast("string"))
+    placed = bare.unionByName(full.select(*bare.columns))
+    dressed = placed.select(
+        "doc_id", "th", "pos", _dress(F.col("kind"), F.col("entity"), F.col("surrogate"), F.col("given_surrogate")).alias("new")
+    )
     # Rows that repeat id and text find the same entities: one list serves them all.
     lists = dressed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "new"))).alias("news"))
     lists = stored(lists, "pii-lists").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("news.new").alias("__new"))

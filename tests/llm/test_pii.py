@@ -104,3 +104,15 @@ def test_every_pattern_is_found_without_other_signs(spark):
     out = replaced(spark, rows)
     for i, (kind, e) in enumerate(cases):
         assert out[i][1] == 1 and e not in out[i][0], (kind, e, out[i])
+
+
+def test_people_of_one_surname_stay_apart(spark):
+    given = sorted({a + b for a in ("Jo", "Ja", "Pa", "Ma", "Ro") for b in ("hn", "mes", "ul", "rk", "bert", "nas")} | {"Hugo", "Leo", "Max"})
+    rows = [(i, f"Mr. {g} Smith met Mr. {g} Jones") for i, g in enumerate(given)] + [(99, "Mr. Smith met Herr John Smith")]
+    out = replaced(spark, rows)
+    pairs = [re.fullmatch(r"Mr\. (\w+) (\w+) met Mr\. (\w+) (\w+)", out[i][0]).groups() for i in range(len(given))]
+    assert len({p[:2] for p in pairs}) == len(given) and len({p[1] for p in pairs}) == 1
+    assert len({p[2:] for p in pairs}) == len(given) and pairs[0][1] != pairs[0][3]
+    assert not {g.lower() for p in pairs for g in (p[0], p[2])} & {g.lower() for g in given}
+    surname = pairs[0][1]
+    assert out[99][0] == f"Mr. {surname} met Herr {pairs[given.index('John')][0]} {surname}"
