@@ -33,16 +33,18 @@ from .common import documents, keyed_join, stored
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 TITLES_M = r"(?:Mr|Herr|Monsieur|Señor|Sr|Господин|г-н)"
 TITLES_F = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа)"
-NAME = r"\p{Lu}[\p{Ll}'’-]+"
+NAME = r"\p{Lu}(?:\p{Ll}|\p{Lu}(?=\p{Ll})|['’-](?=\p{L})\p{Lu}?)+"
+#: What names a secret, up to the value or its quote; the value may stand without quotes, but a titled name is no value.
+NAMED = r"(?i:token|secret|password|api[_ -]?key)[\"']?[ ]{0,2}[=:][ ]{0,2}"
 PATTERNS: dict[str, str] = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,6}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])(?<=[A-Z0-9 ]{15,40})",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![0-9A-Za-z])",
-    "value": r"(?<=(?i:token|secret|password|api_key|apikey)[ ]{0,2}[=:][ ]{0,2}[\"'])[^\"'\s]{6,}(?=[\"'])",
+    "value": rf"(?<=[=: \"'])(?<={NAMED}[\"']?)(?:(?<=[\"'])[^\"'\s]{{6,}}(?=[\"'])|(?<![\"'])(?!(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}})[^\"'\s]{{5,}}[^\"'\s.,;:)\]}}>])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
-    "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19})(?!\d)",
+    "phone": r"\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{1,4}){1,4}[ .-]?\d{2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)",
     "male": rf"(?<!\p{{L}}){TITLES_M}\.? {NAME}(?: {NAME})?",
     "female": rf"(?<!\p{{L}}){TITLES_F}\.? {NAME}(?: {NAME})?",
 }

@@ -116,3 +116,31 @@ def test_people_of_one_surname_stay_apart(spark):
     assert not {g.lower() for p in pairs for g in (p[0], p[2])} & {g.lower() for g in given}
     surname = pairs[0][1]
     assert out[99][0] == f"Mr. {surname} met Herr {pairs[given.index('John')][0]} {surname}"
+
+
+#: Common forms: a text with {} for what must go, and what goes.
+FORMS = [
+    ("Mr. {} came", "O'Brien"), ("Mr. {} came", "O’Brien"), ("Mr. {} came", "McDonald"), ("Mr. {} came", "MacDonald"), ("Mrs. {} came", "Smith-Jones"),
+    ("Herr {} kam", "Jean-Luc D'Angelo"), ("г-н {} тут", "Римский-Корсаков"), ("call {} today", "+33 6 12 34 56 78"), ("call {} today", "+33 (0)6 12 34 56 78"),
+    ("call {} 5 times", "+55 11 9 1234 5678"), ("card {} ok", "3782 822463 10005"), ("card {} ok", "3056 930902 5904"), ('{{"password": "{}"}}', "hunter22!"),
+    ("{{'api_key': '{}'}}", "hunter22!"), ("PASSWORD={}", "hunter22!"), ("password: {}, then", "correcthorse"), ("API-Key: {}.", "abc123def"), ('"token": {}, 1', "1234567"),
+    ('password = "{}" x', "1234567890123abc"), ("PASSWORD={}", "1234567890123abc"),
+]
+#: Texts that hold nothing, or no more than is named.
+NOT_FORMS = ["+1 2 3 4 apples", "token: two words", 'token = "ab cd efgh ijk"', "1234 123456 123 x", "password = 'a'"]
+
+
+def test_common_forms_are_replaced_whole(spark):
+    rows = [(i, t.format(e)) for i, (t, e) in enumerate(FORMS)] + [(1000 + i, t) for i, t in enumerate(NOT_FORMS)]
+    found = {r.doc_id: r.entity for r in pii.mentions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (t, e) in enumerate(FORMS):
+        assert found[i] == e or found[i].split(" ", 1)[-1] == e, (t, e, found[i])
+    assert not [t for i, t in enumerate(NOT_FORMS) if 1000 + i in found]
+    out = replaced(spark, rows)
+    for i, (t, e) in enumerate(FORMS):
+        assert out[i][1] == 1 and not any(p in out[i][0] for p in re.split(r"[ '’-]", e) if len(p) > 3), (t, e, out[i])
+    assert [out[1000 + i][0] for i in range(len(NOT_FORMS))] == NOT_FORMS
+    amex = next(i for i, f in enumerate(FORMS) if f[1].startswith("3782"))
+    card = re.fullmatch(r"card (\d{4} \d{6} \d{5}) ok", out[amex][0])[1]
+    assert luhn(card.replace(" ", ""))
+    assert out[0][0].split()[1] == out[1][0].split()[1]
