@@ -154,20 +154,53 @@ def first_hit(rows: DataFrame, elements: str, index: DataFrame, name: str, key:
 def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cutoff: float = 90.0) -> DataFrame:
     """The most similar right name of each left name, by token-sorted similarity, if it reaches the cutoff.
 
-    Candidates share a token or the first three characters of the sorted name
-    and have lengths that allow the cutoff; the least name wins ties.
+    Candidates have lengths that allow the cutoff and share a piece, which no
+    pair at the cutoff escapes: ``k - 1`` letters at most are dropped or added
+    between a left name of length ``la`` and a match, so of its ``k`` pieces
+    one stands whole in the match.  The first piece ``i`` with no more than
+    ``i`` edits up to its end has none itself, ``i`` at most before it and
+    ``k - 1 - i`` at most after it, which bounds its place.  Under a cutoff of
+    two thirds pieces may be empty and tell nothing, so all names are scored.
+    The least name wins ties.
     """
 
-    def blocked(df: DataFrame, column: str) -> DataFrame:
-        words = F.array_sort(F.filter(F.split(F.col(column), " "), lambda w: w != ""))
-        sorted_name = F.array_join(words, " ")
-        blocks = F.array_union(F.filter(words, lambda w: F.length(w) >= 3), F.array(F.concat(F.lit("^"), F.substring(sorted_name, 1, 3))))
-        return df.select(column).distinct().withColumn("__len", F.length(sorted_name)).withColumn("__block", F.explode(blocks))
-
-    a = blocked(left, name).withColumnRenamed("__len", "__la")
-    b = blocked(right, right_name).withColumnRenamed("__len", "__lb")
-    band = (F.col("__la") * (200 - cutoff) >= F.col("__lb") * cutoff) & (F.col("__lb") * (200 - cutoff) >= F.col("__la") * cutoff)
-    pairs = a.join(b, "__block").filter(band).select(name, right_name).distinct()
+    def by_tokens(df: DataFrame, column: str) -> DataFrame:
+        # The white space that the similarity splits at.
+        words = F.filter(F.split(F.col(column), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+        sorted_name = F.array_join(F.array_sort(words), " ")
+        return df.select(column).distinct().withColumn("__s", sorted_name).withColumn("__n", F.length("__s"))
+
+    def whole(c: Column) -> Column:
+        return F.floor(c + 1e-6).cast("int")  # rounding may add candidates, never lose one
+
+    def n_pieces(la: Column) -> Column:
+        return whole(la * ((200 - 2 * cutoff) / cutoff)) + 1
+
+    def start(la: Column, i: Column) -> Column:
+        return F.floor(i * la / n_pieces(la)).cast("int")
+
+    def key(la: Column, i: Column, at: Column) -> Column:
+        return F.struct(la.alias("la"), i.alias("i"), F.substr("__s", at + 1, start(la, i + 1) - start(la, i)).alias("piece"))
+
+    def places(lb: Column, la: Column, i: Column) -> Column:
+        """Where in a name of length lb the i-th piece of a name of length la can be."""
+        apart, after, edits = lb - la, n_pieces(la) - 1 - i, (la + lb) * (1 - cutoff / 100)
+        low = F.greatest(-i, apart - after, -whole((edits - apart) / 2), -start(la, i))
+        high = F.least(i, apart + after, whole((edits + apart) / 2), lb - start(la, i + 1))
+        return F.when(low <= high, F.transform(F.sequence(low, high), lambda x: start(la, i) + x)).otherwise(F.array().cast("array<int>"))
+
+    def numbers(la: Column) -> Column:
+        return F.sequence(F.lit(0), n_pieces(la) - 1)
+
+    if 3 * cutoff <= 200:
+        pairs = left.select(name).filter(F.col(name).isNotNull()).distinct().crossJoin(right.select(right_name).filter(F.col(right_name).isNotNull()).distinct())
+    else:
+        n = F.col("__n")
+        a = by_tokens(left, name).withColumn("__key", F.explode(F.transform(numbers(n), lambda i: key(n, i, start(n, i)))))
+        lengths = F.sequence(-whole(-n * (cutoff / (200 - cutoff))), whole(n * ((200 - cutoff) / cutoff)))
+        met = F.flatten(F.transform(lengths, lambda la: F.flatten(F.transform(numbers(la), lambda i: F.transform(places(n, la, i), lambda at: key(la, i, at))))))
+        b = by_tokens(right, right_name).withColumn("__key", F.explode(F.array_distinct(met)))
+        pairs = a.select(name, "__key").join(b.select(right_name, "__key"), "__key").select(name, right_name).distinct()
     scored = pairs.withColumn("similarity", token_sort_ratio(F.col(name), F.col(right_name))).filter(F.col("similarity") >= cutoff)
     order = Window.partitionBy(name).orderBy(F.desc("similarity"), right_name)
     return scored.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")

@@ -107,6 +107,35 @@ def test_backfill(spark):
     }
 
 
+def test_fuzzy_is_the_best_over_all_names(spark):
+    from ledgerloom.functions.similarity import token_sort
+
+    rng = random.Random(5)
+    base = ["MEDTRONICS", "BIOSCIENCES", "MEDTRONIC SOFAMOR", "GREEN PLANET", "ESTAR TECHNOLOGIES", "ABBOTT POINT OF CARE", "X", "", "AÉRO\u00a0NAUTIQUE\tSA"]
+    a = base + ["".join(rng.choice("ABC ") for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    b = ["MDTRONICS", "BOSCIENCES", "MDTRONIC SOFAMORE"]
+    for name in base[:6]:
+        # An error at every position: a letter dropped, added, or changed.
+        b += [name[:i] + x + name[j:] for i in range(len(name)) for x, j in (("", i + 1), ("Q", i), ("Q", i + 1))]
+    for name in a[7:]:
+        for _ in range(8):
+            w = list(name)
+            for _ in range(rng.randint(0, 4)):
+                w.insert(rng.randint(0, len(w)), rng.choice("ABCQ ")) if rng.random() < 0.5 or not w else w.pop(rng.randrange(len(w)))
+            b.append("".join(w))
+    left, right = (spark.createDataFrame([(x,) for x in [*xs, None]], f"{n} string") for xs, n in ((a, "a"), (b, "b")))
+    for cutoff in (90.0, 81.5, 60.0):
+        want = {}
+        for x in set(a):
+            scores = [(-token_sort(x, y), y) for y in set(b)]
+            if -min(scores)[0] >= cutoff:
+                want[x] = min(scores)[1]
+        assert {r.a: r.b for r in linkage.fuzzy_top1(left, right, "a", "b", cutoff).collect()} == want
+    # One by one, so that no better name hides a loss.
+    for x, y in (("MEDTRONICS", "MDTRONICS"), ("BIOSCIENCES", "BOSCIENCES"), ("MEDTRONIC SOFAMOR", "MDTRONIC SOFAMORE")):
+        assert linkage.fuzzy_top1(left.filter(left.a == x), right.filter(right.b == y), "a", "b").count() == 1
+
+
 def test_fuzzy_loses_no_match(spark):
     from ledgerloom.functions.similarity import token_sort
 
