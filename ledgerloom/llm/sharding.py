@@ -53,16 +53,30 @@ def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric; past the generator's limit of 10**9 the draw is split in two halves."""
+    """Hypergeometric; past the generator's limit of 10**9 by inversion of the same law."""
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
     if good < 10**9 and bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    mean = n * good / (good + bad)
-    var = mean * (bad / (good + bad)) * (good + bad - n) / max(1, good + bad - 1)
-    return int(min(max(round(rng.normal(mean, var**0.5)), n - bad, 0), good, n))
+    return _invert(rng, good, bad, n)
+
+
+def _invert(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Hypergeometric by its distribution around the mode, from the ratios of neighbours.
+
+    What lies more than twelve deviations and fifty away has less weight than
+    the last bit of a random double.
+    """
+    total = good + bad
+    mode = (good + 1) * (n + 1) // (total + 2)
+    reach = 50 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    k = np.arange(max(0, n - bad, mode - reach), min(good, n, mode + reach) + 1, dtype=np.float64)
+    at = k[:-1]
+    logs = np.concatenate([[0.0], np.cumsum(np.log((good - at) / (bad - n + at + 1) * ((n - at) / (at + 1))))])
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return int(k[min(np.searchsorted(upto, rng.random() * upto[-1], side="right"), len(k) - 1)])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, sources: int = SOURCES) -> DataFrame:

@@ -59,3 +59,20 @@ def test_shuffle_is_about_uniform(spark):
     assert ((by_shard - expected) ** 2 / expected).sum() < 168 + 5 * (2 * 168) ** 0.5
     order = np.corrcoef([r.doc_id for r in rows], [r.slot for r in rows])[0, 1]
     assert abs(order) < 0.06
+
+
+def test_draws_past_the_generators_limit_follow_the_law():
+    from math import comb
+
+    rng = np.random.default_rng(3)
+    draws = Counter(sharding._draw(rng, 10**9, 49 * 10**9, 10) for _ in range(20_000))
+    for k in range(4):  # so large an urn that draws are as good as independent
+        assert abs(draws[k] / 20_000 - comb(10, k) * 0.02**k * 0.98 ** (10 - k)) < 0.015
+    small = Counter(sharding._invert(rng, 5, 7, 6) for _ in range(20_000))
+    for k in range(7):
+        assert abs(small[k] / 20_000 - comb(5, k) * comb(7, 6 - k) / comb(12, 6)) < 0.02
+    large = [sharding._draw(rng, 2 * 10**9, 46 * 10**9, 47 * 10**6) for _ in range(4000)]
+    mean, var = 47e6 / 24, 47e6 / 24 * 23 / 24 * (1 - 47 / 48_000)
+    assert abs(np.mean(large) - mean) < 5 * (var / 4000) ** 0.5 and abs(np.var(large) / var - 1) < 0.12
+    wide = sharding._draw(rng, 5 * 10**9, 5 * 10**9, 9_999_999_999)
+    assert wide in (5 * 10**9 - 1, 5 * 10**9)
