@@ -211,7 +211,7 @@ def pack_documents(docs: DataFrame, spec: TokenizerSpec, end_id: int = END_ID, c
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     encoded = encode_pieces(docs, spec, end_id, capacity)
     thin = encoded.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(docs.sparkSession, 1500):
         thin = stored(thin, "pieces")
     return pack(thin, capacity).select(
         "doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset"

@@ -61,7 +61,7 @@ def write_token_orc(docs: DataFrame, path: str, spec: TokenizerSpec, end_id: int
         "orc.bloom.filter.fpp": BLOOM_FPP,
         "compression": "zstd",
     }
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(docs.sparkSession, 1500):
         writer.options(**options).orc(path)
 
 

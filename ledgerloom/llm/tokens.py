@@ -6,13 +6,19 @@ not met are encoded, and the ids of all texts are gathered with NumPy.  A cut
 is made only where the tokenizer's own pre-tokenization always ends a match,
 so that the ids are those of the whole text; a text without that property (a
 blank or line feed after other white space) is encoded in one piece.
+
+Units are encoded many at a time, as one string in which a control character
+between blanks divides them; the library ends a match at that character too.
+Where a file lower-cases, the letters A to Z are lower-cased before units are
+looked up and marks after letters are units of their own, so that fewer units
+are distinct.
 """
 
 from __future__ import annotations
 
 import os
 from dataclasses import dataclass
-from itertools import chain, islice
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +27,24 @@ import pyarrow.compute as pc
 #: Units that a worker remembers; beyond, it forgets the later half (results do not depend on it).
 CACHE_UNITS = 600_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 5_000_000
+#: Units that are encoded as one string.
+JOINED_UNITS = 400
+#: Divides units; a unit that holds it is encoded by itself.
+DIVIDER = "\x01"
+#: A mark between a letter and a blank: where white space is dropped, a match ends before it.
+MARK = r"([a-zß-öø-ÿа-я])([.,;:!?]) "
 #: White space of any kind before a blank or line feed.
 IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
 
 
 @dataclass(frozen=True)
 class TokenizerSpec:
-    """A tokenizer file.  ``spaced``: a blank belongs to the word after it (byte-level files); else white space is dropped."""
+    """A tokenizer file.
+
+    ``spaced``: a blank belongs to the word after it (byte-level files); else
+    white space is dropped and letters are lower-cased.
+    """
 
     path: str
     spaced: bool
@@ -46,6 +62,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(spec.path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spec.spaced
+        self.divider = " " + DIVIDER + ("" if spec.spaced else " ")
+        self.divider_ids = self._ids([self.divider])[0]
         self.known: dict[str, int] = {}  # unit: its number
         self.pool = np.zeros(1 << 16, np.int32)  # ids of all units
         self.bounds = np.zeros(1 << 14, np.int64)  # unit n has pool[bounds[n]:bounds[n + 1]]
@@ -59,28 +77,59 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of units that follow white space and hold no divider."""
+        texts = [self.divider.join(units[at : at + JOINED_UNITS]) for at in range(0, len(units), JOINED_UNITS)]
+        coded = self._ids(texts)
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
+        ids = np.fromiter(chain.from_iterable(coded), np.int32, ends[-1])
+        width = len(self.divider_ids)
+        found = np.flatnonzero(ids == self.divider_ids[-1])  # no other text has this id
+        stops = np.sort(np.concatenate([found - (width - 1), ends]))
+        starts = np.sort(np.concatenate([found + 1, [0], ends[:-1]]))
+        if len(stops) != len(units):
+            raise RuntimeError("a unit was not divided")
+        mask = np.ones(len(ids), bool)
+        for back in range(width):
+            mask[found - back] = False
+        return ids[mask], stops - starts
+
+    def _apart(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of units, each encoded by itself."""
+        coded = self._ids(units)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.int32, sizes.sum()), sizes
+
     def _learn(self, units: list[str]) -> None:
-        ids = self._ids(units)
+        """Number ``units``, none of them known; those that may be joined go first."""
+        begin = (" ", "\n") if self.spaced else ""
+        joint = [u for u in units if u.startswith(begin) and DIVIDER not in u]
+        apart = [u for u in units if not u.startswith(begin) or DIVIDER in u]
+        parts = [f(u) for f, u in ((self._joined, joint), (self._apart, apart)) if u]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
         old, new = len(self.known), len(self.known) + len(units)
         if new + 1 > len(self.bounds):
             self.bounds = np.resize(self.bounds, 2 * (new + 1))
-        ends = self.bounds[old] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = self.bounds[old] + np.cumsum(sizes)
         if ends[-1] > len(self.pool):
             self.pool = np.resize(self.pool, 2 * ends[-1])
-        self.pool[self.bounds[old] : ends[-1]] = np.fromiter(chain.from_iterable(ids), np.int32)
+        self.pool[self.bounds[old] : ends[-1]] = ids
         self.bounds[old + 1 : new + 1] = ends
-        self.known.update(zip(units, range(old, new)))
+        self.known.update(zip(chain(joint, apart), range(old, new)))
 
     def _numbers(self, units: list[str]) -> np.ndarray:
-        known = self.known
-        new = list(dict.fromkeys(u for u in units if u not in known))  # numbers go without gaps
-        if new and len(known) + len(new) > CACHE_UNITS:
+        out = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        new = list(dict.fromkeys(units[i] for i in np.flatnonzero(out < 0)))
+        if len(self.known) + len(new) > CACHE_UNITS and self.known and new:
             # Frequent units are met first, so the first half stays.
-            known = self.known = dict(islice(known.items(), CACHE_UNITS // 2))
-            new = list(dict.fromkeys(u for u in units if u not in known))
+            self.known = dict(islice(self.known.items(), CACHE_UNITS // 2))  # numbers go without gaps
+            out = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+            new = list(dict.fromkeys(units[i] for i in np.flatnonzero(out < 0)))
         for at in range(0, len(new), 20_000):
             self._learn(new[at : at + 20_000])
-        return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        missed = np.flatnonzero(out < 0)
+        out[missed] = [self.known[units[i]] for i in missed]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
@@ -93,7 +142,11 @@ class Encoder:
             whole = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
         cut = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts) if whole.any() else texts
         # Units begin with their white space: a line feed stays, the blank that split_pattern eats is put back.
-        lists = pc.split_pattern(pc.replace_substring(cut, "\n", " \n" if self.spaced else " "), " ")
+        flat = pc.replace_substring(cut, "\n", " \n" if self.spaced else " ")
+        if not self.spaced:
+            flat = pc.ascii_lower(flat)  # a fresh array: on a slice this function returns other bytes
+            flat = pc.replace_substring_regex(flat, MARK, r"\1 \2 ")
+        lists = pc.split_pattern(flat, " ")
         coded = lists.flatten().dictionary_encode()
         at = lists.offsets.to_numpy()
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
