@@ -58,14 +58,14 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again.
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet (with the writer's ``options``) to the shared folder and read it again.
 
     This cuts the lineage and survives the loss of executors.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -134,48 +134,62 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        n = len(texts)
-        if not n:
+        if not len(texts):
             return np.zeros(1, np.int64), np.zeros(0, np.int32)
-        whole = np.zeros(n, bool)
-        if self.spaced:
-            whole = pc.match_substring_regex(texts, IRREGULAR).to_numpy(zero_copy_only=False)
-        cut = pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts) if whole.any() else texts
-        # Units begin with their white space: a line feed stays, the blank that split_pattern eats is put back.
-        flat = pc.replace_substring(cut, "\n", " \n" if self.spaced else " ")
-        if not self.spaced:
-            flat = pc.ascii_lower(flat)  # a fresh array: on a slice this function returns other bytes
-            flat = pc.replace_substring_regex(flat, MARK, r"\1 \2 ")
-        lists = pc.split_pattern(flat, " ")
-        coded = lists.flatten().dictionary_encode()
-        at = lists.offsets.to_numpy()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        values = coded.dictionary
-        count = len(values)
-        if self.spaced:
-            first = at[:-1]
-            text = pa.large_string()
-            spaced = pc.binary_join_element_wise(pa.scalar(" ", text), values, pa.scalar("", text))
-            blank = pc.if_else(pc.starts_with(values, "\n"), values, spaced)
-            bare, place = np.unique(index[first], return_inverse=True)
-            index[first] = count + place
-            units = blank.to_pylist() + values.take(pa.array(bare)).to_pylist()
-        else:
-            units = values.to_pylist()
+        units, index, at, whole = cut(texts, self.spaced)
         number = self._numbers(units)
         begin = self.bounds[number]
-        size = self.bounds[number + 1] - begin
-        lengths = size[index]
-        ends = np.cumsum(lengths)
-        ids = self.pool[np.repeat(begin[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        offsets = np.concatenate(([0], ends))[at]
-        if not whole.any():
+        offsets, ids = laid_out(self.pool, begin, self.bounds[number + 1] - begin, index, at)
+        if not len(whole):
             return offsets, ids
-        pieces: list = [ids[offsets[i] : offsets[i + 1]] for i in range(n)]
-        odd = np.flatnonzero(whole)
-        for i, own in zip(odd, self._ids(texts.take(pa.array(odd)).to_pylist())):
-            pieces[i] = np.array(own, np.int32)
-        return np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), np.concatenate(pieces)
+        return spliced(offsets, ids, whole, self._ids(texts.take(pa.array(whole)).to_pylist()))
+
+
+def cut(texts: pa.Array, spaced: bool) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(units, index, at, whole) of texts without nulls.
+
+    Text i has the units index[at[i]:at[i + 1]], but for the texts ``whole``, which have to stay in one piece.
+    """
+    whole = np.zeros(0, np.int64)
+    if spaced:
+        odd = pc.match_substring_regex(texts, IRREGULAR)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        if len(whole):
+            texts = pc.if_else(odd, pa.scalar("", pa.large_string()), texts)
+    # Units begin with their white space: a line feed stays, the blank that split_pattern eats is put back.
+    flat = pc.replace_substring(texts, "\n", " \n" if spaced else " ")
+    if not spaced:
+        flat = pc.ascii_lower(flat)  # a fresh array: on a slice this function returns other bytes
+        flat = pc.replace_substring_regex(flat, MARK, r"\1 \2 ")
+    lists = pc.split_pattern(flat, " ")
+    coded = lists.flatten().dictionary_encode()
+    at = lists.offsets.to_numpy()
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    values = coded.dictionary
+    if not spaced:
+        return values.to_pylist(), index, at, whole
+    count, first, text = len(values), at[:-1], pa.large_string()
+    led = pc.binary_join_element_wise(pa.scalar(" ", text), values, pa.scalar("", text))
+    blank = pc.if_else(pc.starts_with(values, "\n"), values, led)
+    bare, place = np.unique(index[first], return_inverse=True)
+    index[first] = count + place
+    return blank.to_pylist() + values.take(pa.array(bare)).to_pylist(), index, at, whole
+
+
+def laid_out(pool: np.ndarray, begin: np.ndarray, size: np.ndarray, index: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, entries) of texts whose unit ``index[k]`` has the entries pool[begin:begin + size] of that unit."""
+    lengths = size[index]
+    ends = np.cumsum(lengths)
+    entries = pool[np.repeat(begin[index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+    return np.concatenate(([0], ends))[at], entries
+
+
+def spliced(offsets: np.ndarray, entries: np.ndarray, whole: np.ndarray, own: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the entries ``own`` of the texts ``whole``, which have none yet or no valid ones."""
+    pieces: list = [entries[a:b] for a, b in zip(offsets, offsets[1:])]
+    for i, ids in zip(whole, own):
+        pieces[i] = np.array(ids, entries.dtype)
+    return np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), np.concatenate(pieces)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
