@@ -5,7 +5,12 @@ pattern (3 ** rules at most, however many documents there are), expectation
 maximisation over these counts estimates each rule's accuracy and the share of
 good documents, and a document's verdict is its posterior probability of being
 good.  No rule rejects alone; only the base conditions of too few words and of
-too much repetition do.
+too much repetition do.  The rules are sensitive, so that clean documents often
+get a bad vote; the model decides whose votes outweigh the others.
+
+Estimates are free but for weak Beta priors worth a vote or two; that "bad" is
+the lesser class with more bad votes is set by the start only.  Rules that
+would nearly always vote alike are one rule.
 
 Features need one pass over the text and are written to the shared folder.
 
@@ -32,10 +37,10 @@ WINDOW = 5
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of words
 ROUNDS = 50
-#: Bounds of the estimates: chance of a bad vote on a bad and on a good document.
-#: Junk is of many kinds and a rule knows one or two, so that it misses most bad documents.
-LEAST_CAUGHT, MOST_CAUGHT = 0.1, 0.4
-LEAST_BLAMED, MOST_BLAMED = 0.0002, 0.05
+#: Start of the estimates: share of good documents, chance of a bad vote on a bad and on a good document.
+START = (0.85, 0.3, 0.02)
+#: Priors as votes: (bad, all) for a vote on a bad and on a good document, (good, all) for documents.
+CAUGHT_PRIOR, BLAMED_PRIOR, GOOD_PRIOR = (1, 2), (0.1, 2), (4, 5)
 
 #: Frequent words of the four languages of the corpus.
 STOP_WORDS = (
@@ -115,17 +120,17 @@ class Rule:
     good: str
 
 
-#: Shares are written as products, so that no rule divides.
+#: Shares are written as products, so that no rule divides.  Variety is a power, which holds for texts of any length.
 RULES = (
-    Rule("symbols", "n_symbols * 10 >= n_words * 3", "n_symbols * 50 <= n_words"),
-    Rule("symbol_share", "n_symbols * 14 >= word_chars", "n_symbols * 100 <= word_chars"),
+    Rule("symbols", "n_symbols * 14 >= word_chars OR n_symbols * 10 >= n_words * 3", "n_symbols * 50 <= n_words"),
     Rule("shouting", "n_shouts * 5 >= n_words", "n_shouts * 50 <= n_words"),
     Rule("capitals", "n_upper * 10 >= word_chars * 4", "n_upper * 10 <= word_chars * 2"),
-    Rule("repeated_lines", "n_dup_lines >= 2 AND n_dup_lines * 10 >= n_lines * 4", "n_dup_lines = 0 AND n_lines >= 3"),
-    Rule("repeated_words", "n_repeat_words * 5 > n_words", "n_repeat_words = 0 AND n_words >= 50"),
-    Rule("stop_words", "n_stop = 0 AND n_words >= 40", "n_stop >= 3"),
-    Rule("word_length", "word_chars >= n_words * 14 OR word_chars <= n_words * 2", "word_chars BETWEEN n_words * 3 AND n_words * 10"),
-    Rule("variety", "n_distinct * 5 <= n_words AND n_words <= 5000", "n_distinct * 3 >= n_words"),
+    Rule("repeated_lines", "n_dup_lines >= 1 AND n_dup_lines * 5 >= n_lines", "n_dup_lines = 0 AND n_lines >= 3"),
+    Rule("repeated_words", "n_repeat_words * 10 > n_words", "n_repeat_words = 0 AND n_words >= 50"),
+    Rule("stop_words", "n_stop <= 1 AND n_words >= 20", "n_stop >= 5"),
+    Rule("word_length", "word_chars >= n_words * 7 OR word_chars * 10 <= n_words * 42", "word_chars * 10 BETWEEN n_words * 45 AND n_words * 60"),
+    Rule("variety", "n_words >= 20 AND n_distinct <= power(n_words, 0.88)", "n_words >= 20 AND n_distinct >= power(n_words, 0.93)"),
+    Rule("length", "n_words < 40", "n_words >= 80"),
 )
 
 
@@ -164,17 +169,14 @@ class WeakModel:
 
     def posterior(self, pattern: tuple[int, ...]) -> float:
         odds = self.prior() + sum((g if v > 0 else b) for v, (g, b) in zip(pattern, self.weights()) if v)
-        return 1 / (1 + math.exp(-odds))
+        return 1 / (1 + math.exp(min(-odds, 700)))
 
 
 def fit(counts: dict[tuple[int, ...], int], rules: int, rounds: int = ROUNDS) -> WeakModel:
-    """Expectation maximisation over counts of vote patterns, in a fixed order.
-
-    The pseudo-counts and bounds keep a bad vote evidence of a bad document.
-    """
+    """Expectation maximisation over counts of vote patterns, in a fixed order."""
     items = sorted(counts.items())
     total = sum(n for _, n in items)
-    model = WeakModel(0.8, (0.2,) * rules, (0.005,) * rules)
+    model = WeakModel(START[0], (START[1],) * rules, (START[2],) * rules)
     for _ in range(rounds if total else 0):
         good = 0.0
         bad_votes, all_votes = [[0.0, 0.0] for _ in range(rules)], [[0.0, 0.0] for _ in range(rules)]
@@ -187,9 +189,9 @@ def fit(counts: dict[tuple[int, ...], int], rules: int, rounds: int = ROUNDS) ->
                         all_votes[r][k] += n * share
                         bad_votes[r][k] += n * share * (v < 0)
         model = WeakModel(
-            min(max((good + 4) / (total + 5), 0.05), 0.95),
-            tuple(min(max((x[0] + 1) / (y[0] + 2), LEAST_CAUGHT), MOST_CAUGHT) for x, y in zip(bad_votes, all_votes)),
-            tuple(min(max((x[1] + 0.1) / (y[1] + 5), LEAST_BLAMED), MOST_BLAMED) for x, y in zip(bad_votes, all_votes)),
+            (good + GOOD_PRIOR[0]) / (total + GOOD_PRIOR[1]),
+            tuple((x[0] + CAUGHT_PRIOR[0]) / (y[0] + CAUGHT_PRIOR[1]) for x, y in zip(bad_votes, all_votes)),
+            tuple((x[1] + BLAMED_PRIOR[0]) / (y[1] + BLAMED_PRIOR[1]) for x, y in zip(bad_votes, all_votes)),
         )
     return model
 
@@ -227,11 +229,14 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with its own columns, without the rejected documents.
 
-    The model is fitted in one pass and applied in a second, so that no text is shuffled.
+    Texts are measured once: they are written with their votes, the model is fitted on the votes, and the rows that
+    it keeps are read again.  No text is shuffled.
     """
     columns = docs.columns
-    names = [r.name for r in rules]
+    names = [f"__vote_{r.name}" for r in rules]
     measured = docs.withColumn(HELD, feature_struct(docs["text"].cast("string")))
-    model = fit_votes(measured.select(*votes(rules)), names)
-    good = ~base_failed() & (posterior(model, votes(rules)) >= 0.5)
-    return measured.filter(good).select(*[f"`{c}`" for c in columns])
+    cast = [v.alias(n) for v, n in zip(votes(rules), names)]
+    rows = stored(measured.select(*[f"`{c}`" for c in columns], base_failed().alias("__base_failed"), *cast), "quality-rows")
+    model = fit_votes(rows, names)
+    good = ~F.col("__base_failed") & (posterior(model, [F.col(n) for n in names]) >= 0.5)
+    return rows.filter(good).select(*[f"`{c}`" for c in columns])

@@ -28,16 +28,16 @@ from .quality_rules import HELD, RULES, Rule, feature_struct, fit_votes, posteri
 #: Documents that the scorer is fitted on, at most.
 TRAIN_ROWS = 8192
 BITS = 14
-STEPS = 150
-RATE = 4.0
-DECAY = 1e-4
+STEPS = 400
+RATE = 8.0
+DECAY = 2e-5
 SEED = 7
 #: Bytes of a text that are hashed at once.
 CHUNK = 1 << 20
 
+#: The quality rules but for that of length, since a short text may be good, and two more.
 LABELLERS = (
-    *RULES,
-    Rule("very_short", "n_words < 5", "n_words >= 20"),
+    *[r for r in RULES if r.name != "length"],
     Rule("dense_symbols", "n_symbols + n_shouts >= n_words", "n_symbols + n_shouts = 0"),
     Rule("long_lines", "n_lines >= 5 AND n_words < n_lines * 2", "n_lines >= 1 AND n_words >= n_lines * 5"),
 )
@@ -94,7 +94,7 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def classify(docs: DataFrame, labellers: tuple[Rule, ...] = LABELLERS, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, posterior (weak label), score and kept (score of one half or more) of every document."""
+    """doc_id, score and kept (score of one half or more) of every document."""
     spark = docs.sparkSession
     names = [r.name for r in labellers]
     base = documents(docs)
