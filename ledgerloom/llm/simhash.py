@@ -73,15 +73,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every document."""
+    """doc_id, th (hash of the text) and fp (the fingerprint's bits as a signed long) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             fps = np.fromiter((fingerprint(shingle_hashes(t.as_py() or b"")) for t in texts), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "fp"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, fp long")
+    return documents(docs).withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, fp long")
 
 
 @cache
@@ -197,8 +198,8 @@ def links(distinct: DataFrame) -> DataFrame:
     return sparse.unionByName(star).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id (least doc_id reachable), component_size, copies."""
+def classified(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), fp, n (rows with that fingerprint), root, component_id and component_size."""
     with arrow_rows(docs.sparkSession, 1000):
         rows = stored(fingerprints(docs), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "fp-classes")
@@ -206,9 +207,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(edges)
     classes = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     groups = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    classes = stored(classes.join(groups, "root").select("fp", "n", "component_id", "component_size"), "fp-components")
-    found = keyed_join(rows, classes, ["fp"], "n", rows.count())
-    return found.select(
+    classes = stored(classes.join(groups, "root").select("fp", "n", "root", "component_id", "component_size"), "fp-components")
+    return keyed_join(rows, classes, ["fp"], "n", rows.count())
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id (least doc_id reachable), component_size, copies."""
+    return classified(docs).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
@@ -218,11 +223,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with its own columns: one document of each component, that with the least doc_id."""
+    """``docs`` with its own columns: one document of each component, that with the least doc_id.
+
+    Where that doc_id has several texts in the component, the one with the least hash of its text stays.
+    """
     columns = docs.columns
     least = F.lit(-(1 << 63))  # stands for a null doc_id
-    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = stay.select(F.coalesce("doc_id", least).alias("__id")).distinct()
-    rows = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), least), "__text": F.xxhash64(docs["text"].cast("string"))})
-    found = rows.join(stay.hint("merge"), "__id", "left_semi")
-    return found.dropDuplicates(["__id", "__text"]).select(*[f"`{c}`" for c in columns])
+    found = classified(docs)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("th").alias("__th"), F.min("doc_id").alias("__at"))
+    stay = stay.select(F.coalesce("__at", least).alias("__id"), "__th").distinct()
+    text = docs["text"].cast("string")
+    rows = docs.withColumns({"__id": F.coalesce(docs["doc_id"].cast("long"), least), "__th": F.xxhash64(text)})
+    kept = rows.join(stay.hint("merge"), ["__id", "__th"], "left_semi")
+    return kept.dropDuplicates(["__id", "__th"]).select(*[f"`{c}`" for c in columns])
