@@ -11,12 +11,20 @@ Coreference: surrogates belong to canonical entities (case and separators
 removed), so the same entity gets the same surrogate wherever and however it is
 written.  Distinctness: the surrogates of all canonical entities are compared;
 one that two entities share, or that is itself an entity of the corpus, is
-drawn again for all but the least of them, until none collides.  Surnames and
+drawn again for all but the least of them, until none collides.  Draws that
+collide again and again widen within the format: longer names, addresses with
+octets of other lengths, longer mail names, numbers and secrets.  Surnames and
 given names of titled names are entities each, so two people get one name only
 where they have one.
 
+The key comes from the caller; the same key gives the same surrogates.
+
 Only entities move between machines, and only the rows of texts that hold any.
 
+Patterns and surrogates take time in proportion to a text's length, also where
+it is one run of letters, digits or labels.  A word of more than 60 letters
+after a title is no name.
+
 Defined cases: a null text stays null; texts without entities stay as they
 are; repeated rows get the same surrogates; other columns are kept; an empty
 table stays empty.
@@ -24,6 +32,8 @@ table stays empty.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +43,11 @@ from .common import documents, keyed_join, stored
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 TITLES_M = r"(?:Mr|Herr|Monsieur|Señor|Sr|Господин|г-н)"
 TITLES_F = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа)"
-NAME = r"\p{Lu}(?:\p{Ll}|\p{Lu}(?=\p{Ll})|['’-](?=\p{L})\p{Lu}?)+"
+NAME = r"\p{Lu}(?:\p{Ll}|\p{Lu}(?=\p{Ll})|['’-](?=\p{L})\p{Lu}?){1,60}(?!\p{L})"
 #: What names a secret, up to the value or its quote; the value may stand without quotes, but a titled name is no value.
 NAMED = r"(?i:token|secret|password|api[_ -]?key)[\"']?[ ]{0,2}[=:][ ]{0,2}"
 PATTERNS: dict[str, str] = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*(?<=\.[A-Za-z]{2,63})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,6}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])(?<=[A-Z0-9 ]{15,40})",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![0-9A-Za-z])",
     "value": rf"(?<=[=: \"'])(?<={NAMED}[\"']?)(?:(?<=[\"'])[^\"'\s]{{6,}}(?=[\"'])|(?<![\"'])(?!(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}})[^\"'\s]{{5,}}[^\"'\s.,;:)\]}}>])",
@@ -59,10 +69,16 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве да де до ка ке ла ле ло ма ме мо на не но па пе ра ре ро са се та те то".split(),
 }
 ENDINGS = {
-    ("latin", "male"): "rd son ll nt".split(),
-    ("latin", "female"): "rd son ll nt".split(),
-    ("cyrillic", "male"): ["ров", "нов", "лин"],
-    ("cyrillic", "female"): ["рова", "нова", "лина"],
+    "male": "rd son ll nt".split(),
+    "female": "rd son ll nt".split(),
+    "male given": "us o el an".split(),
+    "female given": "a ia ina elle".split(),
+}
+ENDINGS_CYRILLIC = {
+    "male": ["ров", "нов", "лин"],
+    "female": ["рова", "нова", "лина"],
+    "male given": ["ан", "ор", "ис"],
+    "female given": ["ана", "ора", "иса"],
 }
 GIVEN = {
     ("latin", "male"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Max Noel Oscar Paul".split(),
@@ -72,9 +88,10 @@ GIVEN = {
 }
 #: Given names are entities of their own kinds.
 GIVEN_KIND = {"male": "male given", "female": "female given"}
-#: Draws before an entity whose format has no room left gets a name made of its hash.
-MOST_DRAWS = 24
-KEY = "ledgerloom"
+#: Draws after which the next ones are from a wider space of the same format.
+WIDEN = 8
+#: More rounds than widening draws need; beyond, a format of fixed size is exhausted.
+MOST_DRAWS = 200
 
 
 def _first_type(entity: Column) -> Column:
@@ -94,7 +111,13 @@ def canonical(kind: Column, entity: Column) -> Column:
     """What coreferent mentions share."""
     surname = _part(F.element_at(F.split(entity, " "), -1))
     bare = F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
-    return F.when(kind.isin("male", "female"), surname).when(kind.isin("email", "value"), F.lower(entity)).otherwise(bare)
+    return (
+        F.when(kind.isin("male", "female"), surname)
+        .when(kind == "email", F.lower(F.regexp_replace(entity, r"\A[._%+-]+", "")))
+        .when(kind == "value", F.lower(entity))
+        .when(kind == "ip", entity)  # octets are what is drawn
+        .otherwise(bare)
+    )
 
 
 def given_name(kind: Column, entity: Column) -> Column:
@@ -114,17 +137,16 @@ def mentions(docs: DataFrame) -> DataFrame:
 
 
 def _noise(key: str, kind: Column, canon: Column, draw: Column) -> Column:
-    """Hex digits of a keyed hash, enough for the longest canonical text (two a character)."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int")),
+    """Blocks of 64 hex digits of a keyed hash, enough for two digits a character and some more."""
+    return F.transform(
+        F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int") + 1),
         lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string"), b.cast("string")), 256),
     )
-    return F.array_join(blocks, "")
 
 
 def _number(noise: Column, i: Column) -> Column:
     """The i-th byte of the noise."""
-    return F.conv(F.substr(noise, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.substr(F.get(noise, F.floor(i / 32).cast("int")), 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _pick(choices: str | list[str], n: Column) -> Column:
@@ -156,60 +178,71 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(chars, worth), F.lit(0), lambda a, x: a + x)
 
 
-def draw_surrogate(kind: Column, canon: Column, draw: Column, key: str = KEY) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def draw_surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Column:
     """The canonical surrogate of a canonical entity at the given draw."""
-    noise = _noise(key, kind, canon, draw)
+    wider = F.floor(draw / WIDEN).cast("int")
 
     def drawn(z: Column) -> Column:
         letters = F.split(canon, "")
-        plain = F.array_join(F.transform(letters, lambda c, i: _same_class(c, _number(z, i))), "")
-        last_dot = F.length(canon) - F.locate(".", F.reverse(canon)) + 1
-        email = F.array_join(
-            F.transform(letters, lambda c, i: F.when(i + 1 > last_dot, c).otherwise(_same_class(c, _number(z, i)))), ""
-        )
-        luhn = F.concat(
-            F.substr(plain, F.lit(1), F.length(plain) - 1), F.pmod(-_luhn_sum(F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), F.lit("0"))), F.lit(10)).cast("string")
-        )
-        card = F.when(_luhn_sum(canon) % 10 == 0, luhn).otherwise(plain)
+
+        def redrawn(chars: Column) -> Column:
+            return F.array_join(F.transform(chars, lambda c, i: _same_class(c, _number(z, i))), "")
+
+        def more(choices: str) -> Column:
+            """Further characters of draws that widen."""
+            extra = F.transform(F.sequence(F.lit(0), wider), lambda i: F.when(i > 0, _pick(choices, _number(z, F.length(canon) + i))).otherwise(""))
+            return F.array_join(extra, "")
+
+        dot = F.length(canon) - F.locate(".", F.reverse(canon)) + 1  # the last
+        email = F.concat(more(LATIN), redrawn(F.slice(letters, 1, dot - 1)), F.substr(canon, dot))
+
+        def checked(plain: Column) -> Column:
+            head = F.substr(plain, F.lit(1), F.length(plain) - 1)
+            return F.concat(head, F.pmod(-_luhn_sum(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
+
+        number = F.concat(redrawn(letters), more("0123456789"))
+        card = F.when(_luhn_sum(canon) % 10 == 0, let(number, checked)).otherwise(number)
         script = F.when(canon.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic")).otherwise(F.lit("latin"))
 
-        def name(s: str, gender: str) -> Column:
-            count = 2 + F.floor(draw / 8).cast("int")
-            body = F.array_join(F.transform(F.sequence(F.lit(0), count), lambda i: _pick(SYLLABLES[s], _number(z, i + 2))), "")
-            return F.concat(body, _pick(ENDINGS[s, gender], _number(z, F.lit(1))))
+        def name(s: str, role: str) -> Column:
+            body = F.transform(F.sequence(F.lit(0), 2 + wider), lambda i: _pick(SYLLABLES[s], _number(z, i + 2)))
+            endings = ENDINGS_CYRILLIC if s == "cyrillic" else ENDINGS
+            return F.concat(F.array_join(body, ""), _pick(endings[role], _number(z, F.lit(1))))
 
-        hexed = F.array_join(F.transform(letters, lambda c, i: _pick("0123456789abcdef", _number(z, i))), "")
+        hexed = F.substr(F.array_join(z, ""), F.lit(1), F.length(canon) + wider)
         hex_only = (kind == "secret") & canon.rlike(r"\A[0-9a-f]+\z")
         abroad = (kind == "phone") & (F.length(canon) > 10)  # the first digit of a country code stays
-        phone = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(plain, F.lit(2)))
+        phone = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(number, F.lit(2)))
         out = F.when(kind == "email", email).when(kind == "card", card).when(hex_only, hexed).when(abroad, phone)
         for s in SYLLABLES:
-            for gender in ("male", "female"):
+            for gender, given in GIVEN_KIND.items():
                 # The names known by heart serve for the first draw; those that collide or are real are made of syllables.
-                first = _pick(GIVEN[s, gender], _number(z, F.lit(0)))
-                given = F.when(draw == 0, F.lower(first)).otherwise(name(s, gender))
+                first = F.lower(_pick(GIVEN[s, gender], _number(z, F.lit(0))))
                 out = out.when((kind == gender) & (script == s), name(s, gender))
-                out = out.when((kind == GIVEN_KIND[gender]) & (script == s), given)
-        return out.otherwise(plain)
+                out = out.when((kind == given) & (script == s), F.when(draw == 0, first).otherwise(name(s, given)))
+        return out.when(kind.isin("value", "secret"), F.concat(redrawn(letters), more(LATIN))).otherwise(number)
 
-    return F.get(F.transform(F.array(noise), drawn), 0)
+    return let(_noise(key, kind, canon, draw), drawn)
 
 
 def _ip_surrogate(entity: Column, key: str, draw: Column) -> Column:
-    """An address whose octets have as many digits as those of ``entity`` and stay in range."""
-    octets = F.split(entity, r"\.")
-    noise = F.sha2(F.concat_ws("|", F.lit(key), F.lit("ip"), entity, draw.cast("string")), 256)
-    new = F.transform(
-        octets,
-        lambda o, i: F.when(F.length(o) == 3, 100 + _number(noise, i) % 155)
-        .when(F.length(o) == 2, 10 + _number(noise, i) % 90)
-        .otherwise(1 + _number(noise, i) % 9)
-        .cast("string"),
-    )
-    return F.array_join(new, ".")
+    """An address in range whose octets have as many digits as those of ``entity``; draws that widen take any octets."""
+
+    def of_noise(noise: Column) -> Column:
+        def octet(o: Column, i: Column) -> Column:
+            n = _number(noise, i)
+            return F.when(draw >= WIDEN, 1 + n % 254).when(F.length(o) == 3, 100 + n % 155).when(F.length(o) == 2, 10 + n % 90).otherwise(1 + n % 9)
 
+        return F.array_join(F.transform(F.split(entity, r"\."), lambda o, i: octet(o, i).cast("string")), ".")
 
-def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+    return let(_noise(key, F.lit("ip"), entity, draw), of_noise)
+
+
+def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``entities``: stored, unique (kind, canon).  Adds ``surrogate``, distinct within a kind and no entity of it.
 
     Collisions are settled in rounds; each looks at the entities that still collide and at all that are settled.
@@ -219,11 +252,10 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         made = F.when(F.col("kind") == "ip", _ip_surrogate(F.col("canon"), key, F.col("draw"))).otherwise(
             draw_surrogate(F.col("kind"), F.col("canon"), F.col("draw"), key)
         )
-        last = F.sha2(F.concat_ws("|", F.lit(key), "kind", "canon"), 256)
-        return df.withColumn("surrogate", F.when(F.col("draw") < MOST_DRAWS, made).otherwise(last))
+        return df.withColumn("surrogate", made)
 
     now = stored(draw(entities.withColumn("draw", F.lit(0))), "surrogates")
-    for _ in range(MOST_DRAWS + 1):
+    for _ in range(MOST_DRAWS):
         # The least entity of those that share a surrogate keeps it, unless it is a real entity.
         shared = now.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "canon")).alias("owner"), F.count(F.lit(1)).alias("n"))
         real = entities.select("kind", F.col("canon").alias("surrogate"), F.lit(True).alias("real"))
@@ -236,46 +268,52 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         stay = checked.filter(~loses).select("kind", "canon", "draw", "surrogate", *[c for c in entities.columns if c not in ("kind", "canon")])
         again = checked.filter(loses).select(*entities.columns, (F.col("draw") + 1).alias("draw"))
         now = stored(stay.unionByName(draw(again)), "surrogates")
-    raise RuntimeError("surrogates still collide")
+    kinds = sorted(r["kind"] for r in bad.select("kind").distinct().collect())  # as many as there are patterns, at most
+    raise RuntimeError(f"no surrogates of the format are left: {', '.join(kinds)}")
 
 
 def _dress(kind: Column, entity: Column, surrogate: Column, given: Column) -> Column:
     """The surrogate in the format of the mention; ``given`` is that of its given name, null without one."""
 
-    def spread(chars: Column) -> Column:
-        # Letters and digits take the surrogate's characters in turn; the rest stays.
-        def at(c: Column, i: Column) -> Column:
-            before = F.length(F.regexp_replace(F.array_join(F.slice(chars, 1, i), ""), r"[^\p{L}\p{N}]", ""))
-            new = F.substr(surrogate, before + 1, F.lit(1))
-            return F.when(~c.rlike(r"[\p{L}\p{N}]"), c).when(capitals | c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
-
-        return F.array_join(F.transform(chars, at), "")
-
-    def same_length(chars: Column) -> Column:
-        cased = F.transform(
-            chars,
-            lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1))),
-        )
-        return F.array_join(cased, "")
+    def cased(old: Column, new: Column) -> Column:
+        # Digits may become letters, whose case is that of the whole.
+        return F.when(~entity.rlike(r"\p{Ll}") | old.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+
+    def spread(chars: Column, new: Column) -> Column:
+        """Letters and digits take the surrogate's characters in turn, the rest stays; what is left over follows."""
+        places = F.transform(chars, lambda c, i: F.struct(i.alias("at"), c.alias("c")))
+        stay = F.filter(places, lambda x: ~x["c"].rlike(r"[\p{L}\p{N}]"))
+        taken = F.filter(places, lambda x: x["c"].rlike(r"[\p{L}\p{N}]"))
+        fresh = F.transform(F.arrays_zip(taken.alias("old"), new.alias("new")), lambda x: F.struct(F.coalesce(x["old"]["at"], F.size(chars)).alias("at"), cased(F.coalesce(x["old"]["c"], F.lit("")), x["new"]).alias("c")))
+        ends = F.filter(fresh, lambda x: x["at"] == F.size(chars))
+        put = F.array_sort(F.concat(stay, F.filter(fresh, lambda x: x["at"] < F.size(chars))))
+        return F.array_join(F.transform(F.concat(put, ends), lambda x: x["c"]), "")
+
+    def same_place(chars: Column, new: Column) -> Column:
+        """The surrogate's characters in the case of the mention's."""
+        pairs = F.arrays_zip(chars.alias("old"), new.alias("new"))
+        return F.array_join(F.transform(pairs, lambda x: F.when(F.coalesce(x["old"], F.lit("")).rlike(r"\p{Lu}"), F.upper(x["new"])).otherwise(x["new"])), "")
 
-    capitals = ~entity.rlike(r"\p{Ll}")  # digits may become letters, whose case is that of the whole
     words = F.split(entity, " ")
     name = F.concat_ws(" ", F.get(words, 0), F.initcap(given), F.initcap(surrogate))
-    chars = F.split(entity, "")
+    lead = F.regexp_extract(entity, r"\A[._%+-]*", 0)  # of a mail address
+    address = F.substr(entity, F.length(lead) + 1)
+    wider = F.length(surrogate) - F.length(address)
+    mail = F.concat(lead, F.substr(surrogate, F.lit(1), wider), same_place(F.split(address, ""), F.split(F.substr(surrogate, wider + 1), "")))
     return (
         F.when(kind.isin("male", "female"), name)
-        .when(F.length(surrogate) == 64, F.when(F.length(entity) == 64, surrogate).otherwise(F.concat(F.lit("["), kind, F.lit(" "), surrogate, F.lit("]"))))
         .when(kind == "ip", surrogate)
-        .when(kind.isin("email", "value"), same_length(chars))
-        .otherwise(spread(chars))
+        .when(kind == "email", mail)
+        .when(kind == "value", same_place(F.split(entity, ""), F.split(surrogate, "")))
+        .when(entity.rlike(r"\A[\p{Ll}\p{N}]+\z") & entity.rlike(r"\p{Ll}"), surrogate)
+        .otherwise(let(F.split(entity, ""), lambda chars: spread(chars, F.split(surrogate, ""))))
     )
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its own columns and surrogates in ``text``; ``n_entities`` is added under that name."""
     columns = docs.columns
-    # The canonical form of an address keeps its dots, since its octets are what is drawn.
-    found = mentions(docs).withColumn("canon", F.when(F.col("kind") == "ip", F.col("entity")).otherwise(F.col("canon")))
+    found = mentions(docs)
     given_kind = F.concat("kind", F.lit(" given"))
     found = found.withColumn("given", given_name(F.col("kind"), F.col("entity")))
     found = stored(found.withColumn("given_kind", F.when(F.col("given").isNotNull(), given_kind)), "pii-mentions")
@@ -310,7 +348,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     return joined.select(*kept, F.coalesce(F.size("__new"), F.lit(0)).cast("long").alias("n_entities"))
 
 
-def keep_private(docs: DataFrame, key: str = KEY) -> DataFrame:
+def keep_private(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its own columns only, with surrogates in ``text``."""
     out = replace_entities(docs, key)
     return out.select(*[f"`{c}`" for c in docs.columns if c in out.columns])

@@ -25,7 +25,7 @@ def luhn(number):
 
 def replaced(spark, rows=CASES):
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    return {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(df).collect()}
+    return {r.doc_id: (r.text, r.n_entities) for r in pii.replace_entities(df, "a key").collect()}
 
 
 def test_formats_and_coreference(spark):
@@ -64,20 +64,20 @@ def test_surrogates_are_distinct_and_no_entity(spark):
     rows = [(i, f"{a}.{b}.{c}.1") for i, (a, b, c) in enumerate((x % 10, x // 10 % 10, x // 100) for x in range(0, 900, 3))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     entities = pii.stored(pii.mentions(df).select("kind", F.col("entity").alias("canon")).distinct(), "t")
-    out = [(r.canon, r.surrogate) for r in pii.assign_surrogates(entities).collect()]
+    out = [(r.canon, r.surrogate) for r in pii.assign_surrogates(entities, "a key").collect()]
     assert len(out) == len(rows)
     assert len({s for _, s in out}) == len(out)
     assert not {s for _, s in out} & {c for c, _ in out}
 
 
 def test_edge_tables(spark, docs, clashing, nothing):
-    out = pii.keep_private(docs)
+    out = pii.keep_private(docs, "a key")
     assert out.columns == docs.columns and out.count() == len(TEXTS)
     by_id = {r.doc_id: r.text for r in out.collect()}
     assert by_id[9] == dict(TEXTS)[9] and by_id[10] == dict(TEXTS)[10] and by_id[1] is None
-    assert pii.keep_private(clashing).columns == clashing.columns
-    assert strip(pii.keep_private(clashing).select("doc_id", "text").collect()) == strip(out.select("doc_id", "text").collect())
-    assert pii.keep_private(nothing).collect() == []
+    assert pii.keep_private(clashing, "a key").columns == clashing.columns
+    assert strip(pii.keep_private(clashing, "a key").select("doc_id", "text").collect()) == strip(out.select("doc_id", "text").collect())
+    assert pii.keep_private(nothing, "a key").collect() == []
     surname = re.search(r"Mr\. (\w+) and", by_id[12])[1]
     assert by_id[12].endswith(surname + " agrees")
 
@@ -144,3 +144,43 @@ def test_common_forms_are_replaced_whole(spark):
     card = re.fullmatch(r"card (\d{4} \d{6} \d{5}) ok", out[amex][0])[1]
     assert luhn(card.replace(" ", ""))
     assert out[0][0].split()[1] == out[1][0].split()[1]
+
+
+def test_another_key_gives_other_surrogates(spark):
+    df = spark.createDataFrame(CASES, "doc_id long, text string")
+    a, b = ({r.doc_id: r.text for r in pii.replace_entities(df, k).collect()} for k in ("one", "two"))
+    assert all(a[i] != b[i] for i in (1, 2, 4, 5, 6))
+
+
+def test_small_formats_are_widened_and_stay_in_format(spark):
+    """Four fifths of all addresses of one-digit octets: there is no room for so many others of one digit."""
+    rows = [(i, f"{a}.{b}.{c}.{d}") for i, (a, b, c, d) in enumerate((x // 729 + 1, x // 81 % 9 + 1, x // 9 % 9 + 1, x % 9 + 1) for x in range(5200))]
+    out = replaced(spark, rows)
+    new = [out[i][0] for i, _ in rows]
+    assert len(set(new)) == len(rows) and not set(new) & {t for _, t in rows}
+    assert all(re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", t) and all(0 < int(o) < 255 for o in t.split(".")) for t in new)
+
+
+def test_long_runs_take_little_time(spark):
+    import time
+
+    texts = [
+        "q" * 1_000_000,
+        "f00d" * 250_000,
+        "x@b" + ".z" * 30_000 + ".com",
+        "x." * 30_000 + "@b.com",
+        "." * 100_000 + "x@b.com",
+        "Mr. A" + "b" * 100_000,
+        "token: " + "q" * 300_000,
+        "1 " * 100_000,
+        "AB12 " * 50_000,
+        "xoxb-" * 50_000,
+    ]
+    start = time.time()
+    out = replaced(spark, list(enumerate(texts)))
+    assert time.time() - start < 60
+    assert out[0] == (texts[0], 0) and out[5] == (texts[5], 0)
+    assert out[1][1] == 1 and re.fullmatch("[0-9a-f]{1000000}", out[1][0]) and out[1][0][:50] != texts[1][:50]
+    assert out[2][1] == 1 and out[2][0].endswith(".com") and len(out[2][0]) == len(texts[2]) and out[2][0] != texts[2]
+    assert all(out[i][1] == 1 and out[i][0].endswith("@b.com") is False for i in (3, 4))
+    assert out[6][1] == 1 and len(out[6][0]) == len(texts[6])
