@@ -43,9 +43,11 @@ from .common import arrow_rows, documents, stored
 from .tokens import cut, laid_out, slices, spliced
 
 #: Frequent words that every worker knows, at most.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
 #: Text bytes of a block of documents, about; a longer document is a block by itself.
 BLOCK_BYTES = 4_000_000
+#: Blocks that a worker gets at a time.
+BATCH_BLOCKS = 4
 #: Bytes of a word beyond which a heap merges.
 LONG_WORD = 256
 NO_RANK = 0xFFFF
@@ -324,7 +326,8 @@ def word_blocks(docs: DataFrame, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, schema.types)], schema=schema)
 
     made = documents(docs).mapInArrow(run, "doc_ids array<long>, sizes array<int>, numbers binary, words array<string>, counts array<long>")
-    return stored(made, "bpe-blocks", compression="zstd")
+    with arrow_rows(docs.sparkSession, 2500):
+        return stored(made, "bpe-blocks", compression="zstd")
 
 
 def _with_rare(known: Known):
@@ -395,7 +398,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, kept: int = KEPT_WORD
     def rows(offsets: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
-    with arrow_rows(docs.sparkSession, 2500):
+    with arrow_rows(docs.sparkSession, BATCH_BLOCKS):
         return stored(_encoded(docs, ranks_path, pattern, kept, rows, "ids array<int>"), "bpe-ids")
 
 
@@ -416,6 +419,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, kept: int = KEPT_
         decoded = [hashlib.sha256(b"".join(map(pieces.__getitem__, ids[a:b].tolist()))).hexdigest() for a, b in spans]
         return [pa.array(np.diff(offsets)), pa.array(coded), pa.array(decoded)]
 
-    with arrow_rows(docs.sparkSession, 2500):
+    with arrow_rows(docs.sparkSession, BATCH_BLOCKS):
         schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
         return stored(_encoded(docs, ranks_path, pattern, kept, rows, schema), "bpe-digests")

@@ -20,13 +20,15 @@ HOT_SHARE = 1 / 1000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder of this machine is made and set.
+    Only where the session names none and runs on this machine alone (tests) a
+    temporary folder of it is made and set; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", "")
     if not at:
         at = spark.sparkContext.getCheckpointDir() or ""
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
