@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import exact_dedup, packing, pii, quality_rules, simhash
 from ledgerloom.llm.common import read_documents, stored
-from ledgerloom.llm.queries import byte_tokenizer
+from ledgerloom.llm.queries import byte_tokenizer, surrogate_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with surrogates for personal data and secrets."""
-    return pii.keep_private(docs)
+    return pii.keep_private(docs, surrogate_key(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
