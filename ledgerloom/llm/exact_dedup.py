@@ -25,6 +25,7 @@ of them); a null doc_id is smaller than any other.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,9 +35,13 @@ from pyspark.sql import functions as F
 from .common import HOT_SHARE, documents, scratch_path, stored
 
 #: Keys that a bucket holds before it splits.
-CAPACITY = 16_384
+CAPACITY = 8_192
 #: Bits by which keys are counted at once.
 STEP = 12
+#: Leading bits that the literal directory has slots for; deeper buckets are told apart within their slot.
+TOP_BITS = 16
+#: Buckets of one owner task, about, where there are more than shuffle partitions.
+OWNED = 8
 BITS = 64
 
 
@@ -70,23 +75,22 @@ def grow_directory(count: Callable[[int, list[int], int], dict[int, int]], capac
     first depth + bits bits, of the keys whose first depth bits are in ``prefixes``.
     """
     leaves: list[tuple[int, int]] = []
-    overfull, depth = [0], 0
+    overfull, depth, most = [0], 0, capacity << STEP
     while overfull:
-        bits = min(STEP, BITS - depth)
-        counts = count(depth, overfull, bits)
-        waiting = [(depth, p, {k: n for k, n in counts.items() if k >> bits == p}) for p in overfull]
-        if depth:
-            by_prefix: dict[int, dict[int, int]] = {p: {} for p in overfull}
-            for k, n in counts.items():
-                by_prefix[k >> bits][k] = n
-            waiting = [(depth, p, by_prefix[p]) for p in overfull]
-        overfull = []
+        # No more bits at once than the fullest bucket asks for.
+        bits = min(STEP, BITS - depth, max(1, (most // capacity).bit_length()))
+        by_prefix: dict[int, dict[int, int]] = {p: {} for p in overfull}
+        for k, n in count(depth, overfull, bits).items():
+            by_prefix[k >> bits][k] = n
+        waiting = [(depth, p, by_prefix[p]) for p in overfull]
+        overfull, most = [], 0
         while waiting:
             at, prefix, held = waiting.pop()
             if sum(held.values()) <= capacity or at == BITS:
                 leaves.append((at, prefix))
             elif at == depth + bits:
                 overfull.append(prefix)
+                most = max(most, sum(held.values()))
             else:
                 bit = depth + bits - at - 1
                 for half in (2 * prefix, 2 * prefix + 1):
@@ -101,14 +105,22 @@ def _signed(bits: int) -> int:
 
 
 def bucket_of(key: Column, directory: Directory) -> Column:
-    """The bucket by the directory's slot of the key's leading bits."""
-    if directory.doublings <= 20:
-        slots = F.from_json(F.lit(str(directory.slots())), "array<int>")
-        return F.get(slots, leading_bits(key, directory.doublings).cast("int"))
-    # Keys so alike that the directory outgrows a literal: the number of buckets that start at or before the key.
-    low = F.lit(-(1 << 63))
-    starts = F.from_json(F.lit(str([_signed(s) ^ -(1 << 63) for s in directory.starts()])), "array<bigint>")
-    return F.size(F.filter(starts, lambda s: s <= key.bitwiseXOR(low))) - 1
+    """The bucket of a key: its slot of the directory's first bits, and the buckets that start in that slot up to the key."""
+    top = min(directory.doublings, TOP_BITS)
+    starts, table, at = directory.starts(), [], 0
+    for slot in range(1 << top):
+        low, high = slot << (BITS - top), (slot + 1) << (BITS - top)
+        while at + 1 < len(starts) and starts[at + 1] <= low:
+            at += 1
+        first = at
+        while at + 1 < len(starts) and starts[at + 1] < high:
+            at += 1
+        # Numbers compare as signed, so the first bit is turned over.
+        table.append({"first": first, "starts": [_signed(s ^ (1 << (BITS - 1))) for s in starts[first + 1 : at + 1]]})
+    slots = F.from_json(F.lit(json.dumps(table)), "array<struct<first:int,starts:array<bigint>>>")
+    own = F.get(slots, leading_bits(key, top).cast("int"))
+    turned = key.bitwiseXOR(F.lit(-(1 << 63)))
+    return own["first"] + F.size(F.filter(own["starts"], lambda s: s <= turned))
 
 
 @dataclass(frozen=True)
@@ -149,7 +161,7 @@ def build_index(docs: DataFrame, payload: list[str], capacity: int = CAPACITY, k
     hot = rows.groupBy("key", "sha").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(1, int(total * HOT_SHARE)))
     hot = stored(hot, "dedup-hot")  # fewer than 1 / HOT_SHARE rows
     buckets = len(directory.leaves)
-    owners = min(buckets, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    owners = min(buckets, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // OWNED)))
 
     keyed = docs.withColumns({"__key": key(F.col("text")), "__sha": F.sha2("text", 256)})
     is_hot = [F.col("__key") == hot["key"], F.col("__sha") == hot["sha"]]

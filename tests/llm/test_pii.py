@@ -2,6 +2,7 @@ import re
 
 from ledgerloom.llm import pii
 
+from . import plain_pii
 from .conftest import TEXTS, strip
 
 CASES = [
@@ -184,3 +185,27 @@ def test_long_runs_take_little_time(spark):
     assert out[2][1] == 1 and out[2][0].endswith(".com") and len(out[2][0]) == len(texts[2]) and out[2][0] != texts[2]
     assert all(out[i][1] == 1 and out[i][0].endswith("@b.com") is False for i in (3, 4))
     assert out[6][1] == 1 and len(out[6][0]) == len(texts[6])
+
+
+def test_equal_to_plain_python(spark, sf_dir):
+    import random
+
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    made = [
+        lambda: f"{rng.choice(['', '.', '-_'])}{rng.choice(['ann', 'Bob.x', 'c+d'])}{rng.randint(1, 9)}@{rng.choice(['mail', 'B-c', 'x.y'])}.{rng.choice(['com', 'ORG', 'museum.'])}",
+        lambda: f"+{rng.randint(1, 99)} ({digits(2)}) {digits(3)}-{digits(4)}",
+        lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+        lambda: rng.choice(["4111 1111 1111 1111", "4111111111111111"]),
+        lambda: ".".join(str(rng.randint(1, 12)) for _ in range(4)),
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40]))),
+        lambda: f"AKIA{digits(8)}ABCDEFGH",
+        lambda: f"{rng.choice(['token', 'PASSWORD', 'api key'])}{rng.choice(['=', ': '])}{rng.choice(['', chr(34)])}aB{digits(6)}é{rng.choice(['', chr(34)])}",
+        lambda: f"{rng.choice(['Mr.', 'Mrs', 'Herr', 'г-н', 'Госпожа'])} {rng.choice(['John ', 'Paul ', 'Anna ', 'Ёж ', ''])}{rng.choice(['Smith', 'McDonald', 'Jean-Luc', 'Иванов'])}",
+        lambda: f"GB{digits(2)} WEST {digits(4)} {digits(4)} {digits(2)}",
+    ]
+    rows = [(i, rng.choice([" ", ", ", "\n", " -"]).join(rng.choice([*made, lambda: "plain words"])() for _ in range(rng.randint(0, 6)))) for i in range(500)]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(CASES)]
+    rows += [(2000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert replaced(spark, rows) == plain_pii.replace(rows, "a key")
