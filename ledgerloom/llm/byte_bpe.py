@@ -43,7 +43,7 @@ from .common import arrow_rows, documents, stored
 from .tokens import cut, laid_out, slices, spliced
 
 #: Frequent words that every worker knows, at most.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 600_000
 #: Text bytes of a block of documents, about; a longer document is a block by itself.
 BLOCK_BYTES = 4_000_000
 #: Blocks that a worker gets at a time.
@@ -398,8 +398,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, kept: int = KEPT_WORD
     def rows(offsets: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
         return [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
+    coded = _encoded(docs, ranks_path, pattern, kept, rows, "ids array<int>")
     with arrow_rows(docs.sparkSession, BATCH_BLOCKS):
-        return stored(_encoded(docs, ranks_path, pattern, kept, rows, "ids array<int>"), "bpe-ids")
+        return stored(coded, "bpe-ids")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
@@ -419,6 +420,6 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, kept: int = KEPT_
         decoded = [hashlib.sha256(b"".join(map(pieces.__getitem__, ids[a:b].tolist()))).hexdigest() for a, b in spans]
         return [pa.array(np.diff(offsets)), pa.array(coded), pa.array(decoded)]
 
+    coded = _encoded(docs, ranks_path, pattern, kept, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     with arrow_rows(docs.sparkSession, BATCH_BLOCKS):
-        schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-        return stored(_encoded(docs, ranks_path, pattern, kept, rows, schema), "bpe-digests")
+        return stored(coded, "bpe-digests")
