@@ -32,10 +32,12 @@ SLICE_BYTES = 5_000_000
 JOINED_UNITS = 400
 #: Divides units; a unit that holds it is encoded by itself.
 DIVIDER = "\x01"
-#: A mark between a letter and a blank: where white space is dropped, a match ends before it.
+#: A mark between a letter and a blank: a match ends before it.
 MARK = r"([a-zß-öø-ÿа-я])([.,;:!?]) "
+#: Stands before a unit that follows no white space; a text that holds it stays whole.
+CLOSE = "\x02"
 #: White space of any kind before a blank or line feed.
-IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]"
+IRREGULAR = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][ \n]|\x02"
 
 
 @dataclass(frozen=True)
@@ -160,7 +162,7 @@ def cut(texts: pa.Array, spaced: bool) -> tuple[list[str], np.ndarray, np.ndarra
     flat = pc.replace_substring(texts, "\n", " \n" if spaced else " ")
     if not spaced:
         flat = pc.ascii_lower(flat)  # a fresh array: on a slice this function returns other bytes
-        flat = pc.replace_substring_regex(flat, MARK, r"\1 \2 ")
+    flat = pc.replace_substring_regex(flat, MARK, rf"\1 {CLOSE if spaced else ''}\2 ")
     lists = pc.split_pattern(flat, " ")
     coded = lists.flatten().dictionary_encode()
     at = lists.offsets.to_numpy()
@@ -171,6 +173,7 @@ def cut(texts: pa.Array, spaced: bool) -> tuple[list[str], np.ndarray, np.ndarra
     count, first, text = len(values), at[:-1], pa.large_string()
     led = pc.binary_join_element_wise(pa.scalar(" ", text), values, pa.scalar("", text))
     blank = pc.if_else(pc.starts_with(values, "\n"), values, led)
+    blank = pc.if_else(pc.starts_with(values, CLOSE), pc.utf8_slice_codeunits(values, 1), blank)
     bare, place = np.unique(index[first], return_inverse=True)
     index[first] = count + place
     return blank.to_pylist() + values.take(pa.array(bare)).to_pylist(), index, at, whole

@@ -14,7 +14,7 @@ from ledgerloom.llm.tokens import Encoder, TokenizerSpec
 
 from .conftest import TEXTS, strip
 
-ODD = ["", None, "  a  b\n\n c \n d\t e \xa0 f g's  ", " lead", "\nlead", "trail ", "trail\n", "x \n y", "'s 't''s", "\x1c a\x1cb \x85 c", "Σ ΑΣ ΑΣ. ﬁ", " ", "\n", " \n"]
+ODD = ["", None, "a\x02b, c", "Word, next; end. x? y! z: w", "\x01 a \x01b", "  a  b\n\n c \n d\t e \xa0 f g's  ", " lead", "\nlead", "trail ", "trail\n", "x \n y", "'s 't''s", "\x1c a\x1cb \x85 c", "Σ ΑΣ ΑΣ. ﬁ", " ", "\n", " \n"]
 
 
 def library(name):
