@@ -206,9 +206,20 @@ def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cu
     return scored.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
 
 
-def keys_by_like(keys: DataFrame, master: DataFrame, key: str, name: str, probe: str) -> DataFrame:
-    """Keys found by padded equality; those not found, by a name that contains theirs (a small probe list)."""
+def keys_by_like(keys: DataFrame, master: DataFrame, key: str, name: str, probe: str, piece: int = 3) -> DataFrame:
+    """Keys found by padded equality; those not found, by a name that contains their probe, in any case.
+
+    A name that contains a probe contains its first ``piece`` characters: names and probes meet by these, and the
+    containment is verified.  Probes shorter than that meet by all of theirs.
+    """
     equal = keys.join(master, key)
-    missing = keys.join(equal.select(key), key, "left_anti")
-    like = missing.alias("k").join(master.alias("m"), F.contains(F.upper(F.col(f"m.{name}")), F.upper(F.col(f"k.{probe}"))))
+    missing = keys.join(equal.select(key), key, "left_anti").withColumn("__p", F.upper(probe)).filter("__p <> ''")
+    k = missing.withColumn("__piece", F.substring("__p", 1, piece)).alias("k")
+
+    def pieces(text: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+        return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substr(text, i, F.lit(n)) for n in range(1, piece + 1)]))))
+
+    m = master.withColumn("__u", F.upper(name)).withColumn("__piece", F.explode(pieces(F.col("__u")))).alias("m")
+    like = k.join(m, (F.col("k.__piece") == F.col("m.__piece")) & F.contains(F.col("m.__u"), F.col("k.__p")))
     return equal.select(key, probe, name).unionByName(like.select(F.col(f"m.{key}").alias(key), f"k.{probe}", f"m.{name}"))

@@ -12,11 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Forms by meaning.
-REGISTRATION_FORMS = ("S-1", "S-11", "F-1", "10-12B", "10-12G", "20FR12B", "8-A12B", "8-A12G", "424B4", "424B1")
-LISTING_FORMS = ("8-A12B", "10-12B", "20FR12B")
+# Forms by meaning, and the exchanges that count as listed today.
+PERIODIC_FORMS = ("10-K", "10-K405", "10-KSB", "10-KSB40", "10-Q", "10-QSB", "20-F", "40-F", "10-KT")
+LISTING_FORMS = ("8-A12B", "8-A12B/A", "10-12B", "10-12B/A", "8-B12B")
+OFFERING_FORMS = ("S-1", "F-1", "424B4", "424B1")
+OVER_THE_COUNTER_FORMS = ("8-A12G", "10-12G")
 DELISTING_FORMS = ("25", "25-NSE")
-DEREGISTRATION_FORMS = ("15-12B", "15-12G", "15-15D", "15F-12B", "15F-12G")
+DEREGISTRATION_FORMS = ("15-12B", "15-12G", "15-15D", "15F-12B", "15F-12G", "15F-15D")
+EXCHANGES = ("NYSE", "Nasdaq", "CBOE", "NYSE MKT", "NYSE American", "NYSE Arca")
 
 
 @dataclass(frozen=True)
@@ -26,43 +29,97 @@ class ListingRules:
     slack_days: int = 30
     relist_gap: int = 180
     continued_days: int = 365
+    few_registrations: int = 3
+    records_begin: str = "1997-12-31"
+    common_registration: str = "2006-08-01"
 
 
 def _latest(events: Column, forms: tuple[str, ...], day: Column) -> Column:
     return F.array_max(F.transform(F.filter(events, lambda e: e["form"].isin(*forms) & (e["t"] <= day)), lambda e: e["t"]))
 
 
-def exchange_status(events: Column, periodic: Column, day: Column, rules: ListingRules = ListingRules()) -> Column:
-    """YES or OTC by the latest listing and delisting forms."""
-    listed, delisted = _latest(events, LISTING_FORMS, day), _latest(events, DELISTING_FORMS, day)
-    again = F.datediff(listed, delisted) >= rules.relist_gap
-    # A delisting long before filings that still go on was of one security, not of the firm.
-    went_on = F.exists(periodic, lambda p: (p <= day) & (F.datediff(p, delisted) > rules.continued_days))
-    return F.when(delisted.isNull() & listed.isNotNull(), "YES").when(delisted.isNull(), "OTC").when(again | went_on, "YES").otherwise("OTC")
+def exchange_status(events: Column, periodic: Column, day: Column, listed_today: Column, rules: ListingRules = ListingRules()) -> Column:
+    """YES or OTC on a day by the forms of the exchanges.
 
-
-def listing_status(
-    has_record: Column, events: Column, periodic: Column, windows: Column, automatic: Column, day: Column, rules: ListingRules = ListingRules()
+    An issuer that is listed today was listed from its first registration on
+    (or all along, if it is older than the records), but for the time between a
+    delisting and a later listing a good while after it.  One that is not was
+    listed from its latest registration until a delisting after which it went on
+    reporting; without a registration before the day, a delisting after it, with
+    no registration between, tells that an old issuer was listed.
+    """
+    registered = F.transform(F.filter(events, lambda e: e["form"].isin(*LISTING_FORMS)), lambda e: e["t"])
+    delisted = F.transform(F.filter(events, lambda e: e["form"].isin(*DELISTING_FORMS)), lambda e: e["t"])
+    early = F.exists(events, lambda e: e["form"].isin(*OVER_THE_COUNTER_FORMS) & (e["t"] < F.lit(rules.common_registration).cast("date")))
+    first = F.array_min(F.transform(events, lambda e: e["t"]))
+    started = F.exists(registered, lambda r: r <= day) | early | (first <= F.lit(rules.records_begin).cast("date"))
+    apart = F.exists(delisted, lambda d: (d <= day) & F.exists(registered, lambda r: (r > day) & (F.datediff(r, d) >= rules.relist_gap)))
+    now = started & ~((F.size(registered) <= rules.few_registrations) & apart)
+    latest = F.array_max(F.filter(registered, lambda r: r <= day))
+    left = F.exists(delisted, lambda d: (d > latest) & (d <= day) & F.exists(periodic, lambda p: F.datediff(p, d) > rules.continued_days))
+    later = F.exists(delisted, lambda d: (d > day) & ~F.exists(registered, lambda r: (r > day) & (r < d)))
+    old = early | (first <= F.lit(rules.common_registration).cast("date"))
+    once = F.when(latest.isNotNull(), ~left).otherwise(later & old)
+    return F.when(F.when(listed_today, now).otherwise(once), "YES").otherwise("OTC")
+
+
+def listing_verdict(
+    has_record: Column,
+    events: Column,
+    periodic: Column,
+    windows: Column,
+    automatic: Column,
+    exchanges: Column,
+    day: Column,
+    rules: ListingRules = ListingRules(),
 ) -> Column:
-    """UNCLEAR, NO, OTC or YES on a date.  ``windows``: array of (start, end, exchange), half-open; NULL end is open."""
+    """struct(status, evidence, exchange) on a day: UNCLEAR, NO, OTC or YES, why, and where.
+
+    ``windows``: array of (start, end, exchange), half-open; a NULL end is open.  ``exchanges``: those of today, which
+    the automatic rules use where an issuer has no windows.
+    """
     before = F.filter(periodic, lambda p: p <= day)
-    last = F.array_max(before)
-    registered = _latest(events, REGISTRATION_FORMS, day)
-    new = registered.isNotNull() & (F.datediff(day, registered) <= rules.first_days)
-    gone = _latest(events, DEREGISTRATION_FORMS, day)
-    inside = F.exists(windows, lambda w: (w["start"] <= day) & (w["end"].isNull() | (day < w["end"])))
+    last, first = F.array_max(before), F.array_min(periodic)
+    registered = _latest(events, LISTING_FORMS + OFFERING_FORMS, day)
+    new = F.coalesce(F.datediff(day, registered) <= rules.first_days, F.lit(False))
+    ended = F.filter(
+        events,
+        lambda e: e["form"].isin(*DEREGISTRATION_FORMS) & (e["t"] <= day) & (last.isNull() | (F.datediff(last, e["t"]) <= rules.slack_days)),
+    )
+    gone = F.array_min(F.transform(ended, lambda e: e["t"]))
+    inside = F.get(F.filter(windows, lambda w: (w["start"] <= day) & (w["end"].isNull() | (day < w["end"]))), 0)
+    today = F.filter(exchanges, lambda x: x.isin(*EXCHANGES))
+    by_rule = exchange_status(events, periodic, day, F.size(today) > 0, rules)
+    seen = F.when(last.isNotNull(), F.concat(F.lit("last periodic report "), last.cast("string"))).otherwise("IPO registration within the prior 15 months")
+    none = F.lit(None).cast("string")
+
+    def is_(status: str, evidence: Column, exchange: Column = none) -> Column:
+        return F.struct(F.lit(status).alias("status"), evidence.alias("evidence"), exchange.alias("exchange"))
+
+    named = F.size(F.coalesce(windows, F.array().cast("array<struct<start:date,end:date,exchange:string>>"))) > 0
+    somewhere = F.when(F.size(today) > 0, F.array_join(today, ", ")).otherwise("US exchange (not identified)")
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     return (
-        F.when(~has_record, "UNCLEAR")
-        .when(F.coalesce(F.size(periodic), F.lit(0)) == 0, "NO")
-        .when((F.size(before) == 0) & ~new, "NO")
-        .when(gone.isNotNull() & (last.isNull() | (F.datediff(last, gone) <= rules.slack_days)), "NO")
-        .when((last.isNull() | (F.datediff(day, last) > rules.recent_days)) & ~new, "NO")
-        .when(F.coalesce(F.size(windows), F.lit(0)) > 0, F.when(inside, "YES").otherwise("OTC"))
-        .when(automatic, exchange_status(events, periodic, day, rules))
-        .otherwise("OTC")
+        F.when(~has_record, is_("UNCLEAR", F.lit("no SEC record found")))
+        .when(F.coalesce(F.size(periodic), F.lit(0)) <= 0, is_("NO", F.lit("SEC filer but never filed 10-K/10-Q/20-F (e.g., Form D only) - not public")))
+        .when((F.size(before) == 0) & ~new, is_("NO", said("not yet public: first periodic report ", first.cast("string"))))
+        .when(gone.isNotNull(), is_("NO", said("no longer public: deregistered (Form 15) ", gone.cast("string"))))
+        .when((F.datediff(day, last) > rules.recent_days) & ~new, is_("NO", said("no longer public: last periodic report ", last.cast("string"))))
+        .when(named & inside.isNotNull(), is_("YES", said("SEC-reporting at letter date (", seen, "); stock listed on ", inside["exchange"]), inside["exchange"]))
+        .when(named, is_("OTC", said("SEC-reporting at letter date (", seen, "), but the stock was not exchange-listed then (OTC)")))
+        .when(automatic & (by_rule == "YES"), is_("YES", said("SEC-reporting (", seen, "); exchange-listed per EDGAR registration/delisting record"), somewhere))
+        .when(automatic, is_("OTC", said("SEC-reporting (", seen, "), but no evidence of an exchange listing")))
+        .otherwise(is_("OTC", said("SEC-reporting at letter date (", seen, "), but the stock traded OTC, not on a US exchange")))
     )
 
 
+def listing_status(
+    has_record: Column, events: Column, periodic: Column, windows: Column, automatic: Column, exchanges: Column, day: Column, rules: ListingRules = ListingRules()
+) -> Column:
+    """The status of ``listing_verdict`` alone."""
+    return listing_verdict(has_record, events, periodic, windows, automatic, exchanges, day, rules)["status"]
+
+
 def status_label(status: Column, via_parent: Column) -> Column:
     return (
         F.when((status == "YES") & via_parent, "Yes - via parent").when(status == "YES", "Yes").when(status.isin("NO", "OTC"), "No").otherwise("Unclear")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import with_range
+
 QUANTILES = (0.10, 0.25, 0.75, 0.90)
 
 
@@ -76,18 +78,41 @@ def active_years(fundamentals: DataFrame, firm: str = "gvkey", year: str = "fyea
 
 
 def quantile_table(rows: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
-    """n, mean, median, sample SD, min, max and interpolated quantiles."""
-    v = F.col(value)
-    named = {0.10: "p10", 0.25: "p25", 0.75: "p75", 0.90: "p90"}
-    return rows.groupBy(*(groups or [])).agg(
-        F.count(v).alias("n"),
-        F.avg(v).alias("mean"),
-        F.median(v).alias("median"),
-        F.stddev_samp(v).alias("sd"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        *[F.percentile(v, F.lit(q)).alias(n) for q, n in named.items()],
+    """n, mean, median, sample SD, min, max and interpolated quantiles, all exact.
+
+    A group may hold most of the rows: its distinct values are counted, ranges of them are summed up on their own,
+    and the few values at the wanted ranks are picked.
+    """
+    keys = groups or []
+    named = {0.5: "median"} | dict(zip(QUANTILES, ("p10", "p25", "p75", "p90")))
+    key = F.struct(*keys) if keys else F.lit(0)
+    rows = rows.select(*keys, key.alias("__key"), F.col(value).alias("__v"))
+    v = F.col("__v")
+    base = rows.groupBy("__key").agg(
+        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    counted = with_range(rows.filter(v.isNotNull()).groupBy("__key", "__v").agg(F.count(F.lit(1)).alias("__c")), "__v")
+    upto = Window.partitionBy("__key", "__range").orderBy("__v")
+    inside = counted.withColumn("__to", F.sum("__c").over(upto))
+    sums = counted.groupBy("__key", "__range").agg(F.sum("__c").alias("__s"))
+    before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("__key").alias("__k"), F.col("__range").alias("__r"), F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
+    totals = base.select(F.col("__key").alias("__g"), F.col("n").alias("__n"))
+    placed = inside.join(starts, F.col("__key").eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r")))
+    placed = placed.join(totals, F.col("__key").eqNullSafe(F.col("__g")))
+    first, last = F.col("__before") + F.col("__to") - F.col("__c"), F.col("__before") + F.col("__to") - 1
+    at = {q: (F.col("__n") - 1) * F.lit(q) for q in named}
+    holds = lambda rank: (first <= rank) & (rank <= last)
+    picks = [f(F.when(holds(r(at[q])), v)).alias(f"{name}_{side}") for q, name in named.items() for side, r, f in (("lo", F.floor, F.max), ("hi", F.ceil, F.max))]
+    found = placed.groupBy("__key").agg(*picks, F.any_value("__n").alias("__n")).select(
+        F.col("__key").alias("__f"),
+        *[
+            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * (at[q] - F.floor(at[q]))).alias(n)
+            for q, n in named.items()
+        ],
     )
+    out = base.join(found, F.col("__key").eqNullSafe(F.col("__f")), "left")
+    return out.select(*[F.col("__key")[k].alias(k) for k in keys], "n", "mean", "median", "sd", "min", "max", "p10", "p25", "p75", "p90")
 
 
 def share_of_total(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -25,16 +25,36 @@ def first_and_last(rows: DataFrame, keys: list[str], order: list[str], values: l
 def dense_rank_of(rows: DataFrame, value: str, name: str = "rank", groups: list[str] | None = None) -> DataFrame:
     """Dense rank, greatest first, 0 for NULL.
 
-    Without groups the distinct values are ranked, not the rows.
+    Without groups the distinct values are ranked, not the rows: they are counted
+    range by range, and each range is numbered on its own.
     """
     if groups:
         w = Window.partitionBy(*groups).orderBy(F.desc_nulls_last(value))
         return rows.withColumn(name, F.when(F.col(value).isNull(), 0).otherwise(F.dense_rank().over(w)))
-    levels = rows.select(value).filter(F.col(value).isNotNull()).distinct()
-    ranked = levels.withColumn(name, F.row_number().over(Window.orderBy(F.desc(value))))
+    levels = with_range(rows.select(value).filter(F.col(value).isNotNull()).distinct(), value)
+    counts = levels.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__range", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__above"))
+    placed = levels.withColumn("__at", F.row_number().over(Window.partitionBy("__range").orderBy(F.desc(value))))
+    ranked = placed.join(F.broadcast(starts), "__range").select(value, (F.col("__at") + F.col("__above")).cast("int").alias(name))
     return rows.join(ranked, value, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+#: Ranges of values that are sorted on their own, about.
+RANGES = 256
+
+
+def with_range(rows: DataFrame, value: str) -> DataFrame:
+    """Add ``__range``: the number of the value's range, in ascending order.  One range has no more than its share.
+
+    Bounds are RANGES of the distinct values, those with the least hash; they decide how even the ranges are, and
+    nothing else.
+    """
+    some = rows.select(value).filter(F.col(value).isNotNull()).distinct().orderBy(F.xxhash64(value), value).limit(RANGES)
+    bounds = some.agg(F.sort_array(F.collect_list(value)).alias("__bounds"))  # one row
+    return rows.join(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", lambda b: b <= F.col(value)))).drop("__bounds")
+
+
 def copy_number(rows: DataFrame, keys: list[str], order: list[str], name: str = "copy") -> DataFrame:
     """How many rows of the key come before this one."""
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)

@@ -97,28 +97,50 @@ def _interleaved(left: DataFrame, right: DataFrame, by: list[str], on: str, righ
     return mine.unionByName(theirs)
 
 
+def _ordered(ties: list[str]) -> list[str]:
+    return ["__ts", "__side", *[f"__t{i}" for i in range(len(ties))]]
+
+
+def _nearest(both: DataFrame, by: list[str], ties: list[str], forward: bool) -> DataFrame:
+    """``__found``: the last hit up to each row, or the first from it on.
+
+    A key may hold most of the rows, so its rows are split by month and each
+    (key, month) is sorted on its own; a month's last (first) hit is carried
+    over the months of the key in a second, small window.  Rows without a time
+    find nothing.
+    """
+    pieces = both.withColumn("__month", F.trunc(F.col("__ts").cast("date"), "month"))
+    edge = (Window.currentRow, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, Window.currentRow)
+    pick = F.first if forward else F.last
+    within = Window.partitionBy(*by, "__month").orderBy(*_ordered(ties)).rowsBetween(*edge)
+    near = pieces.withColumn("__near", pick("__hit", ignorenulls=True).over(within))
+    order = F.struct(*_ordered(ties))
+    ends = pieces.groupBy(*by, "__month").agg((F.min_by if forward else F.max_by)("__hit", F.when(F.col("__hit").isNotNull(), order)).alias("__end"))
+    beyond = (1, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, -1)
+    carried = ends.withColumn("__far", pick("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__month").rowsBetween(*beyond)))
+    keys = [near[k].eqNullSafe(carried[k]) for k in (*by, "__month")]
+    joined = near.join(carried.select(*by, "__month", "__far"), keys, "left")
+    return joined.select(*[near[c] for c in near.columns if c not in ("__near", "__month")], F.coalesce("__near", "__far").alias("__found"))
+
+
 def asof_backward(
     left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, values: list[str], tolerance_days: int | None = None, ties: tuple[str, ...] = ()
 ) -> DataFrame:
     """Left rows with ``values`` of the latest right row strictly before them (last of equals by ``ties``).
 
-    One shuffle: both sides are sorted together by key and time.  A gap of
-    exactly the tolerance matches.
+    Both sides are sorted together by key and time; no pairs are built.  A gap
+    of exactly the tolerance matches.
     """
-    both = _interleaved(left, right, by, on, right_on, values, list(ties))
-    order = Window.partitionBy(*by).orderBy("__ts", "__side", *[f"__t{i}" for i in range(len(ties))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = F.last("__hit", ignorenulls=True).over(order)
-    return _matched(both.withColumn("__found", hit), left, on, values, lambda ts, at: F.lit(True) if tolerance_days is None else ts <= at + F.expr(f"interval {tolerance_days} days"))
+    both = _nearest(_interleaved(left, right, by, on, right_on, values, list(ties)), by, list(ties), forward=False)
+    return _matched(both, left, on, values, lambda ts, at: F.lit(True) if tolerance_days is None else ts <= at + F.expr(f"interval {tolerance_days} days"))
 
 
 def asof_forward(
     left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, values: list[str], ties: tuple[str, ...] = ()
 ) -> DataFrame:
     """Left rows with ``values`` of the first right row at or after them (first of equals by ``ties``)."""
-    both = _interleaved(left, right, by, on, right_on, values, list(ties))
-    order = Window.partitionBy(*by).orderBy("__ts", "__side", *[f"__t{i}" for i in range(len(ties))]).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    hit = F.first("__hit", ignorenulls=True).over(order)
-    return _matched(both.withColumn("__found", hit), left, on, values, lambda ts, at: F.lit(True))
+    both = _nearest(_interleaved(left, right, by, on, right_on, values, list(ties)), by, list(ties), forward=True)
+    return _matched(both, left, on, values, lambda ts, at: F.lit(True))
 
 
 def _matched(rows: DataFrame, left: DataFrame, on: str, values: list[str], near) -> DataFrame:
@@ -136,12 +158,16 @@ def assign_to_period(events: DataFrame, periods: DataFrame, by: list[str], day:
 
 
 def half_open_pick(rows: DataFrame, windows: DataFrame, key: str, day: str, start: str, end: str, position: str, values: list[str], row_id: str) -> DataFrame:
-    """Left join to the first window [start, end) by ``position`` that holds the day; an open end is NULL."""
+    """Left join to the first window [start, end) by ``position`` that holds the day; an open end is NULL.
+
+    ``row_id`` tells rows apart, so equal rows stay apart and columns of any type pass.
+    """
     inside = (F.col(f"l.{key}") == F.col(f"r.{key}")) & (F.col(f"l.{day}") >= F.col(f"r.{start}")) & (F.col(f"r.{end}").isNull() | (F.col(f"l.{day}") < F.col(f"r.{end}")))
     joined = rows.alias("l").join(windows.alias("r"), inside, "left")
     payload = F.struct(*[F.col(f"r.{v}").alias(v) for v in values])
-    best = joined.groupBy(*[F.col(f"l.{c}") for c in rows.columns]).agg(F.min_by(payload, F.col(f"r.{position}")).alias("__v"))
-    return best.select(*rows.columns, *[F.col("__v")[v].alias(v) for v in values])
+    own = F.struct(*[F.col(f"l.{c}").alias(c) for c in rows.columns])
+    best = joined.groupBy(F.col(f"l.{row_id}")).agg(F.any_value(own).alias("__row"), F.min_by(payload, F.col(f"r.{position}")).alias("__v"))
+    return best.select(*[F.col("__row")[c].alias(c) for c in rows.columns], *[F.col("__v")[v].alias(v) for v in values])
 
 
 def period_starts(rows: DataFrame, by: list[str], end: str, order: list[str], most_gap: int, months_back: int, name: str = "period_start") -> DataFrame:

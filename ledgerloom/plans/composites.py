@@ -220,14 +220,17 @@ def combine(filings: DataFrame, events: dict[str, DataFrame], reports: DataFrame
     return flagged.withColumn("compustat_active_year", F.col("compustat_active_year").cast("int"))
 
 
-def best_names(pairs: DataFrame, listing: str, own: str, former: str) -> DataFrame:
-    """Best score of a listing name against an entity's own and former names, its own on ties: name_score, matched_name."""
-    numbered = pairs.withColumn("__id", F.monotonically_increasing_id())
-    each = numbered.select("__id", listing, own, F.explode(F.array_union(F.array(own), F.coalesce(F.col(former), F.array().cast("array<string>")))).alias("__name"))
+def best_names(pairs: DataFrame, row_id: str, listing: str, own: str, former: str) -> DataFrame:
+    """Best score of a listing name against an entity's own and former names, its own on ties: name_score, matched_name.
+
+    ``row_id`` is unique.
+    """
+    each = pairs.select(row_id, listing, own, F.explode(F.array_union(F.array(own), F.coalesce(F.col(former), F.array().cast("array<string>")))).alias("__name"))
     scored = each.withColumn("__s", name_score(F.col(listing), F.col("__name")))
-    first = Window.partitionBy("__id").orderBy(F.desc("__s"), F.desc(F.col("__name") == F.col(own)), "__name")
-    best = scored.withColumn("__rn", F.row_number().over(first)).filter("__rn = 1")
-    return numbered.join(best.select("__id", F.col("__s").alias("name_score"), F.col("__name").alias("matched_name")), "__id").drop("__id")
+    order = F.struct(F.col("__s"), (F.col("__name") == F.col(own)).alias("own"))
+    best = scored.groupBy(row_id).agg(F.max(order).alias("__best"), F.collect_list(F.struct(order.alias("o"), F.col("__name").alias("n"))).alias("__all"))
+    name = F.array_min(F.transform(F.filter("__all", lambda x: x["o"] == F.col("__best")), lambda x: x["n"]))
+    return pairs.join(best.select(row_id, F.col("__best")["__s"].alias("name_score"), name.alias("matched_name")), row_id)
 
 
 def accept_candidates(pages: DataFrame) -> DataFrame:

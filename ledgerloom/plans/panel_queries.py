@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import month_ends
@@ -177,9 +177,13 @@ def greedy_assignment(spark: SparkSession, sf: str) -> DataFrame:
     e = _daily(spark, sf).select("user_id", "event_id", "event_type", "day")
     a = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("buy"), F.col("day").alias("d1"))
     b = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("err"), F.col("day").alias("d2"))
-    pairs = a.join(b, "user_id").filter(F.abs(F.datediff("d1", "d2")) <= 3)
+    # Purchases more than two bands apart share no error, so a user's quiet spells part the work.
+    own = Window.partitionBy("user_id").orderBy("d1", "buy")
+    apart = (F.datediff("d1", F.lag("d1").over(own)) > 6).cast("int")
+    a = a.withColumn("__new", F.coalesce(apart, F.lit(0))).withColumn("spell", F.concat_ws("-", "user_id", F.sum("__new").over(own))).drop("__new")
+    pairs = ranking.banded_candidates(a, b, "d1", "d2", 3, ["user_id"])
     scored = pairs.withColumns({"score": (100 - F.abs(F.datediff("d1", "d2"))).cast("double"), "at": F.datediff("d1", F.lit("2024-01-01").cast("date"))})
-    return ranking.greedy_assignment(scored, "user_id", "buy", "err", "at", "score")
+    return ranking.greedy_assignment(scored, "spell", "buy", "err", "at", "score").withColumn("user_id", F.split_part("spell", F.lit("-"), F.lit(1)).cast("long")).drop("spell")
 
 
 QUERIES = {

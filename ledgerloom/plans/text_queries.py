@@ -27,14 +27,14 @@ def page_content(spark: SparkSession, sf: str) -> DataFrame:
 
 def lead_classify(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in texts.event_flags(t, F.substring(t, 1, 400), EVENTS, CONTEXT).items()])
+    return table(spark, sf, "documents").select("doc_id", *[c.alias(n) for n, c in texts.event_flags(t, texts.lead(t), EVENTS, CONTEXT).items()])
 
 
 def item_leads(spark: SparkSession, sf: str) -> DataFrame:
     """Leads of documents; every 'License, Version n.n' is written as an item heading first."""
     t = F.regexp_replace("text", r"License, Version (\d)", r"Item $1")
     t = F.regexp_replace(t, r"Item (\d+)\.0", r"Item $1.01")
-    return table(spark, sf, "documents").select("doc_id", texts.lead_source(t).alias("lead_source"), F.md5(texts.lead(t, 40, 100)).alias("lead_md5"))
+    return table(spark, sf, "documents").select("doc_id", texts.lead_source(t).alias("lead_source"), F.md5(texts.lead(t)).alias("lead_md5"))
 
 
 def domain_score(spark: SparkSession, sf: str) -> DataFrame:
@@ -94,11 +94,22 @@ LABEL = """
 """
 SCORED = f"s AS (SELECT doc_id, source, {HITS} FROM documents), d AS (SELECT *, {LABEL} AS domain FROM (SELECT *, greatest(n_english, n_french, n_german) AS m FROM s))"
 FLAG = ", ".join(
-    f"CAST(regexp_matches(substr(text, 1, 400), '{p}') AND regexp_matches(text, '{CONTEXT}') AS INT) AS flag_{n}, CAST(regexp_matches(text, '{p}') AS INT) AS body_mentions_{n}"
+    f"CAST(regexp_matches(lead, '{p}') AND regexp_matches(text, '{CONTEXT}') AS INT) AS flag_{n}, CAST(regexp_matches(text, '{p}') AS INT) AS body_mentions_{n}"
     for n, p in EVENTS.items()
 )
 SUM = " + ".join(f"flag_{n}" for n in EVENTS)
 
+LEADS = """
+    p AS (SELECT doc_id, text, regexp_split_to_array(text, '(?i)item\\s+[0-9]+\\.[0-9]+') AS gaps, regexp_extract_all(text, '(?i)item\\s+[0-9]+\\.[0-9]+') AS hits FROM {t}),
+    s AS (SELECT doc_id, text, hits, [list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(h) for h in hits[1:i - 1]]), 0) for i in range(1, len(hits) + 1)] AS starts FROM p),
+    l AS (SELECT doc_id, text, hits, CASE WHEN len(hits) > 0 THEN array_to_string([substr(text, CAST(x AS BIGINT) + 1, 500) for x in starts], ' ') ELSE substr(text, 1, 1000) END AS lead FROM s)
+"""
+#: Offsets of a pattern's matches: the texts between them and the matches, summed up.
+OFFSETS = """
+    {n}p AS (SELECT doc_id, unnest(regexp_split_to_array(text, '{p}')) AS gap, unnest(list_append(regexp_extract_all(text, '{p}'), NULL)) AS hit, generate_subscripts(regexp_split_to_array(text, '{p}'), 1) AS i FROM documents),
+    {n} AS (SELECT doc_id, i, hit, sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id ORDER BY i) - length(hit) AS pos FROM {n}p QUALIFY hit IS NOT NULL)
+"""
+
 ORACLE_SQL = {
     "html_to_text": r"""
         WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g') AS t FROM pages),
@@ -106,14 +117,14 @@ ORACLE_SQL = {
               '&#39;', ''''), '&amp;', '&') AS t FROM a)
         SELECT page_id, trim(regexp_replace(t, '[\s\x{A0}]+', ' ', 'g')) AS text FROM b
     """,
-    "lead_classify": f"WITH f AS (SELECT doc_id, regexp_matches(text, '{CONTEXT}') AS has_fda_context, {FLAG} FROM documents) SELECT *, {SUM} AS n_flags, {SUM} AS n_flags_incl_untitled FROM f",
-    "item_leads": r"""
-        WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, 'License, Version ([0-9])', 'Item \1', 'g'), 'Item ([0-9]+)\.0', 'Item \1.01', 'g') AS text FROM documents),
-        p AS (SELECT doc_id, text, regexp_split_to_array(text, '(?i)item\s+[0-9]+\.[0-9]+') AS gaps, regexp_extract_all(text, '(?i)item\s+[0-9]+\.[0-9]+') AS hits FROM t),
-        s AS (SELECT doc_id, text, hits, [list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum([length(h) for h in hits[1:i - 1]]), 0) for i in range(1, len(hits) + 1)] AS starts FROM p)
-        SELECT doc_id, CASE WHEN len(hits) > 0 THEN 'item_anchored' ELSE 'exhibit_top' END AS lead_source,
-               md5(CASE WHEN len(hits) > 0 THEN array_to_string([substr(text, CAST(x AS BIGINT) + 1, 40) for x in starts], ' ') ELSE substr(text, 1, 100) END) AS lead_md5
-        FROM s
+    "lead_classify": f"""
+        WITH {LEADS.format(t="documents")}, f AS (SELECT doc_id, regexp_matches(text, '{CONTEXT}') AS has_fda_context, {FLAG} FROM l)
+        SELECT *, {SUM} AS n_flags, {SUM} AS n_flags_incl_untitled FROM f
+    """,
+    "item_leads": f"""
+        WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, 'License, Version ([0-9])', 'Item \\1', 'g'), 'Item ([0-9]+)\\.0', 'Item \\1.01', 'g') AS text FROM documents),
+        {LEADS.format(t="t")}
+        SELECT doc_id, CASE WHEN len(hits) > 0 THEN 'item_anchored' ELSE 'exhibit_top' END AS lead_source, md5(lead) AS lead_md5 FROM l
     """,
     "domain_score": f"WITH {SCORED} SELECT doc_id, n_english, n_french, n_german, domain FROM d",
     "two_signal_rule": f"""
@@ -125,9 +136,36 @@ ORACLE_SQL = {
         SELECT event_type, count(CAST(json_extract(props, '$.k') AS INT)) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS INT)) AS BIGINT) AS total,
                count(DISTINCT CAST(json_extract(props, '$.k') AS INT)) AS n_distinct FROM events GROUP BY event_type
     """,
-    "letter_types": """
-        SELECT doc_id, CASE lang WHEN 'en' THEN 'warning letter' WHEN 'fr' THEN 'close-out letter' WHEN 'de' THEN 'response letter' ELSE 'unknown' END AS doc_type,
-               CAST(abs(DATE '2020-01-01' + CAST(doc_id % 700 AS INT) - DATE '2020-06-01') AS INT) AS gap_days, true AS id_printed
-        FROM documents
+    "mention_scoring": f"""
+        WITH {OFFSETS.format(n="m", p=r"(?i)\bthe\b")},
+        w AS (SELECT doc_id, regexp_matches(substr(text, CAST(greatest(pos - 20, 0) + 1 AS BIGINT), CAST(least(pos, 20) AS BIGINT)), '\\b(?:of|and)\\b') AS hedged,
+                     regexp_matches(substr(text, CAST(greatest(pos - 60, 0) + 1 AS BIGINT), CAST(least(pos, 60) + length(hit) + 60 AS BIGINT)), '\\bto\\b') AS actual
+              FROM m JOIN documents USING (doc_id)),
+        n AS (SELECT doc_id, count(*) AS mentions, count(*) FILTER (actual AND NOT hedged) AS substantive, count(*) FILTER (hedged) AS hedged FROM w GROUP BY doc_id)
+        SELECT doc_id, CAST(coalesce(mentions, 0) AS INT) AS mentions, CAST(coalesce(substantive, 0) AS INT) AS substantive, CAST(coalesce(hedged, 0) AS INT) AS hedged
+        FROM documents LEFT JOIN n USING (doc_id)
+    """,
+    "widest_span": f"""
+        WITH {OFFSETS.format(n="a", p=r"(?i)\bthe\b")}, {OFFSETS.format(n="b", p=r"\.\s|\n")},
+        j AS (SELECT a.doc_id, a.pos AS low, b.pos AS high FROM a ASOF JOIN b ON a.doc_id = b.doc_id AND a.pos < b.pos),
+        k AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY high - low DESC, low) = 1)
+        SELECT doc_id, CASE WHEN low IS NULL THEN '' ELSE substr(text, CAST(low + 1 AS BIGINT), CAST(high - low AS BIGINT)) END AS span FROM documents LEFT JOIN k USING (doc_id)
     """,
+    "letter_types": r"""
+        WITH b AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'WARNING LETTER' || chr(10)
+                          WHEN 'fr' THEN 'The agency has completed an evaluation of your firm''s corrective actions' || chr(10) WHEN 'de' THEN 'Response Letter' || chr(10) ELSE '' END
+                          || 'Dated ' || strftime(DATE '2020-01-01' + CAST(doc_id % 700 AS INT), '%B %-d, %Y') || chr(10) || 'Ref ' || doc_id || chr(10) || text AS body FROM documents),
+        f AS (SELECT doc_id, body, upper(trim(split_part(body, chr(10), 1))) AS first FROM b),
+        l AS (SELECT *, CASE WHEN first IN ('WARNING LETTER', 'CLOSEOUT LETTER', 'CLOSE-OUT LETTER', 'RESPONSE LETTER') THEN first ELSE '' END AS label FROM f),
+        t AS (SELECT *, substr(CASE WHEN label <> '' THEN regexp_replace(body, '\A[^\n]*\n?', '') ELSE body END, 1, 5000) AS top, substr(body, 1, 3000) AS head FROM l),
+        d AS (SELECT doc_id, list_min([abs(x - DATE '2020-06-01') for x in list_filter(list_concat(
+                     [CAST(try_strptime(regexp_replace(y, '[,\s]+', ' ', 'g'), '%B %d %Y') AS DATE) for y in
+                      regexp_extract_all(head, '(?i)\b((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4})\b')],
+                     [CAST(try_strptime(y, '%m/%d/%Y') AS DATE) for y in regexp_extract_all(head, '\b(\d{1,2}/\d{1,2}/\d{4})\b', 1)]), lambda x: x IS NOT NULL)]) AS gap FROM t)
+        SELECT doc_id, CASE WHEN regexp_matches(top, '(?i)has completed (?:an )?evaluation of (?:your|the)\s+(?:\S+\s+)?corrective action') THEN 'close-out letter'
+                            WHEN label = 'RESPONSE LETTER' THEN 'response letter'
+                            WHEN regexp_matches(top, '(?im)^\s*WARNING LETTER\b') OR label = 'WARNING LETTER' THEN 'warning letter' ELSE 'unknown' END AS doc_type,
+               CAST(gap AS INT) AS gap_days, regexp_matches(body, '(^|[^0-9])' || doc_id || '([^0-9]|$)') AS id_printed
+        FROM t JOIN d USING (doc_id)
+    """.replace("\\\\", "\\"),
 }

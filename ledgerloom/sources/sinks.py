@@ -91,10 +91,10 @@ def write_documents(df: DataFrame, folder: str, name: str, text: str) -> int:
     at, fs = _fs(spark, folder)
     wanted = df.select(F.regexp_replace(F.col(name), r"[^\w.-]", "_").alias("document"), F.col(text).alias("value"))
     wanted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document").text(folder)
-    names = {r["document"] for r in wanted.select("document").distinct().toLocalIterator()}
+    # Folders that have no document any more; only these come to the driver.
+    held = [(status.getPath().getName().removeprefix("document="),) for status in fs.listStatus(at) if status.getPath().getName().startswith("document=")]
+    stale = spark.createDataFrame(held, "document string").join(wanted.select("document").distinct(), "document", "left_anti") if held else None
     removed = 0
-    for status in fs.listStatus(at):
-        own = status.getPath().getName()
-        if own.startswith("document=") and own.removeprefix("document=") not in names:
-            removed += bool(fs.delete(status.getPath(), True))
+    for r in stale.toLocalIterator() if held else ():
+        removed += bool(fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at, f"document={r['document']}"), True))
     return removed

@@ -110,8 +110,8 @@ def test_candidates(spark):
 
 
 def test_names_of_letters(spark):
-    df = spark.createDataFrame([("ACME DIVISION OF ZETA", "ACME", ["ZETA"]), ("OTHER", "ACME", None)], "listing string, own string, former array<string>")
-    got = {r.listing: (r.matched_name, r.name_score >= 99) for r in c.best_names(df, "listing", "own", "former").collect()}
+    df = spark.createDataFrame([(1, "ACME DIVISION OF ZETA", "ACME", ["ZETA"]), (2, "OTHER", "ACME", None)], "id int, listing string, own string, former array<string>")
+    got = {r.listing: (r.matched_name, r.name_score >= 99) for r in c.best_names(df, "id", "listing", "own", "former").collect()}
     assert got["ACME DIVISION OF ZETA"] == ("ACME", True) and got["OTHER"][1] is False
     assert one(spark, texts.recipient(F.col("t"), F.col("l")), t="WARNING LETTER\n\nAcme Corp\nx", l="") == "Acme Corp"
     assert one(spark, texts.recipient(F.col("t"), F.col("l")), t="Acme, Inc. - 3/4/05\nx", l="") == "Acme, Inc."

@@ -123,8 +123,9 @@ def test_event_flags(spark):
     assert (f["n_flags"], f["n_flags_incl_untitled"]) == (1, 2)
     f = flags(spark, "A warning letter about rent.")
     assert not f["has_fda_context"] and f["flag_warning_letter"] == 0 and f["body_mentions_warning_letter"] == 1
-    f = flags(spark, "510(k) device: voluntary recall and class II recall; MDR reports")
+    f = flags(spark, "premarket device: voluntary recall and class II recall; MDR reports")
     assert f["flag_recall"] == 1 and f["flag_adverse_event"] == 1
+    assert flags(spark, "two 510(k)s were filed")["has_fda_context"] and not flags(spark, "a 510(k) was filed")["has_fda_context"]
 
 
 @pytest.mark.parametrize("hits, label", [((2, 1, 0), "mixed"), ((3, 1, 0), "device"), ((1, 0, 0), "device"), ((1, 1, 0), "mixed"), ((0, 0, 0), "unspecified"), ((0, 0, 4), "biologic")])

@@ -190,31 +190,80 @@ def test_review_flags(spark):
 
 def test_listing_rules(spark):
     d = lambda s: date.fromisoformat(s)
-    schema = "id int, ev array<struct<t:date,form:string>>, periodic array<date>, windows array<struct<start:date,end:date,exchange:string>>, auto boolean"
+    schema = "id int, ev array<struct<t:date,form:string>>, periodic array<date>, windows array<struct<start:date,end:date,exchange:string>>, auto boolean, ex array<string>"
+    old, reports = (d("1996-01-01"), "10-K"), [d("2019-12-01")]
     data = [
-        (1, [], [], [], True),
-        (2, [], [d("2019-12-01")], [(d("2018-01-01"), d("2020-06-01"), "NYSE")], False),
-        (3, [], [d("2019-12-01")], [(d("2018-01-01"), d("2020-05-31"), "NYSE")], False),
-        (4, [(d("2015-01-01"), "8-A12B")], [d("2019-12-01")], [], True),
-        (5, [(d("2015-01-01"), "8-A12B"), (d("2019-11-20"), "25")], [d("2019-12-01")], [], True),
-        (6, [], [d("2018-01-01")], [], False),
-        (7, [(d("2019-11-10"), "15-12B")], [d("2019-11-20")], [], False),
-        (8, [], [d("2021-01-01")], [], False),
-        (9, [(d("2019-10-01"), "S-1")], [d("2021-01-01")], [(d("2019-10-15"), None, "NYSE")], False),
+        (1, [], [], [], True, []),
+        (2, [], reports, [(d("2018-01-01"), d("2020-06-01"), "NYSE")], False, []),
+        (3, [], reports, [(d("2018-01-01"), d("2020-05-31"), "NYSE")], False, []),
+        (4, [(d("2015-01-01"), "8-A12B")], reports, [], True, []),
+        # A delisting of a firm that does not go on reporting is its end; one that goes on has moved.
+        (5, [(d("2015-01-01"), "8-A12B"), (d("2019-11-20"), "25")], reports, [], True, []),
+        (6, [], [d("2018-01-01")], [], False, []),
+        (7, [(d("2019-11-10"), "15-12B")], [d("2019-11-20")], [], False, []),
+        (8, [], [d("2021-01-01")], [], False, []),
+        (9, [(d("2019-10-01"), "S-1")], [d("2021-01-01")], [(d("2019-10-15"), None, "NYSE")], False, []),
+        (10, [(d("2015-01-01"), "8-A12B"), (d("2017-11-20"), "25")], [d("2019-12-01")], [], True, []),
+        # Never registered before the day: a later delisting tells of an old issuer only.
+        (11, [old, (d("2021-03-01"), "25")], reports, [], True, []),
+        (12, [(d("2010-01-01"), "10-K"), (d("2021-03-01"), "25")], reports, [], True, []),
+        (13, [(d("2010-01-01"), "10-K"), (d("2005-02-01"), "8-A12G"), (d("2021-03-01"), "25")], reports, [], True, []),
+        (14, [old, (d("2020-07-01"), "8-A12B"), (d("2021-03-01"), "25")], reports, [], True, []),
+        (15, [old], reports, [], True, []),
+        # Listed today: all along if older than the records, but for the time between two listings.
+        (16, [old], reports, [], True, ["NYSE"]),
+        (17, [(d("2010-01-01"), "10-K")], reports, [], True, ["NYSE"]),
+        (18, [(d("2010-01-01"), "8-A12B"), (d("2018-01-01"), "25"), (d("2020-08-01"), "8-A12B")], reports, [], True, ["Nasdaq"]),
+        (19, [(d("2010-01-01"), "8-A12B"), (d("2020-05-01"), "25"), (d("2020-08-01"), "8-A12B")], reports, [], True, ["Nasdaq"]),
+        (20, [(d("2010-01-01"), "8-A12B")], reports, [], True, ["OTC"]),
+        (21, [(d("2010-01-01"), "8-A12B")], reports, [], False, []),
     ]
     df = spark.createDataFrame(data, schema)
-    s = listing.listing_status(F.lit(True), F.col("ev"), F.col("periodic"), F.col("windows"), F.col("auto"), F.lit("2020-05-31").cast("date"))
-    got = {r.id: r.s for r in df.select("id", s.alias("s")).collect()}
-    assert got == {1: "NO", 2: "YES", 3: "OTC", 4: "YES", 5: "OTC", 6: "NO", 7: "NO", 8: "NO", 9: "YES"}
+    day = F.lit("2020-05-31").cast("date")
+    v = listing.listing_verdict(F.lit(True), F.col("ev"), F.col("periodic"), F.col("windows"), F.col("auto"), F.col("ex"), day)
+    got = {r.id: r.v for r in df.select("id", v.alias("v")).collect()}
+    yes = {2, 4, 5, 9, 11, 13, 16, 19, 20}
+    assert {i: r.status for i, r in got.items()} == {i: "YES" if i in yes else "NO" if i in (1, 6, 7, 8) else "OTC" for i in got}
+    assert got[2].evidence == "SEC-reporting at letter date (last periodic report 2019-12-01); stock listed on NYSE" and got[2].exchange == "NYSE"
+    assert got[7].evidence == "no longer public: deregistered (Form 15) 2019-11-10"
+    assert got[8].evidence == "not yet public: first periodic report 2021-01-01"
+    assert got[9].evidence.startswith("SEC-reporting at letter date (IPO registration within the prior 15 months)")
+    assert got[11].exchange == "US exchange (not identified)" and got[16].exchange == "NYSE"
     label = lambda s, p: spark.range(1).select(listing.status_label(F.lit(s), F.lit(p)).alias("x")).first().x
     assert [label("YES", False), label("YES", True), label("OTC", True), label("UNCLEAR", False)] == ["Yes", "Yes - via parent", "No", "Unclear"]
     years = listing.universe_by_year(
         df.filter("id = 2"), "id", F.lit("2019-01-01").cast("date"), F.lit("2021-12-31").cast("date"),
-        lambda x: listing.listing_status(F.lit(True), F.col("ev"), F.col("periodic"), F.col("windows"), F.col("auto"), x),
+        lambda x: listing.listing_status(F.lit(True), F.col("ev"), F.col("periodic"), F.col("windows"), F.col("auto"), F.col("ex"), x),
     )
     assert rows(years) == [(2, 2019), (2, 2020)]
 
 
+def test_asof_with_a_hot_key_and_far_hits(spark):
+    """Hits lie months away, on the same day, or nowhere; one key has most of the rows."""
+    import random
+
+    rng = random.Random(3)
+    day = lambda: date(2015 + rng.randint(0, 4), rng.randint(1, 12), rng.randint(1, 28))
+    left = [(i, rng.choice(["hot"] * 8 + ["a", "b", None]), rng.choice([day()] * 9 + [None])) for i in range(400)]
+    right = [(rng.choice(["hot"] * 3 + ["a", None]), day(), 1000 + j) for j in range(60)]
+    a = spark.createDataFrame(left, "id int, k string, d date")
+    b = spark.createDataFrame(right, "k string, at date, v int")
+    back = {r.id: r.v for r in temporal.asof_backward(a, b, ["k"], "d", "at", ["v"], ties=("v",)).collect()}
+    ahead = {r.id: r.v for r in temporal.asof_forward(a, b, ["k"], "d", "at", ["v"], ties=("v",)).collect()}
+    assert len(back) == len(ahead) == len(left)
+    for i, k, d in left:
+        own = [(at, v) for rk, at, v in right if rk == k and d is not None]
+        assert back[i] == max([x for x in own if x[0] < d], default=(None, None))[1]
+        assert ahead[i] == min([x for x in own if x[0] >= d], default=(None, None))[1]
+
+
+def test_half_open_pick_keeps_equal_rows(spark):
+    a = spark.createDataFrame([(1, "x", date(2020, 1, 5)), (2, "x", date(2020, 1, 5)), (3, "y", date(2020, 1, 5))], "id int, k string, d date").withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    w = spark.createDataFrame([("x", date(2020, 1, 1), None, 2, "B"), ("x", date(2020, 1, 5), date(2020, 1, 6), 1, "A")], "k string, s date, e date, pos int, v string")
+    out = temporal.half_open_pick(a, w, "k", "d", "s", "e", "pos", ["v"], "id")
+    assert out.columns == [*a.columns, "v"] and sorted((r.id, r.v) for r in out.collect()) == [(1, "A"), (2, "A"), (3, None)]
+
+
 def test_checks(spark):
     df = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
     with pytest.raises(checks.CheckFailed):
