@@ -111,3 +111,12 @@ def test_keep_first(docs, nothing):
     assert {r.doc_id for r in kept.collect()} == want
     assert simhash.keep_first(nothing).collect() == []
     assert simhash.near_duplicates(nothing).collect() == []
+
+
+def test_one_text_stays_where_a_doc_id_repeats(spark):
+    """The least doc_id of a component has two near texts; another text of that id lies elsewhere."""
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, base), (1, base + " "), (1, base.replace("word7 ", "Word7 ")), (2, base), (1, "quite another text here with words of its own"), (3, base + "\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_first(df).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 1] and sum("another" in r.text for r in kept) == 1
