@@ -1,7 +1,7 @@
 """Driver queries of the training-data operators, and SQL where it can express them.
 
 Each query applies one operator with its production parameters to the whole
-``documents`` table and returns the whole result.
+``documents`` or ``embeddings`` table and returns the whole result.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_dedup, packing, pii, quality_rules, sharding, simhash, token_orc, weak_classifier
+from . import alignment, byte_bpe, exact_dedup, line_dedup, mtree, packing, pii, quality_rules, sharding, simhash, token_orc, vector_codes, weak_classifier
 from .common import read_documents
 from .tokens import TokenizerSpec
 
@@ -72,6 +72,23 @@ def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
+def read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_products(read_embeddings(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(read_embeddings(spark, sf_dir))
+
+
+def op13_segment_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align_documents(read_documents(spark, sf_dir), files)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_weak_quality_rules": op2_weak_quality_rules,
@@ -83,6 +100,9 @@ QUERIES = {
     "op8_hypergeometric_sharding": op8_hypergeometric_sharding,
     "op9_weak_classifier": op9_weak_classifier,
     "op10_simhash_golay": op10_simhash_golay,
+    "op11_mtree_search": op11_mtree_search,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_segment_alignment": op13_segment_alignment,
 }
 
 ORACLE_SQL = {
@@ -96,4 +116,6 @@ ORACLE_SQL = {
         FROM t WINDOW w AS (PARTITION BY text)
     """,
     "op7_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_mtree_search": mtree.ORACLE_SQL,
+    "op12_vector_codes": vector_codes.oracle_sql(),
 }
