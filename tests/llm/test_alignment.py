@@ -31,9 +31,10 @@ def slow(rows):
 
     found, counts = [], Counter()
     for doc, text in rows:
-        a = left.encode(" " + (text or ""), add_special_tokens=False)
+        coded = left.encode(" " + (text or ""), add_special_tokens=False)
+        a = coded.ids  # a copy each time it is asked for
         b = right.encode(text or "")
-        mine = [bytes(letters[c] for c in t) for t in a.tokens]
+        mine = [bytes(letters[c] for c in t) for t in coded.tokens]
         pieces = [right.id_to_piece(i) for i in b]
         theirs = [bytes([int(p[3:5], 16)]) if right.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(b, pieces)]
         raw = (" " + (text or "")).encode()
@@ -47,13 +48,13 @@ def slow(rows):
                 low += 1
             j = low
             while j < len(y) and y[j][0] < e:
-                links.append((a.ids[i], b[j]))
+                links.append((a[i], b[j]))
                 j += 1
         groups, i, j = [], 0, 0
         for end in sorted({e for _, e in x} & {e for _, e in y}):
             own = [[], []]
             while i < len(x) and x[i][1] <= end:
-                own[0].append(str(a.ids[i]))
+                own[0].append(str(a[i]))
                 i += 1
             while j < len(y) and y[j][1] <= end:
                 own[1].append(str(b[j]))
