@@ -10,9 +10,10 @@ of its segments, and so are the groups and links of the two.
 Blocks of documents (``BLOCK_BYTES`` of text) become their distinct segments and
 the numbers of all segments in order.  The distinct segments of all blocks are
 tokenised and aligned once; links are counted by id pair over the corpus, each
-segment as often as it occurs.  The alignments meet the blocks by a join, and
-each block composes its documents.  Segments that are in many blocks meet by
-broadcast (fewer than 1000 of them can be so frequent), the rest is shuffled.
+segment as often as it occurs.  The alignments of the segments that are in most
+blocks (``KEPT`` at most, of ``KEPT_BYTES`` at most) are sent to every worker,
+the others meet the blocks by a join, and each block composes its documents.
+How many are sent changes the time, not the result.
 
 Groups: a group ends where a token of either tokenizer ends at the same byte.
 Links: the pairs of tokens whose bytes overlap.
@@ -44,6 +45,11 @@ from .tokens import slices
 
 #: Text bytes of a block of documents, about; a longer document is a block by itself.
 BLOCK_BYTES = 4_000_000
+#: Segments that are encoded as one text.
+RUN = 400
+#: Frequent segments that every worker knows, at most, and the bytes of one.
+KEPT = 200_000
+KEPT_BYTES = 32
 #: The piece file's mark for a blank.
 MARK = "▁"
 #: Separates segments while a text is cut.
@@ -65,6 +71,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class Alignment:
+    """Of segments: tokens of A and B, groups, links; the groups as text; the links' ids in a row."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    groups: list[str]
+    a: np.ndarray
+    b: np.ndarray
+
+
 class Aligner:
     """Both tokenizers of a worker."""
 
@@ -100,44 +119,44 @@ class Aligner:
             if whole != [i for s in segments(text) for i in self.left.encode(s, add_special_tokens=False).ids]:
                 raise ValueError("the byte-level file has tokens over a cut")
 
-    def ids(self, parts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of segments by A and B; B puts a blank before a segment, which stands for the segment's own first blank."""
-        left = [e.ids for e in self.left.encode_batch_fast(parts, add_special_tokens=False)]
-        return left, self._pieces(parts)
-
-    def _pieces(self, parts: list[str]) -> list[list[int]]:
-        # A segment without a blank before it stands behind a word, whose pieces are taken off again.
-        led = [p[1:] if p.startswith(" ") else "a" + p for p in parts]
-        word = len(self.right.encode("a", num_threads=1))
-        coded = self.right.encode(led, num_threads=1)
-        blank = [self.right.piece_to_id(MARK)]  # the library gives no pieces for an empty text
-        return [blank if p == " " else ids if p.startswith(" ") else ids[word:] for p, ids in zip(parts, coded)]
-
-    def align(self, part: str, a: list[int], b: list[int]) -> tuple[str, int, dict[tuple[int, int], int]]:
-        """(groups as text, their number, links by id pair with how often)."""
-        sizes_a, sizes_b = [len(self.left_text[i]) for i in a], [len(self.right_text[i]) for i in b]
-        raw = part.encode()
-        if b"".join(map(self.left_text.__getitem__, a)) != raw or b"".join(map(self.right_text.__getitem__, b)) != raw:
-            raise ValueError(f"the tokens of {part[:80]!r} are not its bytes")
-        groups, links = [], {}
-        i = j = first_a = first_b = 0
-        end_a = sizes_a[0] if a else 0
-        end_b = sizes_b[0] if b else 0
-        while i < len(a) and j < len(b):
-            links[a[i], b[j]] = links.get((a[i], b[j]), 0) + 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[first_a : i + 1])) + "|" + ",".join(map(str, b[first_b : j + 1])))
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i < len(a):
-                    end_a, end_b = end_a + sizes_a[i], end_b + sizes_b[j]
-            elif end_a < end_b:
-                i += 1
-                end_a += sizes_a[i]
-            else:
-                j += 1
-                end_b += sizes_b[j]
-        return ";".join(groups), len(groups), links
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids by A and B of a text that begins with a blank or line feed; B's library puts a blank before what it gets."""
+        left = self.left.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            return left, [self.right.piece_to_id(MARK)]  # the library gives no pieces for an empty text
+        if text.startswith(" "):
+            return left, self.right.encode(text[1:], num_threads=1)
+        word = self.right.encode("a", num_threads=1)  # stands before the cut and is taken off again
+        return left, self.right.encode("a" + text, num_threads=1)[len(word) :]
+
+    def align(self, parts: list[str]) -> Alignment:
+        """Segments at once: in a row they are a text whose tokens all end at the cuts, but for one that ends with white space."""
+        if any(p[-1].isspace() for p in parts[:-1]):
+            raise ValueError("only the last segment may end with white space")
+        text = "".join(parts)
+        raw = text.encode()
+        a, b = self.encode(text)
+        mine, theirs = [self.left_text[i] for i in a], [self.right_text[i] for i in b]
+        if b"".join(mine) != raw or b"".join(theirs) != raw:
+            raise ValueError(f"the tokens of {text[:80]!r} are not its bytes")
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+        end_a = np.cumsum(np.fromiter(map(len, mine), np.int64, len(mine)))
+        end_b = np.cumsum(np.fromiter(map(len, theirs), np.int64, len(theirs)))
+        both = np.intersect1d(end_a, end_b, assume_unique=True)  # the groups' ends
+        steps = np.union1d(end_a, end_b)  # each stretch between two of them lies in one token of either side: a link
+        stop_a, stop_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
+        if len(np.setdiff1d(ends, both)):
+            raise ValueError("a token reaches over a cut")
+        words_a, words_b = list(map(str, a)), list(map(str, b))
+        at = zip([0, *stop_a.tolist()], stop_a.tolist(), [0, *stop_b.tolist()], stop_b.tolist())
+        groups = [",".join(words_a[i:j]) + "|" + ",".join(words_b[k:m]) for i, j, k, m in at]
+        last = np.searchsorted(both, ends, "right")
+        texts = [";".join(groups[i:j]) for i, j in zip([0, *last.tolist()], last.tolist())]
+        upto = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, both, steps)]
+        n_a, n_b, n_groups, n_links = (np.diff(x, prepend=0) for x in upto)
+        link_a = np.array(a, np.int32)[np.searchsorted(end_a, steps)]
+        link_b = np.array(b, np.int32)[np.searchsorted(end_b, steps)]
+        return Alignment(n_a, n_b, n_groups, n_links, texts, link_a, link_b)
 
 
 @cache
@@ -156,13 +175,12 @@ def segments(text: str) -> list[str]:
     return re.split(r"(?<=\S)(?=[ \n])", text)
 
 
-_IDS, _BYTES, _PARTS = pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string())
+_BYTES = pa.binary()
+BLOCK = ("doc_ids", "sizes", "numbers", "segments", "counts")
 
 
 def segment_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: doc_ids, sizes (segments of each), numbers (of all), the distinct segments and their counts."""
-    schema = pa.schema([("doc_ids", _IDS), ("sizes", pa.list_(pa.int32())), ("numbers", _BYTES), ("segments", _PARTS), ("counts", _IDS)])
-
+    """Blocks of documents: block, doc_ids, sizes (segments of each), numbers (of all), the distinct segments and their counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column("text"), BLOCK_BYTES):
@@ -183,14 +201,15 @@ def segment_blocks(docs: DataFrame) -> DataFrame:
                     sizes[gone] = 0
                 coded = flat.dictionary_encode()
                 numbers = coded.indices.to_numpy(zero_copy_only=False)
-                columns = [
-                    batch.column("doc_id").slice(low, high - low).to_pylist(),
-                    sizes,
-                    numbers.astype("<i4").tobytes(),
-                    coded.dictionary.cast(pa.string()).to_pylist(),
-                    np.bincount(numbers, minlength=len(coded.dictionary)),
+                lists = [
+                    batch.column("doc_id").slice(low, high - low),
+                    pa.array(sizes.astype(np.int32)),
+                    coded.dictionary.cast(pa.string()),
+                    pa.array(np.bincount(numbers, minlength=len(coded.dictionary)).astype(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(columns, schema.types)], schema=schema)
+                ids, counts, parts, often = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
+                raw = pa.array([numbers.astype("<i4").tobytes()], _BYTES)
+                yield pa.RecordBatch.from_arrays([ids, counts, raw, parts, often], names=list(BLOCK))
 
     made = documents(docs).mapInArrow(run, "doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>, counts array<long>")
     with arrow_rows(docs.sparkSession, 2500):
@@ -198,84 +217,132 @@ def segment_blocks(docs: DataFrame) -> DataFrame:
 
 
 def aligned(parts: DataFrame, spec: Tokenizers) -> DataFrame:
-    """``parts``: segment and n, distinct.  Adds n_a, n_b, n_groups, groups, and the links as arrays a, b, times."""
+    """``parts``: segment, n and blocks, distinct.  Adds n_a, n_b, n_groups, n_links, groups, and the links as arrays a and b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = aligner(spec)
         for batch in batches:
+            if not len(batch):
+                continue
             texts = batch.column("segment").to_pylist()
-            left, right = tools.ids(texts)
-            made = [tools.align(t, a, b) for t, a, b in zip(texts, left, right)]
-            links = [list(m[2]) for m in made]
-            columns = [
-                batch.column("segment"), batch.column("n"),
-                pa.array([len(a) for a in left], pa.int64()), pa.array([len(b) for b in right], pa.int64()),
-                pa.array([m[1] for m in made], pa.int64()), pa.array([m[0] for m in made], pa.string()),
-                pa.array([[a for a, _ in x] for x in links], pa.list_(pa.int32())),
-                pa.array([[b for _, b in x] for x in links], pa.list_(pa.int32())),
-                pa.array([list(m[2].values()) for m in made], _IDS),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["segment", "n", "n_a", "n_b", "n_groups", "groups", "a", "b", "times"])
-
-    return parts.mapInArrow(run, "segment string, n long, n_a long, n_b long, n_groups long, groups string, a array<int>, b array<int>, times array<long>")
+            odd = [i for i, t in enumerate(texts) if t[-1].isspace()]
+            plain = np.setdiff1d(np.arange(len(texts)), odd)
+            runs = [plain[i : i + RUN] for i in range(0, len(plain), RUN)] + [np.array([i]) for i in odd]
+            order = np.concatenate(runs)
+            made = [tools.align([texts[i] for i in r]) for r in runs]
+            size = np.concatenate([m.n_links for m in made])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            numbers = [pa.array(np.concatenate([getattr(m, c) for m in made]).astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")]
+            links = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(m, c) for m in made]))) for c in ("a", "b")]
+            kept = [batch.column(c).take(pa.array(order)) for c in ("segment", "n", "blocks")]
+            columns = [*kept, *numbers, pa.array([g for m in made for g in m.groups], pa.string()), *links]
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "n", "blocks", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b"])
+
+    schema = "segment string, n long, blocks long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>"
+    return parts.mapInArrow(run, schema)
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
-    """a, b, count (links of the pair over the corpus) and best (whether it is the highest of b)."""
-    each = found.select("n", F.explode(F.arrays_zip("a", "b", "times")).alias("l"))
-    counts = each.groupBy("l.a", "l.b").agg(F.sum(F.col("n") * F.col("l.times")).alias("count"))
-    counts = stored(counts, "align-pairs")
+    """a, b, count (links of the pair over the corpus), times (among distinct segments) and best (whether it is the highest of b)."""
+    each = found.select("n", F.explode(F.arrays_zip("a", "b")).alias("l"))
+    counts = stored(each.groupBy("l.a", "l.b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("times")), "align-pairs")
     highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
-    return counts.join(highest, "b").select("a", "b", "count", (F.col("count") == F.col("highest")).alias("best"))
+    return counts.join(highest, "b").select("a", "b", "count", "times", (F.col("count") == F.col("highest")).alias("best"))
 
 
 def segment_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """By segment the numbers that its documents add up: n_links, n_best and count_sum beside those it has."""
-    each = stored(found.select("key", F.explode(F.arrays_zip("a", "b", "times")).alias("l")).select("key", "l.*"), "align-links")
-    weights = each.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    met = keyed_join(each, pairs.join(weights, ["a", "b"]), ["a", "b"], "w", each.count())
-    best = F.when(F.col("best"), F.col("times")).otherwise(0)
-    sums = met.groupBy("key").agg(F.sum("times").alias("n_links"), F.sum(best).alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
-    return found.join(sums, "key").select("segment", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
+    """The segments with n_best and count_sum instead of their links."""
+    each = stored(found.select("key", F.explode(F.arrays_zip("a", "b")).alias("l")).select("key", "l.*"), "align-links")
+    met = keyed_join(each, pairs, ["a", "b"], "times", each.count())
+    sums = met.groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    return found.join(sums, "key").select("segment", "blocks", *NUMBERS, "groups")
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def composed(blocks: pa.Table, parts: pa.Table) -> pa.Table:
-    """The documents of a block from the scores of its segments."""
-    order = np.argsort(parts.column("number").to_numpy(), kind="stable")
-    parts = parts.take(pa.array(order))
-    numbers = np.frombuffer(blocks.column("numbers")[0].as_py(), "<i4")
-    sizes = blocks.column("sizes")[0].values.to_numpy()
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    columns = [pa.array(blocks.column("doc_ids")[0].values)]
-    for name in NUMBERS:
-        sums = np.concatenate([[0], np.cumsum(parts.column(name).to_numpy()[numbers] if len(numbers) else [])]).astype(np.int64)
-        columns.append(pa.array(sums[at[1:]] - sums[at[:-1]]))
-    groups = parts.column("groups").to_pylist()
-    digests = []
-    for low, high in zip(at.tolist(), at[1:].tolist()):
-        text = ";".join(map(groups.__getitem__, numbers[low:high].tolist()))
-        digests.append(hashlib.sha256(text.encode()).hexdigest() if high > low else "")
-    return pa.table([*columns, pa.array(digests, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
-
-
-def align_documents(docs: DataFrame, spec: Tokenizers) -> DataFrame:
+class Known:
+    """The most frequent segments with their scores, and none more than KEPT of KEPT_BYTES at most."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.segments = table.column("segment").combine_chunks()
+        self.numbers = np.stack([table.column(n).to_numpy() for n in NUMBERS], 1) if len(table) else np.zeros((0, len(NUMBERS)), np.int64)
+        self.groups = table.column("groups").to_pylist()
+
+    def slots(self, segments: pa.Array) -> np.ndarray:
+        """Each segment's place among the known ones, or -1."""
+        return pc.fill_null(pc.index_in(segments, value_set=self.segments), -1).to_numpy(zero_copy_only=False)
+
+
+def known_segments(scored: DataFrame, most: int) -> Known:
+    """Segments of the most blocks: as many whole classes of counts as ``most`` allows."""
+    short = scored.filter((F.octet_length("segment") <= KEPT_BYTES) & (F.col("blocks") > 1))
+    short = short.withColumn("level", F.floor(F.log2("blocks") * 16).cast("int"))  # at most 16 * 63 classes
+    least, held = 0, 0
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            least = r["level"] + 1
+            break
+    return Known(short.filter(F.col("level") >= least).select("segment", *NUMBERS, "groups").toArrow())
+
+
+def rare_rows(blocks: DataFrame, known: Known) -> DataFrame:
+    """block, number, segment of the segments of a block that are not known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, parts in zip(batch.column("block"), batch.column("segments")):
+                rare = np.flatnonzero(known.slots(parts.values) < 0)
+                columns = [pa.array(np.full(len(rare), block.as_py())), pa.array(rare.astype(np.int32)), parts.values.take(pa.array(rare))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "segment"])
+
+    return blocks.select("block", "segments").mapInArrow(run, "block long, number int, segment string")
+
+
+def composer(known: Known):
+    """A block and the scores of its rare segments to the rows of its documents."""
+
+    def run(blocks: pa.Table, rare: pa.Table) -> pa.Table:
+        own = {c: blocks.column(c)[0].values for c in ("doc_ids", "sizes", "segments")}
+        slots = known.slots(own["segments"])
+        values = np.zeros((len(slots), len(NUMBERS)), np.int64)
+        often = np.flatnonzero(slots >= 0)
+        values[often] = known.numbers[slots[often]]
+        groups: list = [None] * len(slots)
+        for i in often.tolist():
+            groups[i] = known.groups[slots[i]]
+        if len(rare):
+            at = rare.column("number").to_numpy()
+            values[at] = np.stack([rare.column(n).to_numpy() for n in NUMBERS], 1)
+            for i, g in zip(at.tolist(), rare.column("groups").to_pylist()):
+                groups[i] = g
+        numbers = np.frombuffer(blocks.column("numbers")[0].as_py(), "<i4")
+        ends = np.concatenate([[0], np.cumsum(own["sizes"].to_numpy())])
+        sums = [np.concatenate([[0], np.cumsum(values[numbers, c])])[ends] for c in range(len(NUMBERS))]
+        digests = []
+        for low, high in zip(ends.tolist(), ends[1:].tolist()):
+            text = ";".join(map(groups.__getitem__, numbers[low:high].tolist()))
+            digests.append(hashlib.sha256(text.encode()).hexdigest() if high > low else "")
+        return pa.table([own["doc_ids"], *[pa.array(np.diff(s)) for s in sums], pa.array(digests, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
+
+    return run
+
+
+def align_documents(docs: DataFrame, spec: Tokenizers, kept: int = KEPT) -> DataFrame:
     """doc_id, the numbers of tokens, groups and links, n_best, count_sum and groups_sha256 of every document."""
     blocks = segment_blocks(docs)
-    each = blocks.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("number", "s"))
-    each = each.select("block", "number", F.col("s.segments").alias("segment"), F.col("s.counts").alias("n"))
-    distinct = each.groupBy("segment").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
-    distinct = stored(distinct, "align-segments", compression="zstd")
-    with arrow_rows(docs.sparkSession, 10_000):
-        spread = distinct.select("segment", "n").repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
+    each = blocks.select(F.inline(F.arrays_zip("segments", "counts")))
+    distinct = each.groupBy(F.col("segments").alias("segment")).agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("blocks"))
+    with arrow_rows(docs.sparkSession, 50 * RUN):
+        spread = distinct.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
         found = stored(aligned(spread, spec).withColumn("key", F.monotonically_increasing_id()), "align-found", compression="zstd")
-    scored = segment_scores(found, pair_counts(found)).join(distinct.select("segment", "blocks"), "segment")
-    scored = stored(scored, "align-scored", compression="zstd")
-    total = distinct.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    met = keyed_join(each.select("block", "number", "segment"), scored, ["segment"], "blocks", total)
-    mine = blocks.select("block", "doc_ids", "sizes", "numbers")
+    scored = stored(segment_scores(found, pair_counts(found)), "align-scored", compression="zstd")
+    known = known_segments(scored, kept)
+    with arrow_rows(docs.sparkSession, 4):
+        rare = stored(rare_rows(blocks, known), "align-rare", compression="zstd")
+    met = keyed_join(rare, scored, ["segment"], "blocks", rare.count())
     theirs = met.select(F.col("block").alias("b"), "number", *NUMBERS, "groups")
+    mine = blocks.select("block", "doc_ids", "sizes", "numbers", "segments")
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_sha256 string"
-    return mine.groupBy("block").cogroup(theirs.groupBy("b")).applyInArrow(composed, schema)
+    return mine.groupBy("block").cogroup(theirs.groupBy("b")).applyInArrow(composer(known), schema)
