@@ -37,10 +37,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, documents, keyed_join, stored
+from .common import HOT_SHARE, arrow_rows, documents, stored
 from .tokens import slices
 
 #: Text bytes of a block of documents, about; a longer document is a block by itself.
@@ -50,6 +50,10 @@ RUN = 400
 #: Frequent segments that every worker knows, at most, and the bytes of one.
 KEPT = 200_000
 KEPT_BYTES = 32
+#: Frequent pairs of ids that every worker knows, at most.
+KEPT_PAIRS = 3_000_000
+#: A pair of ids (a, b) is the number a * SHIFT + b.
+SHIFT = 1 << 24
 #: The piece file's mark for a blank.
 MARK = "▁"
 #: Separates segments while a text is cut.
@@ -73,15 +77,14 @@ def byte_letters() -> dict[str, int]:
 
 @dataclass
 class Alignment:
-    """Of segments: tokens of A and B, groups, links; the groups as text; the links' ids in a row."""
+    """Of segments: tokens of A and B, groups, links; the groups as text; the pairs of all links in a row."""
 
     n_a: np.ndarray
     n_b: np.ndarray
     n_groups: np.ndarray
     n_links: np.ndarray
     groups: list[str]
-    a: np.ndarray
-    b: np.ndarray
+    pairs: np.ndarray
 
 
 class Aligner:
@@ -154,9 +157,8 @@ class Aligner:
         texts = [";".join(groups[i:j]) for i, j in zip([0, *last.tolist()], last.tolist())]
         upto = [np.searchsorted(x, ends, "right") for x in (end_a, end_b, both, steps)]
         n_a, n_b, n_groups, n_links = (np.diff(x, prepend=0) for x in upto)
-        link_a = np.array(a, np.int32)[np.searchsorted(end_a, steps)]
-        link_b = np.array(b, np.int32)[np.searchsorted(end_b, steps)]
-        return Alignment(n_a, n_b, n_groups, n_links, texts, link_a, link_b)
+        pairs = np.array(a, np.int64)[np.searchsorted(end_a, steps)] * SHIFT + np.array(b, np.int64)[np.searchsorted(end_b, steps)]
+        return Alignment(n_a, n_b, n_groups, n_links, texts, pairs)
 
 
 @cache
@@ -208,7 +210,7 @@ def segment_blocks(docs: DataFrame) -> DataFrame:
                     pa.array(np.bincount(numbers, minlength=len(coded.dictionary)).astype(np.int64)),
                 ]
                 ids, counts, parts, often = (pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists)
-                raw = pa.array([numbers.astype("<i4").tobytes()], _BYTES)
+                raw = pa.array([packed(numbers)], _BYTES)
                 yield pa.RecordBatch.from_arrays([ids, counts, raw, parts, often], names=list(BLOCK))
 
     made = documents(docs).mapInArrow(run, "doc_ids array<long>, sizes array<int>, numbers binary, segments array<string>, counts array<long>")
@@ -217,7 +219,7 @@ def segment_blocks(docs: DataFrame) -> DataFrame:
 
 
 def aligned(parts: DataFrame, spec: Tokenizers) -> DataFrame:
-    """``parts``: segment, n and blocks, distinct.  Adds n_a, n_b, n_groups, n_links, groups, and the links as arrays a and b."""
+    """``parts``: segment, n and blocks, distinct.  Adds n_a, n_b, n_groups, n_links, groups, and the pairs of the links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = aligner(spec)
@@ -233,36 +235,92 @@ def aligned(parts: DataFrame, spec: Tokenizers) -> DataFrame:
             size = np.concatenate([m.n_links for m in made])
             offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
             numbers = [pa.array(np.concatenate([getattr(m, c) for m in made]).astype(np.int64)) for c in ("n_a", "n_b", "n_groups", "n_links")]
-            links = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(m, c) for m in made]))) for c in ("a", "b")]
+            links = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([m.pairs for m in made])))
             kept = [batch.column(c).take(pa.array(order)) for c in ("segment", "n", "blocks")]
-            columns = [*kept, *numbers, pa.array([g for m in made for g in m.groups], pa.string()), *links]
-            yield pa.RecordBatch.from_arrays(columns, names=["segment", "n", "blocks", "n_a", "n_b", "n_groups", "n_links", "groups", "a", "b"])
+            columns = [*kept, *numbers, pa.array([g for m in made for g in m.groups], pa.string()), links]
+            yield pa.RecordBatch.from_arrays(columns, names=["segment", "n", "blocks", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
 
-    schema = "segment string, n long, blocks long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>"
+    schema = "segment string, n long, blocks long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>"
     return parts.mapInArrow(run, schema)
 
 
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+OWN = ("segment", "blocks", "n_a", "n_b", "n_groups", "n_links", "key", "groups")
+
+
 def pair_counts(found: DataFrame) -> DataFrame:
-    """a, b, count (links of the pair over the corpus), times (among distinct segments) and best (whether it is the highest of b)."""
-    each = found.select("n", F.explode(F.arrays_zip("a", "b")).alias("l"))
-    counts = stored(each.groupBy("l.a", "l.b").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("times")), "align-pairs")
-    highest = counts.groupBy("b").agg(F.max("count").alias("highest"))
-    return counts.join(highest, "b").select("a", "b", "count", "times", (F.col("count") == F.col("highest")).alias("best"))
+    """pair (the ids as one number), count (links over the corpus), times (among distinct segments), best (whether it is the highest of its B id)."""
+    each = found.select("n", F.explode("pairs").alias("pair"))
+    counts = each.groupBy("pair").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("times"))
+    counts = stored(counts.withColumn("b", F.col("pair") % SHIFT), "align-pairs", compression="zstd")
+    highest = counts.groupBy("b").agg(F.max("count").alias("highest"))  # a row for each id of a vocabulary
+    return counts.join(F.broadcast(highest), "b").select("pair", "count", "times", (F.col("count") == F.col("highest")).alias("best"))
+
+
+def least_level(rows: DataFrame, by: str, most: int) -> int:
+    """The least level of ``by`` (16 to each power of two, so at most 16 * 63) from which on there are ``most`` rows at most."""
+    held = 0
+    for r in sorted(rows.groupBy(level(by).alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            return r["level"] + 1
+    return 0
 
 
-def segment_scores(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The segments with n_best and count_sum instead of their links."""
-    each = stored(found.select("key", F.explode(F.arrays_zip("a", "b")).alias("l")).select("key", "l.*"), "align-links")
-    met = keyed_join(each, pairs, ["a", "b"], "times", each.count())
-    sums = met.groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    return found.join(sums, "key").select("segment", "blocks", *NUMBERS, "groups")
+def level(by: str) -> Column:
+    return F.floor(F.log2(by) * 16).cast("int")
 
 
-NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+class Pairs:
+    """The pairs of most segments with their counts, KEPT_PAIRS at most."""
+
+    def __init__(self, pairs: DataFrame, most: int) -> None:
+        least = least_level(pairs, "times", most)
+        table = pairs.filter(level("times") >= least).select("pair", "count", "best").toArrow()
+        order = np.argsort(table.column("pair").to_numpy())
+        self.pair, self.count, self.best = (table.column(c).to_numpy()[order] for c in ("pair", "count", "best"))
+        self.rest = pairs.filter(level("times") < least) if least else None
+
+    def look(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(known, count, best) of pairs; zeros where one is not known."""
+        if not len(self.pair):
+            return np.zeros(len(pairs), bool), np.zeros(len(pairs), np.int64), np.zeros(len(pairs), bool)
+        at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+        known = self.pair[at] == pairs
+        return known, np.where(known, self.count[at], 0), known & self.best[at]
+
+
+def scored(found: DataFrame, pairs: Pairs) -> DataFrame:
+    """The segments with n_best and count_sum instead of their pairs.
+
+    Links of pairs that are not known to every worker meet their counts by a join.
+    """
+    rest, pairs.rest = pairs.rest, None  # the table stays behind
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("pairs")
+            codes = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            known, count, best = pairs.look(codes)
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]).astype(np.int64) for x in (best, count)]
+            more = pa.array(np.concatenate([[0], np.cumsum(~known)])[ends].astype(np.int32))
+            columns = [*[batch.column(c) for c in OWN], *map(pa.array, sums), pa.ListArray.from_arrays(more, pa.array(codes[~known]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*OWN, "n_best", "count_sum", "more"])
+
+    numbers = ", ".join(f"{n} long" for n in ("blocks", *NUMBERS[:4], "key"))
+    looked = found.mapInArrow(run, f"segment string, {numbers}, groups string, n_best long, count_sum long, more array<long>")
+    if rest is not None:
+        pairs.rest = rest
+        each = looked.select("key", F.explode("more").alias("pair"))
+        met = each.join(rest, "pair").groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("b"), F.sum("count").alias("c"))
+        looked = looked.join(met, "key", "left")
+        looked = looked.withColumns({"n_best": F.col("n_best") + F.coalesce("b", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("c", F.lit(0))})
+    return looked.select("segment", "blocks", *NUMBERS, "groups")
 
 
 class Known:
-    """The most frequent segments with their scores, and none more than KEPT of KEPT_BYTES at most."""
+    """Segments that every worker knows, with their scores."""
 
     def __init__(self, table: pa.Table) -> None:
         self.segments = table.column("segment").combine_chunks()
@@ -274,19 +332,6 @@ class Known:
         return pc.fill_null(pc.index_in(segments, value_set=self.segments), -1).to_numpy(zero_copy_only=False)
 
 
-def known_segments(scored: DataFrame, most: int) -> Known:
-    """Segments of the most blocks: as many whole classes of counts as ``most`` allows."""
-    short = scored.filter((F.octet_length("segment") <= KEPT_BYTES) & (F.col("blocks") > 1))
-    short = short.withColumn("level", F.floor(F.log2("blocks") * 16).cast("int"))  # at most 16 * 63 classes
-    least, held = 0, 0
-    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):
-        held += r["count"]
-        if held > most:
-            least = r["level"] + 1
-            break
-    return Known(short.filter(F.col("level") >= least).select("segment", *NUMBERS, "groups").toArrow())
-
-
 def rare_rows(blocks: DataFrame, known: Known) -> DataFrame:
     """block, number, segment of the segments of a block that are not known."""
 
@@ -300,12 +345,23 @@ def rare_rows(blocks: DataFrame, known: Known) -> DataFrame:
     return blocks.select("block", "segments").mapInArrow(run, "block long, number int, segment string")
 
 
+def slotted(blocks: DataFrame, known: Known) -> DataFrame:
+    """The blocks with the places of their segments among the known ones instead of the segments."""
+    kept = ["block", "doc_ids", "sizes", "numbers"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = [known.slots(parts.values).astype("<i4").tobytes() for parts in batch.column("segments")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(slots, _BYTES)], names=[*kept, "slots"])
+
+    return blocks.select(*kept, "segments").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, numbers binary, slots binary")
+
+
 def composer(known: Known):
     """A block and the scores of its rare segments to the rows of its documents."""
 
     def run(blocks: pa.Table, rare: pa.Table) -> pa.Table:
-        own = {c: blocks.column(c)[0].values for c in ("doc_ids", "sizes", "segments")}
-        slots = known.slots(own["segments"])
+        slots = np.frombuffer(blocks.column("slots")[0].as_py(), "<i4")
         values = np.zeros((len(slots), len(NUMBERS)), np.int64)
         often = np.flatnonzero(slots >= 0)
         values[often] = known.numbers[slots[often]]
@@ -317,32 +373,51 @@ def composer(known: Known):
             values[at] = np.stack([rare.column(n).to_numpy() for n in NUMBERS], 1)
             for i, g in zip(at.tolist(), rare.column("groups").to_pylist()):
                 groups[i] = g
-        numbers = np.frombuffer(blocks.column("numbers")[0].as_py(), "<i4")
-        ends = np.concatenate([[0], np.cumsum(own["sizes"].to_numpy())])
+        numbers = unpacked(blocks.column("numbers")[0].as_py())
+        ends = np.concatenate([[0], np.cumsum(blocks.column("sizes")[0].values.to_numpy())])
         sums = [np.concatenate([[0], np.cumsum(values[numbers, c])])[ends] for c in range(len(NUMBERS))]
         digests = []
         for low, high in zip(ends.tolist(), ends[1:].tolist()):
             text = ";".join(map(groups.__getitem__, numbers[low:high].tolist()))
             digests.append(hashlib.sha256(text.encode()).hexdigest() if high > low else "")
-        return pa.table([own["doc_ids"], *[pa.array(np.diff(s)) for s in sums], pa.array(digests, pa.string())], names=["doc_id", *NUMBERS, "groups_sha256"])
+        columns = [blocks.column("doc_ids")[0].values, *[pa.array(np.diff(s)) for s in sums], pa.array(digests, pa.string())]
+        return pa.table(columns, names=["doc_id", *NUMBERS, "groups_sha256"])
 
     return run
 
 
-def align_documents(docs: DataFrame, spec: Tokenizers, kept: int = KEPT) -> DataFrame:
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as their number and compressed bytes, those of one weight together."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(numbers).to_bytes(8, "little") + pa.Codec("zstd").compress(planes, asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    count = int.from_bytes(raw[:8], "little")
+    planes = pa.Codec("zstd").decompress(raw[8:], 4 * count, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def align_documents(docs: DataFrame, spec: Tokenizers, kept: int = KEPT, kept_pairs: int = KEPT_PAIRS) -> DataFrame:
     """doc_id, the numbers of tokens, groups and links, n_best, count_sum and groups_sha256 of every document."""
     blocks = segment_blocks(docs)
     each = blocks.select(F.inline(F.arrays_zip("segments", "counts")))
     distinct = each.groupBy(F.col("segments").alias("segment")).agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("blocks"))
     with arrow_rows(docs.sparkSession, 50 * RUN):
-        spread = distinct.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)
-        found = stored(aligned(spread, spec).withColumn("key", F.monotonically_increasing_id()), "align-found", compression="zstd")
-    scored = stored(segment_scores(found, pair_counts(found)), "align-scored", compression="zstd")
-    known = known_segments(scored, kept)
-    with arrow_rows(docs.sparkSession, 4):
-        rare = stored(rare_rows(blocks, known), "align-rare", compression="zstd")
-    met = keyed_join(rare, scored, ["segment"], "blocks", rare.count())
+        found = stored(aligned(distinct, spec).withColumn("key", F.monotonically_increasing_id()), "align-found", compression="zstd")
+    pairs = Pairs(pair_counts(found), kept_pairs)
+    # Known to every worker: short segments of the most blocks.
+    short = (F.octet_length("segment") <= KEPT_BYTES) & (F.col("blocks") > 1)
+    least = least_level(found.filter(short), "blocks", kept)
+    often = short & (level("blocks") >= least)
+    known = Known(scored(found.filter(often), pairs).toArrow())
+    rest = found.filter(~often)
+    total = rest.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    limit = max(1, int(total * HOT_SHARE))  # fewer than 1 / HOT_SHARE segments are in more blocks
+    hot, cold = (scored(rest.filter(x), pairs) for x in (F.col("blocks") > limit, F.col("blocks") <= limit))
+    rare = rare_rows(blocks, known)
+    names = F.broadcast(rest.filter(F.col("blocks") > limit).select("segment"))
+    met = rare.join(F.broadcast(hot), "segment").unionByName(rare.join(names, "segment", "left_anti").join(cold, "segment"))
     theirs = met.select(F.col("block").alias("b"), "number", *NUMBERS, "groups")
-    mine = blocks.select("block", "doc_ids", "sizes", "numbers", "segments")
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_sha256 string"
-    return mine.groupBy("block").cogroup(theirs.groupBy("b")).applyInArrow(composer(known), schema)
+    return slotted(blocks, known).groupBy("block").cogroup(theirs.groupBy("b")).applyInArrow(composer(known), schema)

@@ -111,8 +111,8 @@ def test_random_texts_and_many_blocks(spark, monkeypatch):
     rows = [(i, "".join(draw.choices(signs, k=draw.randrange(60)))) for i in range(300)]
     rows += [(i, rows[7][1]) for i in range(300, 400)]  # copies
     df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), slow(rows)
-    for kept in (0, 20, 10**6):  # segments that all workers know
-        assert strip(alignment.align_documents(df, FILES, kept).collect()) == want
+    for kept, pairs in ((0, 0), (20, 30), (10**6, 10**6)):  # segments and pairs that all workers know
+        assert strip(alignment.align_documents(df, FILES, kept, pairs).collect()) == want
 
 
 def test_cuts_keep_the_text():
