@@ -44,7 +44,7 @@ from .common import HOT_SHARE, arrow_rows, documents, stored
 from .tokens import slices
 
 #: Text bytes of a block of documents, about; a longer document is a block by itself.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 12_000_000
 #: Segments that are encoded as one text.
 RUN = 400
 #: Frequent segments that every worker knows, at most, and the bytes of one.
@@ -52,6 +52,7 @@ KEPT = 200_000
 KEPT_BYTES = 32
 #: Frequent pairs of ids that every worker knows, at most.
 KEPT_PAIRS = 3_000_000
+HALF = (1 << 32) - 1
 #: A pair of ids (a, b) is the number a * SHIFT + b.
 SHIFT = 1 << 24
 #: The piece file's mark for a blank.
@@ -351,7 +352,7 @@ def slotted(blocks: DataFrame, known: Known) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [known.slots(parts.values).astype("<i4").tobytes() for parts in batch.column("segments")]
+            slots = [packed(known.slots(parts.values) + 1) for parts in batch.column("segments")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(slots, _BYTES)], names=[*kept, "slots"])
 
     return blocks.select(*kept, "segments").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, numbers binary, slots binary")
@@ -361,7 +362,7 @@ def composer(known: Known):
     """A block and the scores of its rare segments to the rows of its documents."""
 
     def run(blocks: pa.Table, rare: pa.Table) -> pa.Table:
-        slots = np.frombuffer(blocks.column("slots")[0].as_py(), "<i4")
+        slots = unpacked(blocks.column("slots")[0].as_py()) - 1
         values = np.zeros((len(slots), len(NUMBERS)), np.int64)
         often = np.flatnonzero(slots >= 0)
         values[often] = known.numbers[slots[often]]
@@ -370,7 +371,10 @@ def composer(known: Known):
             groups[i] = known.groups[slots[i]]
         if len(rare):
             at = rare.column("number").to_numpy()
-            values[at] = np.stack([rare.column(n).to_numpy() for n in NUMBERS], 1)
+            high, low = (rare.column(c).to_numpy() for c in ("tokens", "parts"))
+            n_a, n_b, n_groups, n_best = high >> 32, high & HALF, low >> 32, low & HALF
+            # A group of p and q tokens has p + q - 1 links, as each ends where the last token of both does.
+            values[at] = np.stack([n_a, n_b, n_groups, n_a + n_b - n_groups, n_best, rare.column("count_sum").to_numpy()], 1)
             for i, g in zip(at.tolist(), rare.column("groups").to_pylist()):
                 groups[i] = g
         numbers = unpacked(blocks.column("numbers")[0].as_py())
@@ -418,6 +422,8 @@ def align_documents(docs: DataFrame, spec: Tokenizers, kept: int = KEPT, kept_pa
     rare = rare_rows(blocks, known)
     names = F.broadcast(rest.filter(F.col("blocks") > limit).select("segment"))
     met = rare.join(F.broadcast(hot), "segment").unionByName(rare.join(names, "segment", "left_anti").join(cold, "segment"))
-    theirs = met.select(F.col("block").alias("b"), "number", *NUMBERS, "groups")
+    # Two numbers in one, as a block has less than 2^31 tokens, since most of what is sent are these rows.
+    two = lambda x, y: F.shiftleft(F.col(x), 32) + F.col(y)
+    theirs = met.select(F.col("block").alias("b"), "number", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("parts"), "count_sum", "groups")
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_sha256 string"
     return slotted(blocks, known).groupBy("block").cogroup(theirs.groupBy("b")).applyInArrow(composer(known), schema)
