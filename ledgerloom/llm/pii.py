@@ -2,10 +2,13 @@
 
 Entities are found by one pattern.  A surrogate is of the entity's type and
 keeps its format: letters stay letters of the same script and case, digits
-stay digits, punctuation stays; card numbers keep a valid check digit,
-addresses of machines keep octets in range, hexadecimal secrets stay
-hexadecimal, mail addresses keep their last label, telephone numbers the first
-digit of a country code, and titled names keep title, gender and script.
+stay digits, punctuation stays; card numbers keep a valid check digit, account
+numbers (IBAN) their country and valid check digits, addresses of machines keep
+octets in range, hexadecimal secrets stay hexadecimal and others keep the prefix
+that names their kind, social security numbers keep to the ranges in use, mail
+addresses keep their last label, telephone numbers the first digit of a country
+code or the 0 of a national one, and titled names keep title, gender, script,
+capitals and initials as such.
 
 Coreference: surrogates belong to canonical entities (case and separators
 removed), so the same entity gets the same surrogate wherever and however it is
@@ -15,7 +18,8 @@ drawn again for all but the least of them, until none collides.  Draws that
 collide again and again widen within the format: longer names, addresses with
 octets of other lengths, longer mail names, numbers and secrets.  Surnames and
 given names of titled names are entities each, so two people get one name only
-where they have one.
+where they have one, and a family keeps one name whatever its titles: a Cyrillic
+surname and its feminine form share a stem.
 
 The key comes from the caller; the same key gives the same surrogates.
 
@@ -32,6 +36,7 @@ table stays empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -41,23 +46,30 @@ from .common import documents, keyed_join, stored
 
 #: Patterns of the entity types, most specific first (Java syntax).
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
-TITLES_M = r"(?:Mr|Herr|Monsieur|Señor|Sr|Господин|г-н)"
-TITLES_F = r"(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|г-жа)"
-NAME = r"\p{Lu}(?:\p{Ll}|\p{Lu}(?=\p{Ll})|['’-](?=\p{L})\p{Lu}?){1,60}(?!\p{L})"
+TITLES_M = r"(?:Mr|MR|Herr|Monsieur|Señor|Sr|Господин|[Гг]-н)"
+TITLES_F = r"(?:Mrs|MRS|Ms|MS|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|[Гг]-жа)"
+TITLES_N = r"(?:Prof(?:essor)?\.? Dr|Prof(?:essor)?|Doctor|Dr)"
+NAME = r"(?:\p{Lu}(?:\p{Ll}|\p{Lu}(?=\p{Ll})|['’-](?=\p{L})\p{Lu}?){1,60}|\p{Lu}[\p{Lu}'’-]{0,60}\p{Lu})(?!\p{L})"
+#: Initials before a name.
+INITIALS = r"(?:\p{Lu}\. ?){0,4}"
 #: What names a secret, up to the value or its quote; the value may stand without quotes, but a titled name is no value.
 NAMED = r"(?i:token|secret|password|api[_ -]?key)[\"']?[ ]{0,2}[=:][ ]{0,2}"
 PATTERNS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[._%+-]*+[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9][A-Za-z0-9.-]*(?<=\.[A-Za-z]{2,63})",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,6}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])(?<=[A-Z0-9 ]{15,40})",
     "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abp]-[A-Za-z0-9-]{10,})(?![0-9A-Za-z])",
-    "value": rf"(?<=[=: \"'])(?<={NAMED}[\"']?)(?:(?<=[\"'])[^\"'\s]{{6,}}(?=[\"'])|(?<![\"'])(?!(?:{TITLES_M}|{TITLES_F})\.? \p{{Lu}})[^\"'\s]{{5,}}[^\"'\s.,;:)\]}}>])",
+    "value": rf"(?<=[=: \"'])(?<={NAMED}[\"']?)(?:(?<=[\"'])[^\"'\s]{{6,}}(?=[\"'])|(?<![\"'])(?!(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? \p{{Lu}})[^\"'\s]{{5,}}[^\"'\s.,;:)\]}}>])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]{0,39}::|(?:[0-9A-Fa-f]{1,4}:){7})(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{1,4}){1,4}[ .-]?\d{2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
+    "phone": r"\+(?=(?:[ .()-]{0,2}\d){7})\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{1,4}){1,4}[ .-]?\d{2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])|(?<![\d+(.-])0\d{2,4}[ -]\d{3,4}[ -]?\d{3,4}(?![ -]?\d)",
     "card": r"(?<!\d)(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5}|\d{13,19})(?!\d)",
-    "male": rf"(?<!\p{{L}}){TITLES_M}\.? {NAME}(?: {NAME})?",
-    "female": rf"(?<!\p{{L}}){TITLES_F}\.? {NAME}(?: {NAME})?",
+    "male": rf"(?<!\p{{L}}){TITLES_M}\.? {INITIALS}{NAME}(?: {NAME})?",
+    "female": rf"(?<!\p{{L}}){TITLES_F}\.? {INITIALS}{NAME}(?: {NAME})?",
+    "titled": rf"(?<!\p{{L}}){TITLES_N}\.? {INITIALS}{NAME}(?: {NAME})?",
 }
+#: Title and initials of a titled name.
+LEAD = rf"\A(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? {INITIALS}(?=\p{{Lu}})"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Alphabets by script; a letter is drawn from its own.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -69,25 +81,32 @@ SYLLABLES = {
     "cyrillic": "ба бе бо ва ве да де до ка ке ла ле ло ма ме мо на не но па пе ра ре ро са се та те то".split(),
 }
 ENDINGS = {
-    "male": "rd son ll nt".split(),
-    "female": "rd son ll nt".split(),
+    "surname": "rd son ll nt".split(),
     "male given": "us o el an".split(),
     "female given": "a ia ina elle".split(),
+    "titled given": "y is ey ie".split(),
 }
+#: Surnames are drawn in their masculine form, whose feminine one ends with an а more.
 ENDINGS_CYRILLIC = {
-    "male": ["ров", "нов", "лин"],
-    "female": ["рова", "нова", "лина"],
+    "surname": ["ров", "нов", "лин"],
     "male given": ["ан", "ор", "ис"],
     "female given": ["ана", "ора", "иса"],
+    "titled given": ["ня", "ша", "ля"],
 }
 GIVEN = {
     ("latin", "male"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leo Max Noel Oscar Paul".split(),
     ("latin", "female"): "Anna Berta Clara Diana Emma Flora Greta Helena Ida Julia Karla Lena Maria Nora Olga Paula".split(),
+    ("latin", "titled"): "Alex Chris Dana Eli Jo Kim Lou Nicola Pat Quinn Robin Sam Sascha Toni Val Yuri".split(),
+    ("cyrillic", "titled"): "Валя Женя Паша Саша Слава Шура".split(),
     ("cyrillic", "male"): "Антон Борис Виктор Глеб Денис Иван Карл Лев Марк Олег Павел Роман".split(),
     ("cyrillic", "female"): "Анна Белла Вера Галина Дина Елена Зоя Инна Лидия Мария Нина Ольга".split(),
 }
 #: Given names are entities of their own kinds.
-GIVEN_KIND = {"male": "male given", "female": "female given"}
+GIVEN_KIND = {"male": "male given", "female": "female given", "titled": "titled given"}
+#: Prefixes of secrets that name their kind, without marks.
+PREFIX = r"\A(?:akia|gh[pousr]|sk|xox[abp])"
+#: Cyrillic surnames in their feminine form, and what the masculine one has in place of the end.
+FEMININE = ((r"(?<=[оеё]в|[иы]н)а\z", ""), (r"(?<=[сц]к)ая\z", "ий"))
 #: Draws after which the next ones are from a wider space of the same format.
 WIDEN = 8
 #: More rounds than widening draws need; beyond, a format of fixed size is exhausted.
@@ -107,14 +126,21 @@ def _part(word: Column) -> Column:
     return F.lower(F.translate(word, "’", "'"))
 
 
+def _names(entity: Column) -> Column:
+    """The words of a titled name without title and initials."""
+    return F.split(F.regexp_replace(entity, LEAD, ""), " ")
+
+
 def canonical(kind: Column, entity: Column) -> Column:
-    """What coreferent mentions share."""
-    surname = _part(F.element_at(F.split(entity, " "), -1))
+    """What coreferent mentions share; of names the surname in its masculine form."""
+    surname = _part(F.element_at(_names(entity), -1))
+    for ending, masculine in FEMININE:
+        surname = F.regexp_replace(surname, ending, masculine)
     bare = F.lower(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
     return (
-        F.when(kind.isin("male", "female"), surname)
+        F.when(kind.isin(*GIVEN_KIND), surname)
         .when(kind == "email", F.lower(F.regexp_replace(entity, r"\A[._%+-]+", "")))
-        .when(kind == "value", F.lower(entity))
+        .when(kind.isin("value", "ipv6"), F.lower(entity))
         .when(kind == "ip", entity)  # octets are what is drawn
         .otherwise(bare)
     )
@@ -122,26 +148,29 @@ def canonical(kind: Column, entity: Column) -> Column:
 
 def given_name(kind: Column, entity: Column) -> Column:
     """The canonical given name of a titled name, null where it has none."""
-    words = F.split(entity, " ")
-    return F.when(kind.isin("male", "female") & (F.size(words) > 2), _part(F.get(words, 1)))
+    words = _names(entity)
+    return F.when(kind.isin(*GIVEN_KIND) & (F.size(words) > 1), _part(F.get(words, 0)))
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, th, pos, entity, kind, canon of every match in every text, in the order of the text."""
+    """doc_id, th, pos, entity, form, kind, canon of every match in every text, in the order of the text.
+
+    ``form`` is the pattern; ``kind`` the kind of entity, which is one for the surnames of all forms of names.
+    """
     rows = documents(docs).filter(F.col("text").rlike(ANY))
     found = rows.select(
         "doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "entity")
     )
-    typed = found.withColumn("kind", _first_type(F.col("entity")))
-    return typed.withColumn("canon", canonical(F.col("kind"), F.col("entity")))
+    typed = found.withColumn("form", _first_type(F.col("entity")))
+    kind = F.when(F.col("form").isin(*GIVEN_KIND), "surname").otherwise(F.col("form"))
+    return typed.withColumns({"kind": kind, "canon": canonical(F.col("form"), F.col("entity"))})
 
 
 def _noise(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     """Blocks of 64 hex digits of a keyed hash, enough for two digits a character and some more."""
-    return F.transform(
-        F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int") + 1),
-        lambda b: F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string"), b.cast("string")), 256),
-    )
+    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, draw.cast("string")), 256)  # the entity is read once
+    blocks = F.sequence(F.lit(0), F.floor(F.length(canon) / 32).cast("int") + 1)
+    return let(seed, lambda z: F.transform(blocks, lambda b: F.sha2(F.concat_ws("|", z, b.cast("string")), 256)))
 
 
 def _number(noise: Column, i: Column) -> Column:
@@ -213,18 +242,38 @@ def draw_surrogate(kind: Column, canon: Column, draw: Column, key: str) -> Colum
             endings = ENDINGS_CYRILLIC if s == "cyrillic" else ENDINGS
             return F.concat(F.array_join(body, ""), _pick(endings[role], _number(z, F.lit(1))))
 
+        def account(plain: Column) -> Column:
+            """Country, check digits by the remainder of 97, and the rest as drawn."""
+            country, rest = F.substr(canon, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
+            digits = F.split(F.concat(rest, country, F.lit("00")), "")
+            left = F.aggregate(digits, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 87) % 97))
+            return F.concat(country, F.lpad((98 - left).cast("string"), 2, "0"), rest)
+
+        def security(plain: Column) -> Column:
+            """Areas 001 to 899 but for 666, groups from 01, serials from 0001 on."""
+            area, group, serial = (F.substr(plain, F.lit(at), F.lit(n)).cast("int") for at, n in ((1, 3), (4, 2), (6, 4)))
+            area = area % 898 + 1
+            area = F.when(area >= 666, area + 1).otherwise(area)
+            parts = [F.lpad(x.cast("string"), n, "0") for x, n in ((area, 3), (group % 99 + 1, 2), (serial % 9999 + 1, 4))]
+            return F.concat(*parts, F.substr(plain, F.lit(10)))
+
         hexed = F.substr(F.array_join(z, ""), F.lit(1), F.length(canon) + wider)
         hex_only = (kind == "secret") & canon.rlike(r"\A[0-9a-f]+\z")
-        abroad = (kind == "phone") & (F.length(canon) > 10)  # the first digit of a country code stays
+        groups = F.transform(letters, lambda c, i: F.when(c == ":", c).otherwise(_pick("0123456789abcdef", _number(z, i))))
+        address = F.concat(F.array_join(groups, ""), more("0123456789abcdef"))
+        first_stays = (kind == "phone") & ((F.length(canon) > 10) | F.startswith(canon, F.lit("0")))  # of a country code, or a national 0
         phone = F.concat(F.substr(canon, F.lit(1), F.lit(1)), F.substr(number, F.lit(2)))
-        out = F.when(kind == "email", email).when(kind == "card", card).when(hex_only, hexed).when(abroad, phone)
+        prefix = F.when(kind == "secret", F.regexp_extract(canon, PREFIX, 0)).otherwise("")
+        secret = F.concat(prefix, F.substr(redrawn(letters), F.length(prefix) + 1), more(LATIN))
+        out = F.when(kind == "email", email).when(kind == "card", card).when(hex_only, hexed).when(first_stays, phone)
+        out = out.when(kind == "iban", let(number, account)).when(kind == "ssn", let(number, security)).when(kind == "ipv6", address)
         for s in SYLLABLES:
+            out = out.when((kind == "surname") & (script == s), name(s, "surname"))
             for gender, given in GIVEN_KIND.items():
                 # The names known by heart serve for the first draw; those that collide or are real are made of syllables.
                 first = F.lower(_pick(GIVEN[s, gender], _number(z, F.lit(0))))
-                out = out.when((kind == gender) & (script == s), name(s, gender))
                 out = out.when((kind == given) & (script == s), F.when(draw == 0, first).otherwise(name(s, given)))
-        return out.when(kind.isin("value", "secret"), F.concat(redrawn(letters), more(LATIN))).otherwise(number)
+        return out.when(kind.isin("value", "secret"), secret).otherwise(number)
 
     return let(_noise(key, kind, canon, draw), drawn)
 
@@ -272,15 +321,24 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     raise RuntimeError(f"no surrogates of the format are left: {', '.join(kinds)}")
 
 
-def _dress(kind: Column, entity: Column, surrogate: Column, given: Column) -> Column:
-    """The surrogate in the format of the mention; ``given`` is that of its given name, null without one."""
+def _turned(key: str) -> tuple[str, str]:
+    """Capitals, and those that stand for them as initials: each alphabet turned by a step that the key tells."""
+    step = 1 + int(hashlib.sha256(key.encode()).hexdigest(), 16) % 20
+    alphabets = [a.upper() for a in (LATIN, CYRILLIC, GREEK)]
+    return "".join(alphabets), "".join(a[step:] + a[:step] for a in alphabets)
+
 
-    def cased(old: Column, new: Column) -> Column:
-        # Digits may become letters, whose case is that of the whole.
-        return F.when(~entity.rlike(r"\p{Ll}") | old.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+def _dress(form: Column, entity: Column, surrogate: Column, given: Column, key: str) -> Column:
+    """The surrogate in the format of the mention; ``given`` is that of its given name, null without one."""
 
-    def spread(chars: Column, new: Column) -> Column:
+    def spread(bound: Column) -> Column:
         """Letters and digits take the surrogate's characters in turn, the rest stays; what is left over follows."""
+        chars, new, capitals = bound["chars"], bound["new"], bound["capitals"]
+
+        def cased(old: Column, c: Column) -> Column:
+            # Digits may become letters, whose case is that of the whole.
+            return F.when(capitals | old.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
+
         places = F.transform(chars, lambda c, i: F.struct(i.alias("at"), c.alias("c")))
         stay = F.filter(places, lambda x: ~x["c"].rlike(r"[\p{L}\p{N}]"))
         taken = F.filter(places, lambda x: x["c"].rlike(r"[\p{L}\p{N}]"))
@@ -294,19 +352,29 @@ def _dress(kind: Column, entity: Column, surrogate: Column, given: Column) -> Co
         pairs = F.arrays_zip(chars.alias("old"), new.alias("new"))
         return F.array_join(F.transform(pairs, lambda x: F.when(F.coalesce(x["old"], F.lit("")).rlike(r"\p{Lu}"), F.upper(x["new"])).otherwise(x["new"])), "")
 
-    words = F.split(entity, " ")
-    name = F.concat_ws(" ", F.get(words, 0), F.initcap(given), F.initcap(surrogate))
+    def as_word(old: Column, new: Column) -> Column:
+        return F.when(old.rlike(r"\p{Lu}{2}\z"), F.upper(new)).otherwise(F.initcap(new))
+
+    words = _names(entity)
+    last = F.element_at(words, -1)
+    title = F.regexp_extract(entity, rf"\A(?:{TITLES_M}|{TITLES_F}|{TITLES_N})\.? ", 0)
+    initials = F.substr(F.regexp_extract(entity, LEAD, 0), F.length(title) + 1)
+    feminine = (form == "female") & surrogate.rlike(r"\p{IsCyrillic}\z")
+    surname = F.concat(surrogate, F.when(feminine, "а").otherwise(""))
+    name = F.concat(title, F.translate(initials, *_turned(key)), F.when(given.isNotNull(), F.concat(as_word(F.get(words, 0), given), F.lit(" "))).otherwise(""), as_word(last, surname))
     lead = F.regexp_extract(entity, r"\A[._%+-]*", 0)  # of a mail address
     address = F.substr(entity, F.length(lead) + 1)
     wider = F.length(surrogate) - F.length(address)
     mail = F.concat(lead, F.substr(surrogate, F.lit(1), wider), same_place(F.split(address, ""), F.split(F.substr(surrogate, wider + 1), "")))
+    bound = F.struct(F.split(entity, "").alias("chars"), F.split(surrogate, "").alias("new"), (~entity.rlike(r"\p{Ll}")).alias("capitals"))
     return (
-        F.when(kind.isin("male", "female"), name)
-        .when(kind == "ip", surrogate)
-        .when(kind == "email", mail)
-        .when(kind == "value", same_place(F.split(entity, ""), F.split(surrogate, "")))
+        F.when(form.isin(*GIVEN_KIND), name)
+        .when(form == "ip", surrogate)
+        .when(form == "ipv6", F.when(entity.rlike("[A-F]"), F.upper(surrogate)).otherwise(surrogate))
+        .when(form == "email", mail)
+        .when(form == "value", same_place(F.split(entity, ""), F.split(surrogate, "")))
         .when(entity.rlike(r"\A[\p{Ll}\p{N}]+\z") & entity.rlike(r"\p{Ll}"), surrogate)
-        .otherwise(let(F.split(entity, ""), lambda chars: spread(chars, F.split(surrogate, ""))))
+        .otherwise(let(bound, spread))
     )
 
 
@@ -314,8 +382,8 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with its own columns and surrogates in ``text``; ``n_entities`` is added under that name."""
     columns = docs.columns
     found = mentions(docs)
-    given_kind = F.concat("kind", F.lit(" given"))
-    found = found.withColumn("given", given_name(F.col("kind"), F.col("entity")))
+    given_kind = F.concat("form", F.lit(" given"))
+    found = found.withColumn("given", given_name(F.col("form"), F.col("entity")))
     found = stored(found.withColumn("given_kind", F.when(F.col("given").isNotNull(), given_kind)), "pii-mentions")
     titled = found.filter("given IS NOT NULL")
     named = found.select("kind", "canon").unionByName(titled.select(F.col("given_kind").alias("kind"), F.col("given").alias("canon")))
@@ -331,7 +399,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     bare = placed.filter("given IS NULL").withColumn("given_surrogate", F.lit(None).cast("string"))
     placed = bare.unionByName(full.select(*bare.columns))
     dressed = placed.select(
-        "doc_id", "th", "pos", _dress(F.col("kind"), F.col("entity"), F.col("surrogate"), F.col("given_surrogate")).alias("new")
+        "doc_id", "th", "pos", _dress(F.col("form"), F.col("entity"), F.col("surrogate"), F.col("given_surrogate"), key).alias("new")
     )
     # Rows that repeat id and text find the same entities: one list serves them all.
     lists = dressed.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "new"))).alias("news"))

@@ -47,8 +47,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession) -> str:
-    """The secret key of surrogates: the session's setting; without one a key for trials, which is no secret."""
-    return spark.conf.get("spark.ledgerloom.surrogateKey", "trial")
+    """The secret key of surrogates: the session's setting.
+
+    Without one a session on this machine takes a key for trials, which is no secret; on a cluster that is an error.
+    """
+    key = spark.conf.get("spark.ledgerloom.surrogateKey", "")
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.ledgerloom.surrogateKey to a secret")
+    return key or "trial"
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,9 +15,24 @@ def kind_of(entity):
     return next((k for k in KINDS if k != "value" and WHOLE[k].search(entity)), "value")
 
 
+LEAD = regex.compile(pii.LEAD)
+
+
+def name_parts(entity):
+    """(title, initials, words)"""
+    lead = LEAD.match(entity)[0]
+    title = regex.match(rf"(?:{pii.TITLES_M}|{pii.TITLES_F}|{pii.TITLES_N})\.? ", lead)[0]
+    return title, lead[len(title) :], entity[len(lead) :].split(" ")
+
+
 def canonical(kind, entity):
-    if kind in ("male", "female"):
-        return entity.split(" ")[-1].replace("’", "'").lower()
+    if kind in pii.GIVEN_KIND:
+        word = name_parts(entity)[2][-1].replace("’", "'").lower()
+        if word[-3:] in ("ова", "ева", "ёва", "ина", "ына"):
+            return word[:-1]
+        return word[:-2] + "ий" if word[-4:] in ("ская", "цкая") else word
+    if kind == "ipv6":
+        return entity.lower()
     if kind == "email":
         return entity.lstrip("._%+-").lower()
     if kind in ("value", "ip"):
@@ -34,7 +49,8 @@ def luhn(digits):
 
 
 def draw(kind, canon, n, key):
-    blocks = [hashlib.sha256(f"{key}|{kind}|{canon}|{n}|{b}".encode()).hexdigest() for b in range(len(canon) // 32 + 2)]
+    seed = hashlib.sha256(f"{key}|{kind}|{canon}|{n}".encode()).hexdigest()
+    blocks = [hashlib.sha256(f"{seed}|{b}".encode()).hexdigest() for b in range(len(canon) // 32 + 2)]
     byte = lambda i: int("".join(blocks)[2 * i : 2 * i + 2], 16)
     wider = n // pii.WIDEN
 
@@ -65,7 +81,7 @@ def draw(kind, canon, n, key):
             octets.append(str(low + byte(i) % span))
         return ".".join(octets)
     script = "cyrillic" if regex.search(r"\p{Cyrillic}", canon) else "latin"
-    if kind in (*pii.GIVEN_KIND, *pii.GIVEN_KIND.values()):
+    if kind in ("surname", *pii.GIVEN_KIND.values()):
         if kind.endswith("given") and n == 0:
             return pick(pii.GIVEN[script, kind.split()[0]], 0).lower()
         endings = pii.ENDINGS_CYRILLIC if script == "cyrillic" else pii.ENDINGS
@@ -76,12 +92,23 @@ def draw(kind, canon, n, key):
     if kind in ("value", "secret"):
         if kind == "secret" and regex.fullmatch("[0-9a-f]+", canon):
             return "".join(blocks)[: len(canon) + wider]
-        return fresh(canon) + more(pii.LATIN)
+        prefix = regex.match("akia|gh[pousr]|sk|xox[abp]|", canon)[0] if kind == "secret" else ""
+        return prefix + fresh(canon)[len(prefix) :] + more(pii.LATIN)
+    if kind == "ipv6":
+        hexed = "0123456789abcdef"
+        return "".join(c if c == ":" else pick(hexed, i) for i, c in enumerate(canon)) + more(hexed)
     number = fresh(canon) + more("0123456789")
     if kind == "card" and luhn(canon) % 10 == 0:
         return number[:-1] + str(-luhn(number[:-1] + "0") % 10)
-    if kind == "phone" and len(canon) > 10:
+    if kind == "phone" and (len(canon) > 10 or canon[0] == "0"):
         return canon[0] + number[1:]
+    if kind == "iban":
+        rest = number[4:]
+        left = int("".join(str(int(c, 36)) for c in rest + canon[:2] + "00")) % 97
+        return f"{canon[:2]}{98 - left:02}{rest}"
+    if kind == "ssn":
+        area = int(number[:3]) % 898 + 1
+        return f"{area + (area >= 666):03}{int(number[3:5]) % 99 + 1:02}{int(number[5:9]) % 9999 + 1:04}{number[9:]}"
     return number
 
 
@@ -103,10 +130,24 @@ def assign(entities, key):
             now[e] = (n, draw(*e, n, key))
 
 
-def dress(kind, entity, surrogate, given):
-    if kind in ("male", "female"):
-        first = given[:1].upper() + given[1:] + " " if given else ""
-        return entity.split(" ")[0] + " " + first + surrogate[:1].upper() + surrogate[1:]
+def dress(kind, entity, surrogate, given, key):
+    if kind in pii.GIVEN_KIND:
+        title, initials, words = name_parts(entity)
+        step = 1 + int(hashlib.sha256(key.encode()).hexdigest(), 16) % 20
+
+        def turn(c):
+            alphabet = next((a.upper() for a in (pii.LATIN, pii.CYRILLIC, pii.GREEK) if c in a.upper()), c)
+            return alphabet[(alphabet.index(c) + step) % len(alphabet)]
+
+        def word(old, new):
+            return new.upper() if regex.search(r"\p{Lu}{2}\Z", old) else new[:1].upper() + new[1:]
+
+        if kind == "female" and regex.search(r"\p{Cyrillic}\Z", surrogate):
+            surrogate += "а"
+        first = word(words[0], given) + " " if given else ""
+        return title + "".join(map(turn, initials)) + first + word(words[-1], surrogate)
+    if kind == "ipv6":
+        return surrogate.upper() if regex.search("[A-F]", entity) else surrogate
     if kind == "ip":
         return surrogate
     if kind in ("email", "value"):
@@ -129,20 +170,19 @@ def dress(kind, entity, surrogate, given):
 
 def replace(rows, key):
     """{doc_id: (text, n_entities)}"""
-    entities = set()
-    for _, text in rows:
-        for m in ANY.finditer(text or ""):
-            kind = kind_of(m[0])
-            entities.add((kind, canonical(kind, m[0])))
-            if kind in pii.GIVEN_KIND and m[0].count(" ") == 2:
-                entities.add((pii.GIVEN_KIND[kind], m[0].split(" ")[1].replace("’", "'").lower()))
+
+    def entities_of(entity):
+        """(kind of mention, the entity, that of its given name or None)"""
+        kind = kind_of(entity)
+        words = name_parts(entity)[2] if kind in pii.GIVEN_KIND else []
+        given = (pii.GIVEN_KIND[kind], words[0].replace("’", "'").lower()) if len(words) > 1 else None
+        return kind, ("surname" if words else kind, canonical(kind, entity)), given
+
+    entities = {e for _, text in rows for m in ANY.finditer(text or "") for e in entities_of(m[0])[1:] if e}
     chosen = assign(entities, key)
 
     def new(m):
-        kind = kind_of(m[0])
-        given = None
-        if kind in pii.GIVEN_KIND and m[0].count(" ") == 2:
-            given = chosen[pii.GIVEN_KIND[kind], m[0].split(" ")[1].replace("’", "'").lower()]
-        return dress(kind, m[0], chosen[kind, canonical(kind, m[0])], given)
+        kind, whole, given = entities_of(m[0])
+        return dress(kind, m[0], chosen[whole], chosen.get(given), key)
 
     return {i: (None, 0) if t is None else ANY.subn(new, t) for i, t in rows}
