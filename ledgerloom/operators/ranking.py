@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key; ``order`` should be total."""
@@ -90,21 +91,57 @@ def review_flags(conditions: list[tuple[str, Column]]) -> Column:
 def neighbour_bounds(targets: DataFrame, known: DataFrame, target_id: str, day: str, value: str, bands: tuple[int, ...] = (3, 7, 15, 30), least: int = 8) -> DataFrame:
     """5th and 95th percentile of ``value`` among known rows near in time: the first band of days with ``least`` of them.
 
-    Days are bucketed by the widest band, so that the range join is an equi-join on buckets.
+    No target meets the rows of its band.  Values are counted by day and range of values; sums of these counts in a
+    moving frame of days give the band and the ranges in which the order statistics lie, once for each day of targets.
+    Only rows of those ranges (a RANGES-th part each) meet the days, by day and range, and the statistics are picked
+    by running counts.  Targets without a day, or with too few rows in every band, get nulls; rows without day or value
+    do not count.
     """
-    widest = max(bands)
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
-    t = targets.select(target_id, F.col(day).alias("__t"), F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(number / widest) + k)).alias("__b"))
-    k = known.select(F.col(day).alias("__k"), F.col(value).alias("__v"), F.floor(number / widest).alias("__b"))
-    near = t.join(k, "__b").withColumn("__gap", F.abs(F.datediff("__t", "__k"))).filter(F.col("__gap") <= widest)
-    measures = []
-    for b in bands:
-        inside = F.when(F.col("__gap") <= b, F.col("__v"))
-        measures += [F.count(inside).alias(f"n{b}"), F.percentile(inside, F.lit(0.05)).alias(f"lo{b}"), F.percentile(inside, F.lit(0.95)).alias(f"hi{b}")]
-    grouped = near.groupBy(target_id).agg(*measures)
-    pick = lambda what: F.coalesce(*[F.when(F.col(f"n{b}") >= least, what(b)) for b in bands])
-    out = grouped.select(target_id, pick(lambda b: F.lit(b)).alias("band"), pick(lambda b: F.col(f"lo{b}")).alias("low"), pick(lambda b: F.col(f"hi{b}")).alias("high"))
-    return targets.select(target_id).join(out, target_id, "left")
+    counted = known.filter(F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(number.alias("__d"), F.col(value).cast("double").alias("__v"))
+    daily = settled(with_range(counted.agg(F.count(F.lit(1)).alias("__n")), "__v"))
+    days = targets.filter(F.col(day).isNotNull()).select(number.alias("__d")).distinct()
+    # Every range on every day of targets, so that a frame stands on each of them: as many rows as days times ranges.
+    grid = days.select("__d", F.explode(F.sequence(F.lit(0), F.lit(RANGES))).alias("__range"), F.lit(0).cast("long").alias("__n"), F.lit(1).alias("__asked"))
+    cells = daily.groupBy("__d", "__range").agg(F.sum("__n").alias("__n")).withColumn("__asked", F.lit(0))
+    cells = cells.unionByName(grid).groupBy("__d", "__range").agg(F.sum("__n").alias("__n"), F.max("__asked").alias("__asked"))
+    frame = Window.partitionBy("__range").orderBy("__d")
+    sums = cells.select("__d", "__range", "__asked", *[F.sum("__n").over(frame.rangeBetween(-b, b)).alias(f"n{b}") for b in bands])
+    whole = sums.filter("__asked = 1").groupBy("__d").agg(*[F.sum(f"n{b}").alias(f"n{b}") for b in bands], F.collect_list(F.struct("__range", *[f"n{b}" for b in bands])).alias("__cells"))
+
+    def of_band(b: int) -> Column:
+        cells_of = F.transform("__cells", lambda c: F.struct(c["__range"].alias("r"), c[f"n{b}"].alias("n")))
+        return F.struct(F.lit(b).alias("band"), F.col(f"n{b}").alias("n"), cells_of.alias("cells"))
+
+    near = whole.select("__d", F.coalesce(*[F.when(F.col(f"n{b}") >= least, of_band(b)) for b in bands]).alias("__b"))
+    near = near.filter("__b IS NOT NULL").select("__d", "__b.*")
+    # Places of the order statistics, from 0: the percentile lies between two of them.
+    at = {"low": (F.col("n") - 1) * F.lit(0.05), "high": (F.col("n") - 1) * F.lit(0.95)}
+    asked = F.array(*[F.struct(F.lit(f"{name}{side}").alias("what"), f(p).cast("long").alias("k")) for name, p in at.items() for side, f in enumerate((F.floor, F.ceil))])
+    places = near.select("__d", "band", "cells", F.explode(asked).alias("__a")).select("__d", "band", "cells", "__a.*")
+
+    def walk(acc: Column, c: Column) -> Column:
+        """The range that holds the k-th row, and how many come before it."""
+        here = acc["r"].isNull() & (F.col("k") < acc["before"] + c["n"])
+        passed = F.when(acc["r"].isNull() & ~here, acc["before"] + c["n"]).otherwise(acc["before"])
+        return F.struct(F.when(here, c["r"]).otherwise(acc["r"]).alias("r"), passed.alias("before"))
+
+    begin = F.struct(F.lit(None).cast("int").alias("r"), F.lit(0).cast("long").alias("before"))
+    picked = places.withColumn("__w", F.aggregate(F.array_sort("cells"), begin, walk))
+    picked = picked.select("__d", "what", "band", (F.col("k") - F.col("__w.before")).alias("__k"), F.col("__w.r").alias("__range"))
+    around = picked.withColumn("__near", F.explode(F.sequence(F.col("__d") - F.col("band"), F.col("__d") + F.col("band"))))
+    values = daily.select(F.col("__d").alias("__near"), "__range", "__v", "__n")
+    met = around.join(values, ["__near", "__range"]).groupBy("__d", "what", "__k", "__v").agg(F.sum("__n").alias("__n"))
+    upto = Window.partitionBy("__d", "what").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stats = met.withColumn("__upto", F.sum("__n").over(upto)).filter(F.col("__upto") > F.col("__k")).groupBy("__d", "what").agg(F.min("__v").alias("__v"))
+    found = stats.groupBy("__d").agg(*[F.max(F.when(F.col("what") == f"{name}{side}", F.col("__v"))).alias(f"{name}{side}") for name in at for side in (0, 1)])
+
+    def between(name: str) -> Column:
+        p = at[name]
+        return F.when(F.floor(p) == F.ceil(p), F.col(f"{name}0")).otherwise((F.ceil(p) - p) * F.col(f"{name}0") + (p - F.floor(p)) * F.col(f"{name}1"))
+
+    by_day = near.select("__d", "band", "n").join(found, "__d").select("__d", "band", between("low").alias("low"), between("high").alias("high"))
+    return targets.select(target_id, number.alias("__d")).join(by_day, "__d", "left").drop("__d")
 
 
 def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_day: str, days: int, by: list[str] | None = None) -> DataFrame:
@@ -116,21 +153,28 @@ def banded_candidates(left: DataFrame, right: DataFrame, left_day: str, right_da
 
 
 def greedy_assignment(pairs: DataFrame, group: str, left: str, right: str, order: str, score: str) -> DataFrame:
-    """One-to-one assignment within groups: left rows in ``order`` take their best free right row.
+    """One-to-one assignment within groups: left rows in ``order`` (then by ``left``) take their best free right row.
+
+    The best is that of the highest ``score``, the least ``right`` of equals.  The rows are those of the sequential
+    choice, found in rounds over whole tables: a pair is settled if the right row is the best of those that the left
+    one can still have and no left row that can still have it comes earlier.  Nobody who chooses earlier can take it
+    then, and nothing better is left, so the sequential choice makes the same pair; the others of both rows go.  The
+    first left row of each group is settled in each round at least; where choices do not depend on each other a round
+    settles them all.  No group is one task's work, and the rows that are left shrink from round to round.
 
-    Order decides, so a group is one task's work; groups are the connected sets
-    of candidates (a listing and its date band), not the whole table.
+    Pairs with a null group, left, right or order are no candidates; a null score is the lowest; equal pairs count once.
     """
-    schema = pairs.select(group, left, right, score).schema
-
-    def assign(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for _, own in frame.sort_values([order, left], kind="stable").groupby(left, sort=False):
-            free = own[~own[right].isin(taken)].sort_values([score, right], ascending=[False, True], kind="stable")
-            if len(free):
-                best = free.iloc[0]
-                taken.add(best[right])
-                rows.append(best[[group, left, right, score]])
-        return pd.DataFrame(rows, columns=[group, left, right, score])
-
-    return pairs.groupBy(group).applyInPandas(assign, schema)
+    keys = [group, left, right]
+    rows = pairs.dropna(subset=[*keys, order]).groupBy(*keys).agg(F.min(order).alias("__o"), F.max(score).alias("__s"))
+    alive, done = settled(rows), None
+    while alive.limit(1).count():
+        # A null sorts before all others, so it is the lowest score and the highest of the turned one.
+        wish = F.struct(F.col("__s").isNull(), -F.col("__s"), F.col(right))
+        best = alive.groupBy(group, left).agg(F.min_by(F.struct(right, "__s", "__o"), wish).alias("__w")).select(group, left, "__w.*")
+        first = alive.groupBy(group, right).agg(F.min_by(left, F.struct("__o", left)).alias("__first"))
+        found = settled(best.join(first, [group, right]).filter(F.col("__first") == F.col(left)).select(*keys, "__s"))
+        done = found if done is None else done.unionByName(found)
+        free = alive.join(found.select(group, left), [group, left], "left_anti")
+        alive = settled(free.join(found.select(group, right), [group, right], "left_anti"))
+    done = alive.select(*keys, "__s") if done is None else done
+    return done.select(*keys, F.col("__s").alias(score))

@@ -177,13 +177,9 @@ def greedy_assignment(spark: SparkSession, sf: str) -> DataFrame:
     e = _daily(spark, sf).select("user_id", "event_id", "event_type", "day")
     a = e.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("buy"), F.col("day").alias("d1"))
     b = e.filter("event_type = 'error'").select("user_id", F.col("event_id").alias("err"), F.col("day").alias("d2"))
-    # Purchases more than two bands apart share no error, so a user's quiet spells part the work.
-    own = Window.partitionBy("user_id").orderBy("d1", "buy")
-    apart = (F.datediff("d1", F.lag("d1").over(own)) > 6).cast("int")
-    a = a.withColumn("__new", F.coalesce(apart, F.lit(0))).withColumn("spell", F.concat_ws("-", "user_id", F.sum("__new").over(own))).drop("__new")
     pairs = ranking.banded_candidates(a, b, "d1", "d2", 3, ["user_id"])
     scored = pairs.withColumns({"score": (100 - F.abs(F.datediff("d1", "d2"))).cast("double"), "at": F.datediff("d1", F.lit("2024-01-01").cast("date"))})
-    return ranking.greedy_assignment(scored, "spell", "buy", "err", "at", "score").withColumn("user_id", F.split_part("spell", F.lit("-"), F.lit(1)).cast("long")).drop("spell")
+    return ranking.greedy_assignment(scored, "user_id", "buy", "err", "at", "score")
 
 
 QUERIES = {
@@ -298,6 +294,19 @@ ORACLE_SQL = {
         WITH {DAILY} SELECT a.user_id, count(*) AS n_pairs FROM e a JOIN e b ON a.user_id = b.user_id AND abs(a.day - b.day) <= 3
         WHERE a.event_type = 'purchase' AND b.event_type = 'error' GROUP BY a.user_id
     """,
+    "greedy_assignment": f"""
+        WITH RECURSIVE {DAILY},
+        p AS (SELECT a.user_id, a.event_id AS buy, a.day AS d1, b.event_id AS err, CAST(100 - abs(a.day - b.day) AS DOUBLE) AS score
+              FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type = 'error' AND abs(a.day - b.day) <= 3),
+        l AS (SELECT user_id, buy, list(struct_pack(err := err, score := score) ORDER BY score DESC, err) AS wishes,
+                     row_number() OVER (PARTITION BY user_id ORDER BY min(d1), buy) AS k FROM p GROUP BY user_id, buy),
+        r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS buy, CAST([] AS BIGINT[]) AS used, CAST(NULL AS STRUCT(err BIGINT, score DOUBLE)) AS took FROM l
+              UNION ALL
+              SELECT user_id, k, buy, CASE WHEN took IS NULL THEN used ELSE list_append(used, took.err) END, took
+              FROM (SELECT l.user_id, l.k, l.buy, r.used, list_filter(l.wishes, lambda w: NOT list_contains(r.used, w.err))[1] AS took
+                    FROM r JOIN l ON l.user_id = r.user_id AND l.k = r.k + 1))
+        SELECT user_id, buy, took.err AS err, took.score AS score FROM r WHERE took IS NOT NULL
+    """,
     "neighbour_bounds": """
         WITH c AS (SELECT s_suppkey, DATE '1995-06-01' + CAST(floor(s_acctbal) AS INT) % 2000 AS day FROM supplier),
         o AS (SELECT CAST(o_orderdate AS DATE) AS day, o_totalprice AS v FROM orders),

@@ -180,6 +180,90 @@ def test_dense_rank_and_choice(spark):
 def test_greedy_assignment(spark):
     pairs = spark.createDataFrame([("g", "x", "1", 1, 90.0), ("g", "x", "2", 1, 95.0), ("g", "y", "2", 2, 99.0), ("g", "y", "1", 2, 10.0)], "g string, l string, r string, o int, s double")
     assert rows(ranking.greedy_assignment(pairs, "g", "l", "r", "o", "s")) == [("g", "x", "2", 95.0), ("g", "y", "1", 10.0)]
+    assert rows(ranking.greedy_assignment(pairs.limit(0), "g", "l", "r", "o", "s")) == []
+
+
+def test_greedy_assignment_is_the_sequential_choice(spark):
+    import random
+
+    schema = "g int, l int, r int, o int, s double"
+    for seed in range(4):
+        rng = random.Random(seed)
+        # Few scores and orders, so that ties decide; group 0 has most of the pairs, the last one equal wishes of all.
+        pairs = {(rng.choice([0, 0, 0, 1, 2]), rng.randrange(30), rng.randrange(25)) for _ in range(250)} | {(3, a, b) for a in range(6) for b in range(5)}
+        order = {(g, a): rng.randrange(4) for g, a, _ in pairs}
+        data = [(g, a, b, order[g, a], None if rng.random() < 0.1 else float(b if g == 3 else rng.randrange(4))) for g, a, b in sorted(pairs)]
+        want, taken = [], set()
+        for g, a in sorted(order, key=lambda k: (order[k], k[1])):
+            free = [x for x in data if x[:2] == (g, a) and (g, x[2]) not in taken]
+            if free:
+                best = min(free, key=lambda x: (x[4] is None, -(x[4] or 0), x[2]))
+                taken.add((g, best[2]))
+                want.append((g, a, best[2], best[4]))
+        given = data + data[:20] + [(None, 1, 1, 1, 1.0), (1, None, 1, 1, 1.0), (1, 1, None, 1, 1.0), (1, 99, 1, None, 9.0)]
+        got = ranking.greedy_assignment(spark.createDataFrame(given, schema), "g", "l", "r", "o", "s")
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def slow_bounds(targets, known, bands=(3, 7, 15, 30), least=8):
+    import numpy as np
+
+    out = []
+    for i, d in targets:
+        found = (i, None, None, None)
+        for b in bands:
+            near = [v for k, v in known if d is not None and k is not None and v is not None and abs((k - d).days) <= b]
+            if len(near) >= least:
+                found = (i, b, round(float(np.percentile(near, 5)), 6), round(float(np.percentile(near, 95)), 6))
+                break
+        out.append(found)
+    return sorted(out, key=repr)
+
+
+def test_neighbour_bounds_by_definition(spark):
+    import random
+
+    rng = random.Random(8)
+    day = lambda: date(2020, 1, 1) + timedelta(days=int(rng.triangular(0, 200, 30)))
+    known = [(day(), rng.choice([1.0, 2.0, 2.0, round(rng.gauss(0, 9), 3)])) for _ in range(600)] + [(None, 1.0), (day(), None)]
+    known += [(date(2020, 2, 1), 7.0)] * 400  # one value on one day
+    targets = [(i, day()) for i in range(60)] + [(100, None), (101, date(2021, 1, 1)), (102, date(2020, 2, 1)), (102, date(2020, 2, 1))]
+
+    def run(t, k):
+        a, b = spark.createDataFrame(t, "id int, day date"), spark.createDataFrame(k, "day date, v double")
+        return sorted(((r.id, r.band, *(None if x is None else round(x, 6) for x in (r.low, r.high))) for r in ranking.neighbour_bounds(a, b, "id", "day", "v").collect()), key=repr)
+
+    assert run(targets, known) == slow_bounds(targets, known)
+    assert run(targets[:3], []) == [(i, None, None, None) for i in range(3)]
+    assert run([], known) == []
+
+
+def joined_rows(df):
+    """Rows that the joins of a plan gave when it ran."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if "AdaptiveSparkPlan" in name:
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if "Join" in name:
+            total += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_neighbour_bounds_meet_no_pairs(spark):
+    """A hundred targets and a hundred known rows on each of sixty days: rows that meet stay in proportion to the known ones."""
+    n, day = 6000, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 60).cast("int"))
+    known = spark.range(n).select(day.alias("day"), F.col("id").cast("double").alias("v"))
+    met = joined_rows(ranking.neighbour_bounds(spark.range(n).select("id", day.alias("day")), known, "id", "day", "v"))
+    assert 0 < met < 10 * n < n * n / 60 * 7
 
 
 def test_review_flags(spark):
