@@ -140,7 +140,35 @@ def test_sections(spark):
     df = spark.range(1).select(F.lit(text).alias("t"), F.lit("10-K").alias("f"))
     got = df.select(texts.section(F.col("t"), F.col("f"), "risk_factors").alias("r"), texts.section(F.col("t"), F.col("f"), "mda").alias("m")).first()
     assert got.r.startswith("Item 1A. risk") and got.r.endswith("risk ") and got.m == ""
-    assert texts.longest_between("a1b a2b", "a", ("b",)) == "a1" and texts.longest_between("aa", "a", ("b",)) == ""
+
+
+def longest_between(text, start, ends):
+    """The longest stretch from a start to the nearest end after it; the first of equals."""
+    stops = sorted(m.start() for end in ends for m in re.finditer(end, text, re.I))
+    best = ""
+    for m in re.finditer(start, text, re.I):
+        after = [s for s in stops if s > m.start()]
+        if after and after[0] - m.start() > len(best):
+            best = text[m.start() : after[0]]
+    return best
+
+
+def test_widest_span_against_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    made = ["".join(rng.choices(["a", "b", "c", "A1", "é", "🙂", "\n", "xy"], k=rng.randrange(80))) for _ in range(200)] + ["", "aa", "a1b a2b", "ab" * 3000]
+    df = spark.createDataFrame([(t,) for t in [*made, None]], "t string").select("t", texts.widest_span(F.col("t"), r"a1|a", ("b", r"c\s")).alias("s"))
+    assert {r.t: r.s for r in df.collect()} == {None: None} | {t: longest_between(t, r"a1|a", ("b", r"c\s")) for t in made}
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_running_sums(spark):
+    import itertools
+
+    for n in (0, 1, 2, 3, 10, 1000):
+        got = spark.range(1).select(texts.running(F.transform(F.slice(F.sequence(F.lit(0), F.lit(n)), 1, n), lambda x: x.cast("long"))).alias("x")).first().x
+        assert got == list(itertools.accumulate(range(n)))
 
 
 def slow_scores(text, term, hedges, markers, before, around):
@@ -161,13 +189,17 @@ def test_mentions(spark):
     assert [tuple(r) for r in rows[:3]] == [(1, 0, 1), (1, 1, 0), (0, 0, 0)]
 
 
-def test_mentions_against_a_plain_loop(spark):
+def test_mentions_against_a_plain_loop(spark, monkeypatch):
     import random
 
     rng = random.Random(3)
     rows = [(" ".join(rng.choice(["x", "x", "hh", "mm", "filler", "y\n"]) for _ in range(rng.randint(0, 60))),) for _ in range(150)]
     got = spark.createDataFrame(rows, "t string").select(texts.mention_scores(F.col("t"), r"\bx\b", r"\bhh\b", r"\bmm\b", 9, 25).alias("s")).select("s.*").collect()
     assert [tuple(r) for r in got] == [slow_scores(t, r"\bx\b", r"\bhh\b", r"\bmm\b", 9, 25) for (t,) in rows]
+    monkeypatch.setattr(texts, "BLOCK_CHARS", 40)  # windows and matches over several blocks
+    rows = [(" ".join(rng.choice(["x", "x" + " " * 90 + "x", "hh", "mm", "🙂é", "y\n"]) for _ in range(rng.randint(0, 60))),) for _ in range(60)]
+    got = spark.createDataFrame(rows, "t string").select(texts.mention_scores(F.col("t"), r"\bx(?: {80,}x)?\b", r"\bhh\b", r"\bmm\b", 9, 25).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in got] == [slow_scores(t, r"\bx(?: {80,}x)?\b", r"\bhh\b", r"\bmm\b", 9, 25) for (t,) in rows]
 
 
 def test_letters(spark):
