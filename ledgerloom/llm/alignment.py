@@ -48,7 +48,7 @@ BLOCK_BYTES = 12_000_000
 #: Segments that are encoded as one text.
 RUN = 400
 #: Frequent segments that every worker knows, at most, and the bytes of one.
-KEPT = 200_000
+KEPT = 500_000
 KEPT_BYTES = 32
 #: Frequent pairs of ids that every worker knows, at most.
 KEPT_PAIRS = 3_000_000
@@ -390,6 +390,12 @@ def composer(known: Known):
     return run
 
 
+def folded(scores: DataFrame) -> DataFrame:
+    """The scores with two numbers in one, as a segment has less than 2^31 tokens: most of what is sent are these rows."""
+    two = lambda x, y: F.shiftleft(F.col(x), 32) + F.col(y)
+    return scores.select("segment", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("parts"), "count_sum", "groups")
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers as their number and compressed bytes, those of one weight together."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -418,12 +424,10 @@ def align_documents(docs: DataFrame, spec: Tokenizers, kept: int = KEPT, kept_pa
     rest = found.filter(~often)
     total = rest.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     limit = max(1, int(total * HOT_SHARE))  # fewer than 1 / HOT_SHARE segments are in more blocks
-    hot, cold = (scored(rest.filter(x), pairs) for x in (F.col("blocks") > limit, F.col("blocks") <= limit))
+    hot, cold = (folded(scored(rest.filter(x), pairs)) for x in (F.col("blocks") > limit, F.col("blocks") <= limit))
     rare = rare_rows(blocks, known)
     names = F.broadcast(rest.filter(F.col("blocks") > limit).select("segment"))
     met = rare.join(F.broadcast(hot), "segment").unionByName(rare.join(names, "segment", "left_anti").join(cold, "segment"))
-    # Two numbers in one, as a block has less than 2^31 tokens, since most of what is sent are these rows.
-    two = lambda x, y: F.shiftleft(F.col(x), 32) + F.col(y)
-    theirs = met.select(F.col("block").alias("b"), "number", two("n_a", "n_b").alias("tokens"), two("n_groups", "n_best").alias("parts"), "count_sum", "groups")
+    theirs = met.select(F.col("block").alias("b"), "number", "tokens", "parts", "count_sum", "groups")
     schema = "doc_id long, " + ", ".join(f"{n} long" for n in NUMBERS) + ", groups_sha256 string"
     return slotted(blocks, known).groupBy("block").cogroup(theirs.groupBy("b")).applyInArrow(composer(known), schema)
