@@ -37,6 +37,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ BLOCK_BYTES = 12_000_000
 #: Segments that are encoded as one text.
 RUN = 400
 #: Frequent segments that every worker knows, at most, and the bytes of one.
-KEPT = 500_000
+KEPT = 200_000
 KEPT_BYTES = 32
 #: Frequent pairs of ids that every worker knows, at most.
 KEPT_PAIRS = 3_000_000
@@ -280,7 +281,7 @@ class Pairs:
         table = pairs.filter(level("times") >= least).select("pair", "count", "best").toArrow()
         order = np.argsort(table.column("pair").to_numpy())
         self.pair, self.count, self.best = (table.column(c).to_numpy()[order] for c in ("pair", "count", "best"))
-        self.rest = pairs.filter(level("times") < least) if least else None
+        self.least = least  # the level from which on all are known
 
     def look(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, count, best) of pairs; zeros where one is not known."""
@@ -291,19 +292,18 @@ class Pairs:
         return known, np.where(known, self.count[at], 0), known & self.best[at]
 
 
-def scored(found: DataFrame, pairs: Pairs) -> DataFrame:
+def scored(found: DataFrame, pairs: Broadcast[Pairs], rest: DataFrame | None) -> DataFrame:
     """The segments with n_best and count_sum instead of their pairs.
 
-    Links of pairs that are not known to every worker meet their counts by a join.
+    Links of the pairs ``rest``, which are not known to every worker, meet their counts by a join.
     """
-    rest, pairs.rest = pairs.rest, None  # the table stays behind
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("pairs")
             codes = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
-            known, count, best = pairs.look(codes)
+            known, count, best = pairs.value.look(codes)
             sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[ends]).astype(np.int64) for x in (best, count)]
             more = pa.array(np.concatenate([[0], np.cumsum(~known)])[ends].astype(np.int32))
             columns = [*[batch.column(c) for c in OWN], *map(pa.array, sums), pa.ListArray.from_arrays(more, pa.array(codes[~known]))]
@@ -312,7 +312,6 @@ def scored(found: DataFrame, pairs: Pairs) -> DataFrame:
     numbers = ", ".join(f"{n} long" for n in ("blocks", *NUMBERS[:4], "key"))
     looked = found.mapInArrow(run, f"segment string, {numbers}, groups string, n_best long, count_sum long, more array<long>")
     if rest is not None:
-        pairs.rest = rest
         each = looked.select("key", F.explode("more").alias("pair"))
         met = each.join(rest, "pair").groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("b"), F.sum("count").alias("c"))
         looked = looked.join(met, "key", "left")
@@ -333,42 +332,43 @@ class Known:
         return pc.fill_null(pc.index_in(segments, value_set=self.segments), -1).to_numpy(zero_copy_only=False)
 
 
-def rare_rows(blocks: DataFrame, known: Known) -> DataFrame:
+def rare_rows(blocks: DataFrame, known: Broadcast[Known]) -> DataFrame:
     """block, number, segment of the segments of a block that are not known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, parts in zip(batch.column("block"), batch.column("segments")):
-                rare = np.flatnonzero(known.slots(parts.values) < 0)
+                rare = np.flatnonzero(known.value.slots(parts.values) < 0)
                 columns = [pa.array(np.full(len(rare), block.as_py())), pa.array(rare.astype(np.int32)), parts.values.take(pa.array(rare))]
                 yield pa.RecordBatch.from_arrays(columns, names=["block", "number", "segment"])
 
     return blocks.select("block", "segments").mapInArrow(run, "block long, number int, segment string")
 
 
-def slotted(blocks: DataFrame, known: Known) -> DataFrame:
+def slotted(blocks: DataFrame, known: Broadcast[Known]) -> DataFrame:
     """The blocks with the places of their segments among the known ones instead of the segments."""
     kept = ["block", "doc_ids", "sizes", "numbers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [packed(known.slots(parts.values) + 1) for parts in batch.column("segments")]
+            slots = [packed(known.value.slots(parts.values) + 1) for parts in batch.column("segments")]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(slots, _BYTES)], names=[*kept, "slots"])
 
     return blocks.select(*kept, "segments").mapInArrow(run, "block long, doc_ids array<long>, sizes array<int>, numbers binary, slots binary")
 
 
-def composer(known: Known):
+def composer(known: Broadcast[Known]):
     """A block and the scores of its rare segments to the rows of its documents."""
 
     def run(blocks: pa.Table, rare: pa.Table) -> pa.Table:
         slots = unpacked(blocks.column("slots")[0].as_py()) - 1
         values = np.zeros((len(slots), len(NUMBERS)), np.int64)
         often = np.flatnonzero(slots >= 0)
-        values[often] = known.numbers[slots[often]]
+        values[often] = known.value.numbers[slots[often]]
         groups: list = [None] * len(slots)
+        texts = known.value.groups
         for i in often.tolist():
-            groups[i] = known.groups[slots[i]]
+            groups[i] = texts[slots[i]]
         if len(rare):
             at = rare.column("number").to_numpy()
             high, low = (rare.column(c).to_numpy() for c in ("tokens", "parts"))
@@ -415,16 +415,20 @@ def align_documents(docs: DataFrame, spec: Tokenizers, kept: int = KEPT, kept_pa
     distinct = each.groupBy(F.col("segments").alias("segment")).agg(F.sum("counts").alias("n"), F.count(F.lit(1)).alias("blocks"))
     with arrow_rows(docs.sparkSession, 50 * RUN):
         found = stored(aligned(distinct, spec).withColumn("key", F.monotonically_increasing_id()), "align-found", compression="zstd")
-    pairs = Pairs(pair_counts(found), kept_pairs)
+    # Broadcast once for all passes: KEPT_PAIRS pairs and KEPT segments at most.
+    spark, counts = docs.sparkSession, pair_counts(found)
+    top = Pairs(counts, kept_pairs)
+    other = counts.filter(level("times") < top.least) if top.least else None
+    pairs = spark.sparkContext.broadcast(top)
     # Known to every worker: short segments of the most blocks.
     short = (F.octet_length("segment") <= KEPT_BYTES) & (F.col("blocks") > 1)
     least = least_level(found.filter(short), "blocks", kept)
     often = short & (level("blocks") >= least)
-    known = Known(scored(found.filter(often), pairs).toArrow())
+    known = spark.sparkContext.broadcast(Known(scored(found.filter(often), pairs, other).toArrow()))
     rest = found.filter(~often)
     total = rest.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     limit = max(1, int(total * HOT_SHARE))  # fewer than 1 / HOT_SHARE segments are in more blocks
-    hot, cold = (folded(scored(rest.filter(x), pairs)) for x in (F.col("blocks") > limit, F.col("blocks") <= limit))
+    hot, cold = (folded(scored(rest.filter(x), pairs, other)) for x in (F.col("blocks") > limit, F.col("blocks") <= limit))
     rare = rare_rows(blocks, known)
     names = F.broadcast(rest.filter(F.col("blocks") > limit).select("segment"))
     met = rare.join(F.broadcast(hot), "segment").unionByName(rare.join(names, "segment", "left_anti").join(cold, "segment"))
