@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -28,6 +30,59 @@ def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "l
     return unique(left, keys).join(unique(right, keys), keys, how)
 
 
+class Reconciliation:
+    """Totals of a plan's branches, taken while it runs, and laws that must hold among them.
+
+    ``watch`` puts a branch under observation, ``law`` names two sums over the
+    totals that must be equal, and ``verify``, after the action, raises where
+    they are not.  Nothing is scanned a second time, unless a law is broken:
+    a stage that runs again after a lost executor may be counted twice, so the
+    branches of a broken law are counted anew before it raises.
+    """
+
+    def __init__(self) -> None:
+        self._watched: dict[str, tuple[DataFrame, dict[str, Column], Observation]] = {}
+        self._laws: list[tuple[str, Callable[[dict], int], Callable[[dict], int]]] = []
+
+    def watch(self, rows: DataFrame, branch: str, **totals: Column) -> DataFrame:
+        """The rows; their totals become known by an action over them. Totals over no rows are zero."""
+        if branch in self._watched:
+            raise ValueError(f"{branch} is watched already")
+        whole = {name: F.coalesce(c, F.lit(0)) for name, c in totals.items()}
+        taken = Observation(branch)
+        self._watched[branch] = rows, whole, taken
+        return rows.observe(taken, *[c.alias(name) for name, c in whole.items()])
+
+    def law(self, what: str, left: Callable[[dict], int], right: Callable[[dict], int]) -> None:
+        self._laws.append((what, left, right))
+
+    def totals(self, anew: bool = False) -> dict[str, dict]:
+        """By branch; waits for the first action over them. A branch that the plan left out, as a side of it was empty, is counted."""
+        return {branch: self._counted(rows, whole) if anew else self._observed(branch) for branch, (rows, whole, _) in self._watched.items()}
+
+    def _observed(self, branch: str) -> dict:
+        rows, whole, taken = self._watched[branch]
+        try:
+            return dict(taken.get)
+        except Py4JJavaError:  # no totals came
+            return self._counted(rows, whole)
+
+    @staticmethod
+    def _counted(rows: DataFrame, whole: dict[str, Column]) -> dict:
+        return rows.agg(*[c.alias(n) for n, c in whole.items()]).first().asDict()
+
+    def verify(self) -> dict[str, dict]:
+        """The totals, if all laws hold."""
+        found = self.totals()
+        if all(left(found) == right(found) for _, left, right in self._laws):
+            return found
+        found = self.totals(anew=True)
+        for what, left, right in self._laws:
+            if left(found) != right(found):
+                raise CheckFailed(f"{what}: {left(found)} and {right(found)} of {found}")
+        return found
+
+
 def conserved(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
     total = lambda df: df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0]
     if (a := total(before)) != (b := total(after)):

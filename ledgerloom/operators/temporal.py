@@ -88,6 +88,32 @@ def drop_conflicts(windows: DataFrame, name: str, key: str, low: str = "valid_fr
     return windows.join(conflicting_keys(windows, name, key, low, high), name, "left_anti")
 
 
+def merge_eras(windows: DataFrame, by: list[str], low: str = "valid_from", high: str = "valid_to") -> DataFrame:
+    """Closed years [low, high] that overlap or follow on each other, as one; those apart stay apart.
+
+    ``collapse_windows`` is the wide form, which also closes the gaps between.
+    """
+    order = Window.partitionBy(*by).orderBy(low, high)
+    latest = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col(low) <= latest + 1, 0).otherwise(1)
+    marked = windows.select(*by, low, high).distinct().withColumn("__opens", opens)
+    islands = marked.withColumn("__island", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*by, "__island").agg(F.min(low).alias(low), F.max(high).alias(high)).drop("__island")
+
+
+def inherited_eras(cited: DataFrame, windows: DataFrame, id_col: str, name: str, key: str, low: str = "valid_from", high: str = "valid_to") -> DataFrame:
+    """(id, key, low, high): the eras of the names that an id is cited with.
+
+    Names whose own eras conflict pass nothing on, and an id whose inherited
+    eras conflict has none at all, rather than a guess.  An empty or unknown
+    id or name is no link.
+    """
+    sound = drop_conflicts(windows.filter(F.col(name) != ""), name, key, low, high)
+    pairs = cited.filter((F.col(id_col) != "") & (F.col(name) != "")).select(id_col, name).distinct()
+    eras = merge_eras(pairs.join(sound, name), [id_col, key], low, high)
+    return drop_conflicts(eras, id_col, key, low, high)
+
+
 def _interleaved(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, values: list[str], ties: list[str]) -> DataFrame:
     payload = F.struct(F.col(right_on).alias("__at"), *[F.col(v) for v in values])
     empty = F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)

@@ -182,30 +182,51 @@ def score_filings(filings: DataFrame, text: str = "text") -> DataFrame:
 KEY = ["gvkey", "reporting_year", "reporting_quarter"]
 
 
-def combine(filings: DataFrame, events: dict[str, DataFrame], reports: DataFrame, active: DataFrame) -> DataFrame:
+def _placed(book: checks.Reconciliation, rows: DataFrame, branch: str, day: str, n: Column) -> DataFrame:
+    """Events with their periods, under observation: how many came, found a period, lie outside of all, have no date."""
+    found, known = F.col("reporting_year").isNotNull(), F.col(day).isNotNull()
+    part = lambda which: F.sum(F.when(which, n).otherwise(0))
+    book.law(f"{branch} came and found", lambda t: t[branch + "_in"]["n"], lambda t: sum(t[branch].values()))
+    return book.watch(rows, branch, assigned=part(found), outside=part(~found & known), undated=part(~found & ~known))
+
+
+def combine(
+    filings: DataFrame,
+    events: dict[str, DataFrame],
+    reports: DataFrame,
+    active: DataFrame,
+    book: checks.Reconciliation | None = None,
+    letters_since: str = LETTER_DATA_START,
+) -> DataFrame:
     """Filings with the events of their reporting periods and, for annual ones, of their fiscal years.
 
     ``filings``: scored filings with periods (unique by firm, year and quarter).
     ``events``: by type, (gvkey, event_date, n, ...) at firm-day grain.
     ``reports``: flags of current reports by (gvkey, file_date).
+    ``book`` receives the totals of every branch and their laws: each event is
+    assigned, outside of all periods or without a date, each one assigned is
+    counted at one filing, and no filing is lost or doubled.
     """
+    book = book or checks.Reconciliation()
     checks.unique(filings, KEY)
     periods = filings.select(*KEY, "period_start", "period_end")
     extra = {"recall": {"class_i": "n_recall_class_i", "class_ii": "n_recall_class_ii", "class_iii": "n_recall_class_iii"}, "adverse_event": {"tier_a": "n_mdr_tier_a", "tier_b": "n_mdr_tier_b"}}
     years = temporal.fiscal_windows(filings.filter("form = '10-K'")).select("gvkey", "accession", "fy_start", F.col("period_end").alias("fy_end"))
-    out = filings.join(years.select("accession", "fy_start"), "accession", "left")
-    annual, covered = F.col("form") == "10-K", F.lit(LETTER_DATA_START).cast("date")
+    out = book.watch(filings, "filings_in", n=F.count(F.lit(1))).join(years.select("accession", "fy_start"), "accession", "left")
+    annual, covered = F.col("form") == "10-K", F.lit(letters_since).cast("date")
     counted: list[str] = []
     for e, rows in events.items():
         renamed = {"n": f"n_{e}"} | {k: v for k, v in extra.get(e, {}).items() if k in rows.columns}
-        placed = temporal.assign_to_period(rows, periods, ["gvkey"], "event_date", ["reporting_year", "reporting_quarter"])
-        out = checks.one_to_one(out, panel.counts_by_key(placed, KEY, renamed), KEY)
+        came = book.watch(rows, f"{e}_in", n=F.sum("n"))
+        placed = temporal.assign_to_period(came, periods, ["gvkey"], "event_date", ["reporting_year", "reporting_quarter"])
+        out = out.join(panel.counts_by_key(_placed(book, placed, e, "event_date", F.col("n")), KEY, renamed), KEY, "left")
         counted += renamed.values()
         in_year = temporal.assign_to_period(rows, years, ["gvkey"], "event_date", ["accession"], "fy_start", "fy_end")
         out = out.join(panel.counts_by_key(in_year, ["accession"], {"n": f"fy_n_{e}"}), "accession", "left")
-    placed = temporal.assign_to_period(reports, periods, ["gvkey"], "file_date", ["reporting_year", "reporting_quarter"])
+    came = book.watch(reports, "reports_in", n=F.count(F.lit(1)))
+    placed = _placed(book, temporal.assign_to_period(came, periods, ["gvkey"], "file_date", ["reporting_year", "reporting_quarter"]), "reports", "file_date", F.lit(1))
     flags = {f"flag_{e}": f"n_8k_{e}" for e in events} | {"__one": "n_8k_any_event"}
-    out = checks.one_to_one(out, panel.counts_by_key(placed.withColumn("__one", F.lit(1)), KEY, flags), KEY)
+    out = out.join(panel.counts_by_key(placed.withColumn("__one", F.lit(1)), KEY, flags), KEY, "left")
     counted += flags.values()
     out = out.na.fill(0, counted)  # a filing without events has true zeros
     new = {f"event_{e}": (F.col(f"n_{e}") > 0).cast("int") for e in events} | {f"has_8k_{e}": (F.col(f"n_8k_{e}") > 0).cast("int") for e in events}
@@ -217,7 +238,42 @@ def combine(filings: DataFrame, events: dict[str, DataFrame], reports: DataFrame
     out = out.withColumns({"event_any": panel.any_flag(*[f"event_{e}" for e in events]), "event_letter_or_recall": panel.any_flag("event_warning_letter", "event_recall")})
     gate = active.select("gvkey", F.col("year").alias("reporting_year"))
     flagged = panel.active_flag(out, gate, ["gvkey", "reporting_year"], "compustat_active_year")
-    return flagged.withColumn("compustat_active_year", F.col("compustat_active_year").cast("int"))
+    whole = flagged.withColumn("compustat_active_year", F.col("compustat_active_year").cast("int"))
+    counts = {e: f"n_{e}" for e in events} | {"reports": "n_8k_any_event"}
+    book.law("filings in and out", lambda t: t["filings_in"]["n"], lambda t: t["filings"]["n"])
+    for branch in counts:
+        book.law(f"{branch} assigned and counted", lambda t, b=branch: t[b]["assigned"], lambda t, b=branch: t["filings"][b])
+    return book.watch(whole, "filings", n=F.count(F.lit(1)), **{branch: F.sum(c) for branch, c in counts.items()})
+
+
+def combined_shares(combined: DataFrame) -> DataFrame:
+    """By reporting year and event: filings, those of periods with an event, and how many of either kind disclose it substantively.
+
+    Filings whose period the letters' data do not cover are left out for letters.
+    """
+    kinds = F.array(
+        *[
+            F.struct(
+                F.lit(e).alias("event"),
+                F.col(f"event_{e}").alias("happened"),
+                F.col(f"mda_{e}_substantive_flag").alias("told"),
+                (F.col("warning_letter_data_covered") == 1 if e == "warning_letter" else F.lit(True)).alias("covered"),
+            )
+            for e in EVENT_TYPES
+        ]
+    )
+    rows = combined.select("reporting_year", F.explode(kinds).alias("k")).filter("k.covered").select("reporting_year", "k.event", "k.happened", "k.told")
+    share = lambda n, of: F.when(F.col(of) > 0, F.round(100 * F.col(n) / F.col(of), 1))
+    happened, told = F.col("happened") == 1, F.col("told") == 1
+    counted = rows.groupBy("reporting_year", "event").agg(
+        F.count(F.lit(1)).alias("n_filings"),
+        F.count_if(happened).alias("n_with_event"),
+        F.count_if(happened & told).alias("n_told_with_event"),
+        F.count_if(~happened & told).alias("n_told_without_event"),
+    )
+    without = counted.withColumn("__without", F.col("n_filings") - F.col("n_with_event"))
+    rates = {"pct_told_with_event": share("n_told_with_event", "n_with_event"), "pct_told_without_event": share("n_told_without_event", "__without")}
+    return without.withColumns(rates).drop("__without")
 
 
 def best_names(pairs: DataFrame, row_id: str, listing: str, own: str, former: str) -> DataFrame:

@@ -1,8 +1,10 @@
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import names, texts
+from ledgerloom.operators import checks
 from ledgerloom.plans import composites as c
 
 d = date.fromisoformat
@@ -122,3 +124,53 @@ def test_names_of_letters(spark):
     assert one(spark, names.partition_tag(F.col("u")), u="https://x/2019q3/device-event-0002-of-0005.json.zip") == "2019q3__0002-of-0005"
     place = lambda t: one(spark, names.mentions_place(F.col("t"), F.lit("Texas"), F.lit("TX"), F.array(F.lit("England"))), t=t)
     assert place("in texas.") and place("Austin, TX 78701") and place("London, England") and not place("Austin TX")
+
+
+def _branches(spark):
+    schema = "gvkey string, accession string, form string, filing_date date, reporting_year int, reporting_quarter int, period_start date, period_end date, mda_recall_substantive int"
+    filings = spark.createDataFrame(
+        [("1", "q1", "10-Q", d("2020-05-01"), 2020, 1, d("2019-12-31"), d("2020-03-31"), 1), ("1", "k", "10-K", d("2021-02-01"), 2020, 4, d("2020-09-30"), d("2020-12-31"), 0)], schema
+    )
+    ev = lambda rows: spark.createDataFrame(rows, "gvkey string, event_date date, n int")
+    events = {"warning_letter": ev([("1", d("2020-03-31"), 2), ("1", d("2019-12-31"), 5), ("1", None, 7), (None, d("2020-03-01"), 1)]), "recall": ev([])}
+    reports = spark.createDataFrame([("1", d("2020-01-15"), 1, 0)], "gvkey string, file_date date, flag_warning_letter int, flag_recall int")
+    return filings, events, reports, spark.createDataFrame([("1", 2020)], "gvkey string, year int")
+
+
+def test_combined_totals_are_observed(spark):
+    book = checks.Reconciliation()
+    c.combine(*_branches(spark), book=book).collect()
+    found = book.verify()
+    assert found["warning_letter"] == {"assigned": 2, "outside": 6, "undated": 7} and found["recall_in"] == {"n": 0}
+    assert found["filings"] == {"n": 2, "warning_letter": 2, "recall": 0, "reports": 1} and found["reports"]["assigned"] == 1
+
+
+def test_a_lost_row_raises(spark, monkeypatch):
+    whole = c.panel.counts_by_key
+    lossy = lambda rows, keys, names: whole(rows, keys, names).filter("reporting_quarter <> 1") if "reporting_quarter" in keys else whole(rows, keys, names)
+    monkeypatch.setattr(c.panel, "counts_by_key", lossy)
+    book = checks.Reconciliation()
+    c.combine(*_branches(spark), book=book).collect()
+    with pytest.raises(checks.CheckFailed, match="assigned and counted: 2 and 0"):
+        book.verify()
+
+
+def test_a_doubled_filing_raises(spark):
+    filings, *rest = _branches(spark)
+    with pytest.raises(checks.CheckFailed, match="not unique"):
+        c.combine(filings.unionAll(filings), *rest)
+
+
+def test_counts_taken_twice_are_counted_anew(spark):
+    class Twice:
+        get = {"n": 8}
+
+    book = checks.Reconciliation()
+    rows = spark.range(4)
+    book.watch(rows, "rows", n=F.count(F.lit(1))).collect()
+    book.law("rows", lambda t: t["rows"]["n"], lambda t: 4)
+    assert book.verify() == {"rows": {"n": 4}}
+    book._watched["rows"] = (*book._watched["rows"][:2], Twice())  # as after a stage that ran again
+    assert book.verify() == {"rows": {"n": 4}}
+    with pytest.raises(ValueError):
+        book.watch(rows, "rows", n=F.count(F.lit(1)))
