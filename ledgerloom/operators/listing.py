@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.texts import let
+
 # Forms by meaning, and the exchanges that count as listed today.
 PERIODIC_FORMS = ("10-K", "10-K405", "10-KSB", "10-KSB40", "10-Q", "10-QSB", "20-F", "40-F", "10-KT")
 LISTING_FORMS = ("8-A12B", "8-A12B/A", "10-12B", "10-12B/A", "8-B12B")
@@ -136,3 +138,65 @@ def universe_by_year(issuers: DataFrame, issuer: str, first: Column, last: Colum
     days = F.filter(month_ends(first, last), lambda d: status(d) == "YES")
     years = F.array_distinct(F.transform(days, F.year))
     return issuers.select(issuer, F.explode(years).alias("year"))
+
+
+def change_days(events: Column, periodic: Column, windows: Column, rules: ListingRules = ListingRules()) -> Column:
+    """The days on which ``listing_status`` can change: filings, the ends of their times of grace, and bounds of windows."""
+    filed = F.transform(events, lambda e: e["t"])
+    registered = F.transform(F.filter(events, lambda e: e["form"].isin(*LISTING_FORMS, *OFFERING_FORMS)), lambda e: F.date_add(e["t"], rules.first_days + 1))
+    stale = F.transform(periodic, lambda p: F.date_add(p, rules.recent_days + 1))
+    bounds = F.flatten(F.transform(windows, lambda w: F.array(w["start"], w["end"])))
+    none = F.array().cast("array<date>")
+    return F.concat(*[F.coalesce(c, none) for c in (filed, registered, periodic, stale, bounds)])
+
+
+def status_runs(first: Column, last: Column, changes: Column, status) -> Column:
+    """array<struct(start, end, status)>: stretches [start, end) of one status from first to last, in order.
+
+    ``status``: function of the day's Column that is constant between ``changes``; it is worked out on those days alone,
+    however long the time is.  Neighbours of one status are one run.  NULL bounds give NULL.
+    """
+    inside = F.filter(changes, lambda d: d.isNotNull() & (d > first) & (d <= last))
+    points = F.array_sort(F.array_distinct(F.concat(F.array(first), inside)))
+    known = F.transform(points, lambda d: F.struct(d.alias("start"), status(d).alias("status")))
+
+    def merged(found: Column) -> Column:
+        return F.filter(found, lambda r, i: (i == 0) | ~r["status"].eqNullSafe(F.get(found, i - 1)["status"]))
+
+    def closed(runs: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(runs, i + 1)["start"], F.date_add(last, 1))
+        return F.transform(runs, lambda r, i: F.struct(r["start"].alias("start"), end(i).alias("end"), r["status"].alias("status")))
+
+    return F.when(first.isNotNull() & last.isNotNull() & (first <= last), let(let(known, merged), closed))
+
+
+def status_on(runs: Column, day: Column) -> Column:
+    return F.get(F.filter(runs, lambda r: (r["start"] <= day) & (day < r["end"])), 0)["status"]
+
+
+def listed_years(runs: Column, status: str = "YES") -> Column:
+    """Years with a month end in a run of the status, in order: from the first month end of each run to its last one."""
+    held = F.filter(runs, lambda r: (r["status"] == status) & (F.last_day(r["start"]) < r["end"]))
+    years = F.transform(held, lambda r: F.sequence(F.year(F.last_day(r["start"])), F.year(F.date_sub(F.trunc(r["end"], "month"), 1))))
+    return F.array_sort(F.array_distinct(F.flatten(years)))
+
+
+def yearly_summary(letters: DataFrame, universe: DataFrame, issuer: str, year: str = "year", listed: str = "listed") -> DataFrame:
+    """By year: letters, those to listed issuers, such issuers, the universe, and the share of it that received a letter.
+
+    ``letters``: a row for each, with ``listed`` at its day.  ``universe``: (issuer, year), unique.  Years without a
+    letter do not show; without a universe the share is NULL.  Hits are counted by a join on issuer and year, so no set
+    of issuers is held by one task.
+    """
+    hit = letters.groupBy(year, issuer).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col(listed)).alias("__listed"))
+    member = hit.join(universe.select(year, issuer).withColumn("__member", F.lit(True)), [year, issuer], "left")
+    known = F.col("__listed") > 0
+    counted = member.groupBy(year).agg(
+        F.sum("__n").alias("n_letters"),
+        F.sum("__listed").alias("n_letters_to_listed"),
+        F.count_if(known & F.col(issuer).isNotNull()).alias("n_listed_issuers"),
+        F.count_if(known & F.col("__member")).alias("n_universe_issuers"),
+    )
+    sizes = universe.groupBy(year).agg(F.count(F.lit(1)).alias("n_universe"))
+    out = counted.join(sizes, year, "left").na.fill(0, ["n_universe"])
+    return out.withColumn("pct_of_universe", F.when(F.col("n_universe") > 0, F.round(100 * F.col("n_universe_issuers") / F.col("n_universe"), 1)))

@@ -60,6 +60,18 @@ def overlap_guard(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("s_suppkey", "firm", "valid_from", "valid_to")
 
 
+def inherited_eras(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of customers as establishments that are cited with both customers' names, and the firms that they inherit."""
+    o = table(spark, sf, "orders")
+    k = F.floor(F.col("o_custkey") / 2)
+    cited = o.select(F.when(k % 50 != 0, k.cast("string")).otherwise("").alias("fei"), F.concat(F.lit("N"), F.col("o_custkey")).alias("name_key"))
+    c, n = F.col("c_custkey"), F.col("c_nationkey")
+    era = lambda firm, low, high: F.struct(firm.cast("int").alias("firm"), low.cast("int").alias("valid_from"), high.cast("int").alias("valid_to"))
+    eras = F.array(era(n, 1990 + c % 5, 1994 + c % 4), era(n + F.when(c % 3 == 0, 0).otherwise(100), 1996 + c % 3, F.lit(2005)))
+    windows = table(spark, sf, "customer").select(F.concat(F.lit("N"), c).alias("name_key"), F.inline(eras))
+    return temporal.inherited_eras(cited, windows, "fei", "name_key", "firm")
+
+
 def two_route_link(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers with a balance over 4000 have known ids; the others link by nation."""
     s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
@@ -150,7 +162,7 @@ def reporting_periods(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        validity_join, validity_rollup, era_resolve, overlap_guard, two_route_link, asof_backward_strict, asof_forward_interval, period_windows,
+        validity_join, validity_rollup, era_resolve, overlap_guard, inherited_eras, two_route_link, asof_backward_strict, asof_forward_interval, period_windows,
         period_assign, fiscal_year_rate, half_open_listing, reconcile_outer, reporting_periods,
     )
 }
@@ -194,6 +206,17 @@ ORACLE_SQL = {
         WHERE NOT EXISTS (SELECT 1 FROM eras a JOIN eras b ON a.s_suppkey = b.s_suppkey AND a.firm <> b.firm
                           AND a.valid_from <= b.valid_to AND b.valid_from <= a.valid_to WHERE a.s_suppkey = e.s_suppkey)
     """,
+    "inherited_eras": """
+        WITH w AS (SELECT c_custkey AS c, c_nationkey AS firm, 1990 + c_custkey % 5 AS low, 1994 + c_custkey % 4 AS high FROM customer
+                   UNION ALL SELECT c_custkey, c_nationkey + CASE WHEN c_custkey % 3 = 0 THEN 0 ELSE 100 END, 1996 + c_custkey % 3, 2005 FROM customer),
+        sound AS (SELECT * FROM w WHERE c NOT IN (SELECT a.c FROM w a JOIN w b ON a.c = b.c AND a.firm <> b.firm AND a.low <= b.high AND b.low <= a.high)),
+        cited AS (SELECT DISTINCT o_custkey AS c, o_custkey // 2 AS fei FROM orders WHERE (o_custkey // 2) % 50 <> 0),
+        i AS (SELECT DISTINCT fei, firm, low, high FROM cited JOIN sound USING (c)),
+        kept AS (SELECT * FROM i WHERE fei NOT IN (SELECT a.fei FROM i a JOIN i b ON a.fei = b.fei AND a.firm <> b.firm AND a.low <= b.high AND b.low <= a.high)),
+        years AS (SELECT DISTINCT fei, firm, unnest(range(low, high + 1)) AS y FROM kept),
+        runs AS (SELECT fei, firm, y, y - row_number() OVER (PARTITION BY fei, firm ORDER BY y) AS run FROM years)
+        SELECT CAST(fei AS VARCHAR) AS fei, firm, CAST(min(y) AS INT) AS valid_from, CAST(max(y) AS INT) AS valid_to FROM runs GROUP BY fei, firm, run
+    """,
     "two_route_link": f"""
         WITH {PLAIN}, {SHIP},
         rows AS (SELECT s_suppkey, year, count(*) AS n FROM ships GROUP BY ALL),
