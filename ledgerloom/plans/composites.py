@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, names, texts
 from ledgerloom.functions.similarity import name_score
 from ledgerloom.operators import checks, linkage, panel, ranking, temporal
+from ledgerloom.operators.lineage import settled
 
 EVENT_TYPES = ("warning_letter", "recall", "adverse_event")
 TOLERANCE_DAYS = 547  # 18 months
@@ -206,9 +207,12 @@ def combine(
     ``book`` receives the totals of every branch and their laws: each event is
     assigned, outside of all periods or without a date, each one assigned is
     counted at one filing, and no filing is lost or doubled.
+
+    Every branch needs the periods, so filings are written once: texts are not
+    scored again for each branch, nor planned again.
     """
     book = book or checks.Reconciliation()
-    checks.unique(filings, KEY)
+    filings = checks.unique(settled(filings), KEY)
     periods = filings.select(*KEY, "period_start", "period_end")
     extra = {"recall": {"class_i": "n_recall_class_i", "class_ii": "n_recall_class_ii", "class_iii": "n_recall_class_iii"}, "adverse_event": {"tier_a": "n_mdr_tier_a", "tier_b": "n_mdr_tier_b"}}
     years = temporal.fiscal_windows(filings.filter("form = '10-K'")).select("gvkey", "accession", "fy_start", F.col("period_end").alias("fy_end"))
