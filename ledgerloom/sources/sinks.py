@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of the driver's on any Hadoop file system."""
-    at, fs = _fs(spark, path)
+    at, fs = file_system(spark, path)
     out = fs.create(at, True)
     try:
         out.write(bytearray(text.encode()))
@@ -88,7 +88,7 @@ def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
 def write_documents(df: DataFrame, folder: str, name: str, text: str) -> int:
     """One folder partition per document name; documents not in ``df`` any more go.  Returns the number removed."""
     spark = df.sparkSession
-    at, fs = _fs(spark, folder)
+    at, fs = file_system(spark, folder)
     wanted = df.select(F.regexp_replace(F.col(name), r"[^\w.-]", "_").alias("document"), F.col(text).alias("value"))
     wanted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document").text(folder)
     # Folders that have no document any more; only these come to the driver.

@@ -110,18 +110,32 @@ def read_json_lines(spark: SparkSession, path: str, schema: str, needle: str, st
     return rows.filter(F.col("mime") == mime) if mime else rows
 
 
-def read_filings(spark: SparkSession, path: str, forms: list[str], since: int) -> DataFrame:
-    """Issuer submissions, whose recent filings are parallel arrays, as rows; filtered by form and year."""
-    schema = (
-        "cik string, name string, sic string, filings struct<recent struct<accessionNumber array<string>, form array<string>, "
-        "filingDate array<string>, reportDate array<string>, primaryDocument array<string>>>"
-    )
+_FILING_COLUMNS = {"accessionNumber": "accession", "form": "form", "filingDate": "filing_date", "reportDate": "report_date", "primaryDocument": "document"}
+
+
+def read_filings(spark: SparkSession, path: str, forms: list[str], since: int, shards: str | None = None) -> DataFrame:
+    """Issuer submissions, whose filings are parallel arrays, as rows; filtered by form and year.
+
+    The recent ones are in the issuer's file.  It names further files with the
+    older ones, which are read from ``shards`` (a folder or pattern): a file
+    that no issuer names is left out, and one that is named but not there is an
+    error.  A filing in both counts once.
+    """
+    arrays = ", ".join(f"{k} array<string>" for k in _FILING_COLUMNS)
+    schema = f"cik string, name string, sic string, filings struct<recent struct<{arrays.replace(' array', ': array')}>, files: array<struct<name: string>>>"
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    names = {"accessionNumber": "accession", "form": "form", "filingDate": "filing_date", "reportDate": "report_date", "primaryDocument": "document"}
-    zipped = F.arrays_zip(*[F.col(f"filings.recent.{k}").alias(v) for k, v in names.items()])
-    rows = raw.select("cik", "name", "sic", F.inline(zipped))
+    zipped = lambda prefix: F.arrays_zip(*[F.col(prefix + k).alias(v) for k, v in _FILING_COLUMNS.items()])
+    rows = raw.select("cik", "name", "sic", F.inline(zipped("filings.recent.")))
+    if shards:
+        named = raw.select("cik", "name", "sic", F.explode("filings.files.name").alias("__file")).distinct()
+        older = spark.read.schema(arrays).option("multiLine", True).json(shards)
+        blocks = older.select(F.col("_metadata.file_name").alias("__file"), zipped("").alias("__rows"))
+        both = named.join(blocks, "__file", "left")
+        told = F.coalesce("__rows", F.raise_error(F.concat(F.lit("no such shard of filings: "), F.col("__file"))).cast(blocks.schema["__rows"].dataType))
+        rows = rows.unionByName(both.select("cik", "name", "sic", F.inline(told)))
     dated = rows.withColumns({c: F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date") for c in ("filing_date", "report_date")})
-    return dated.filter(F.col("form").isin(*forms) & (F.year("filing_date") >= since))
+    kept = dated.filter(F.col("form").isin(*forms) & (F.year("filing_date") >= since))
+    return kept.dropDuplicates(["cik", "accession"]) if shards else kept
 
 
 def union_keyed_tables(spark: SparkSession, paths: list[str], key: str, columns: list[str]) -> DataFrame:
