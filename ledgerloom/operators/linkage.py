@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import entity_family, normalize_name
-from ledgerloom.functions.similarity import token_sort_ratio
+from ledgerloom.functions.similarity import letter_masks, masked_ratio, sorted_words
 
 from .temporal import drop_conflicts
 
@@ -165,10 +165,8 @@ def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cu
     """
 
     def by_tokens(df: DataFrame, column: str) -> DataFrame:
-        # The white space that the similarity splits at.
-        words = F.filter(F.split(F.col(column), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
-        sorted_name = F.array_join(F.array_sort(words), " ")
-        return df.select(column).distinct().withColumn("__s", sorted_name).withColumn("__n", F.length("__s"))
+        known = df.select(column).filter(F.col(column).isNotNull()).distinct()
+        return known.withColumn("__s", sorted_words(F.col(column))).withColumn("__n", F.length("__s"))
 
     def whole(c: Column) -> Column:
         return F.floor(c + 1e-6).cast("int")  # rounding may add candidates, never lose one
@@ -193,17 +191,21 @@ def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cu
         return F.sequence(F.lit(0), n_pieces(la) - 1)
 
     if 3 * cutoff <= 200:
-        pairs = left.select(name).filter(F.col(name).isNotNull()).distinct().crossJoin(right.select(right_name).filter(F.col(right_name).isNotNull()).distinct())
+        pairs = by_tokens(left, name).select(name).crossJoin(by_tokens(right, right_name).select(right_name, F.col("__s").alias("__t")))
     else:
         n = F.col("__n")
         a = by_tokens(left, name).withColumn("__key", F.explode(F.transform(numbers(n), lambda i: key(n, i, start(n, i)))))
         lengths = F.sequence(-whole(-n * (cutoff / (200 - cutoff))), whole(n * ((200 - cutoff) / cutoff)))
         met = F.flatten(F.transform(lengths, lambda la: F.flatten(F.transform(numbers(la), lambda i: F.transform(places(n, la, i), lambda at: key(la, i, at))))))
         b = by_tokens(right, right_name).withColumn("__key", F.explode(F.array_distinct(met)))
-        pairs = a.select(name, "__key").join(b.select(right_name, "__key"), "__key").select(name, right_name).distinct()
-    scored = pairs.withColumn("similarity", token_sort_ratio(F.col(name), F.col(right_name))).filter(F.col("similarity") >= cutoff)
-    order = Window.partitionBy(name).orderBy(F.desc("similarity"), right_name)
-    return scored.withColumn("__rn", F.row_number().over(order)).filter("__rn = 1").drop("__rn")
+        b = b.select(right_name, F.col("__s").alias("__t"), "__key")
+        pairs = a.select(name, "__key").join(b, "__key").select(name, right_name, "__t").distinct()
+    # Masks are made once a left name; names meet them by the key that the best of each name is taken by.
+    known = by_tokens(left, name).select(name, "__n", letter_masks(F.col("__s")).alias("__masks"))
+    scored = pairs.join(known, name).withColumn("similarity", masked_ratio(F.col("__masks"), F.col("__n"), F.col("__t")))
+    kept = scored.filter(F.col("similarity") >= cutoff)
+    best = kept.groupBy(name).agg(F.min_by(F.struct(right_name, "similarity"), F.struct(-F.col("similarity"), F.col(right_name))).alias("__b"))
+    return best.select(name, "__b.*")
 
 
 def keys_by_like(keys: DataFrame, master: DataFrame, key: str, name: str, probe: str, piece: int = 3) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import re
 from datetime import date
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names, similarity, texts
+from tests.core import plain_similarity as plain
 
 
 def one(spark, column, **values):
@@ -67,32 +69,46 @@ def test_dates(spark):
     assert one(spark, dates.nearest_gap(dates.text_dates(F.col("v")), F.lit("2020-03-10").cast("date")), v="March 3, 2020") == 7
 
 
-def test_similarity_vectors():
-    assert similarity.token_sort("GREEN PLANET", "PLANET GREEN") == 100.0
-    assert round(similarity.token_sort("ATRIUM INNOVATION", "ATRIUM INNOVATIONS"), 1) == 97.1
-    assert round(similarity.token_sort("ESTAR TECHNOLOGIES", "STAR TECHNOLOGIES"), 1) == 97.1
-    assert similarity.token_set("ACME", "ACME DEVICES") == 100.0
-    assert similarity.score_names("ACME DEVICES", "DEVICES ACME") == 100.0
-    assert similarity.score_names("ACME", "ACME") == 100.0
-    assert similarity.score_names("ACME", "ACME DEVICES") == 99.0
-    assert similarity.score_names("ACME", "ZETA DEVICES") < 50
-
-
-def test_similarity_by_definition():
-    from itertools import product
-
-    def lcs(a, b):
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-            row = new
-        return row[-1]
-
-    words = ["", "A", "AB", "BA", "ABBA", "BABAB", "ABCABC"]
-    for a, b in product(words, words):
-        assert similarity.common_length(a, b) == lcs(a, b)
+def test_similarity_vectors(spark):
+    a, b = F.col("a"), F.col("b")
+    assert one(spark, similarity.token_sort_ratio(a, b), a="GREEN PLANET", b="PLANET GREEN") == 100.0
+    assert round(one(spark, similarity.token_sort_ratio(a, b), a="ATRIUM INNOVATION", b="ATRIUM INNOVATIONS"), 1) == 97.1
+    assert round(one(spark, similarity.token_sort_ratio(a, b), a="ESTAR TECHNOLOGIES", b="STAR TECHNOLOGIES"), 1) == 97.1
+    assert one(spark, similarity.token_set_ratio(a, b), a="ACME", b="ACME DEVICES") == 100.0
+    pairs = [("ACME DEVICES", "DEVICES ACME", 100.0), ("ACME", "ACME", 100.0), ("ACME", "ACME DEVICES", 99.0)]
+    assert all(one(spark, similarity.name_score(a, b), a=x, b=y) == score for x, y, score in pairs)
+    assert one(spark, similarity.name_score(a, b), a="ACME", b="ZETA DEVICES") < 50
+
+
+SIMILARITIES = {"common_length_of": plain.common_length, "indel_ratio": plain.ratio, "token_sort_ratio": plain.token_sort, "token_set_ratio": plain.token_set, "name_score": plain.score_names}
+
+
+def similar_pairs(rng, n):
+    """Pairs of names: unlike, edited, with words in another order, long, of one letter, of odd white space and letters."""
+    vocabulary = ["ACME", "ZETA", "MEDIC", "DEVICE", "EAST", "OF", "A", "AÉRO", "𝔘NI", "X" * 40, "LABORATORIES", "INTERNATIONAL"]
+    for _ in range(n):
+        a = rng.choice([" ", "  ", "\u00a0", "\t"]).join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 3, 4, 9])))
+        b = list(a) if rng.random() < 0.6 else list("".join(rng.choices("ABCE ", k=rng.randint(0, 70))))
+        for _ in range(rng.randint(0, 4)):
+            b.insert(rng.randint(0, len(b)), rng.choice("ABQ ")) if rng.random() < 0.5 or not b else b.pop(rng.randrange(len(b)))
+        b = "".join(b).split(" ") if rng.random() < 0.5 else ["".join(b)]
+        rng.shuffle(b)
+        yield a, " ".join(b)
+
+
+def test_similarities_equal_their_definition(spark):
+    import random
+
+    lengths = [("A" * n, "A" * m) for n in (61, 62, 63, 124, 125, 400) for m in (0, 1, 62, 63, 130)]
+    blank = [("", ""), ("", "A"), (" ", "A"), ("A", "A  A"), ("A A", "A"), ("A\x1cB", "B A")]
+    pairs = blank + lengths + list(similar_pairs(random.Random(4), int(os.environ.get("TEST_PAIRS", "1500"))))
+    df = spark.createDataFrame([(*p,) for p in [*pairs, (None, "A"), ("A", None)]], "a string, b string").repartition(8)
+    got = df.select("a", "b", *[getattr(similarity, f)(F.col("a"), F.col("b")).alias(f) for f in SIMILARITIES])
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    for row in got.collect():
+        want = None if row.a is None or row.b is None else [f(row.a, row.b) for f in SIMILARITIES.values()]
+        found = [row[f] for f in SIMILARITIES]
+        assert found == (want or [None] * 5), (row.a, row.b, found, want)
 
 
 def test_markup(spark):

@@ -108,7 +108,7 @@ def test_backfill(spark):
 
 
 def test_fuzzy_is_the_best_over_all_names(spark):
-    from ledgerloom.functions.similarity import token_sort
+    from tests.core.plain_similarity import token_sort
 
     rng = random.Random(5)
     base = ["MEDTRONICS", "BIOSCIENCES", "MEDTRONIC SOFAMOR", "GREEN PLANET", "ESTAR TECHNOLOGIES", "ABBOTT POINT OF CARE", "X", "", "AÉRO\u00a0NAUTIQUE\tSA"]
@@ -137,7 +137,7 @@ def test_fuzzy_is_the_best_over_all_names(spark):
 
 
 def test_fuzzy_loses_no_match(spark):
-    from ledgerloom.functions.similarity import token_sort
+    from tests.core.plain_similarity import token_sort
 
     rng = random.Random(8)
     words = ["ACME", "ZETA", "MEDIC", "DEVICE", "EAST", "WEST", "NORTHERN"]
