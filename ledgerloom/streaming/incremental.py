@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ledgerloom.sources.sinks import write_partitions
 
 
-def read_arrivals(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
+def read_arrivals(spark: SparkSession, folder: str, schema: str | StructType, fmt: str = "parquet", files_per_trigger: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger).load(folder)
 
 
