@@ -151,8 +151,11 @@ def first_hit(rows: DataFrame, elements: str, index: DataFrame, name: str, key:
     return rows.join(best.select(row_id, "__b.*"), row_id, "left")
 
 
-def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cutoff: float = 90.0) -> DataFrame:
-    """The most similar right name of each left name, by token-sorted similarity, if it reaches the cutoff.
+def similar_names(left: DataFrame, right: DataFrame, name: str, right_name: str, cutoff: float = 90.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of distinct names whose token-sorted similarity reaches the cutoff, with it.
+
+    With ``by`` only those that stand together under one key of these columns
+    at least; the pair is still one row.
 
     Candidates have lengths that allow the cutoff and share a piece, which no
     pair at the cutoff escapes: ``k - 1`` letters at most are dropped or added
@@ -161,11 +164,10 @@ def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cu
     ``i`` edits up to its end has none itself, ``i`` at most before it and
     ``k - 1 - i`` at most after it, which bounds its place.  Under a cutoff of
     two thirds pieces may be empty and tell nothing, so all names are scored.
-    The least name wins ties.
     """
 
     def by_tokens(df: DataFrame, column: str) -> DataFrame:
-        known = df.select(column).filter(F.col(column).isNotNull()).distinct()
+        known = df.select(*by, column).filter(F.col(column).isNotNull()).distinct()
         return known.withColumn("__s", sorted_words(F.col(column))).withColumn("__n", F.length("__s"))
 
     def whole(c: Column) -> Column:
@@ -191,19 +193,30 @@ def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cu
         return F.sequence(F.lit(0), n_pieces(la) - 1)
 
     if 3 * cutoff <= 200:
-        pairs = by_tokens(left, name).select(name).crossJoin(by_tokens(right, right_name).select(right_name, F.col("__s").alias("__t")))
+        b = by_tokens(right, right_name).select(*by, right_name, F.col("__s").alias("__t"))
+        a = by_tokens(left, name).select(*by, name)
+        pairs = a.join(b, list(by)).select(name, right_name, "__t").distinct() if by else a.crossJoin(b)
     else:
         n = F.col("__n")
         a = by_tokens(left, name).withColumn("__key", F.explode(F.transform(numbers(n), lambda i: key(n, i, start(n, i)))))
         lengths = F.sequence(-whole(-n * (cutoff / (200 - cutoff))), whole(n * ((200 - cutoff) / cutoff)))
         met = F.flatten(F.transform(lengths, lambda la: F.flatten(F.transform(numbers(la), lambda i: F.transform(places(n, la, i), lambda at: key(la, i, at))))))
         b = by_tokens(right, right_name).withColumn("__key", F.explode(F.array_distinct(met)))
-        b = b.select(right_name, F.col("__s").alias("__t"), "__key")
-        pairs = a.select(name, "__key").join(b, "__key").select(name, right_name, "__t").distinct()
-    # Masks are made once a left name; names meet them by the key that the best of each name is taken by.
-    known = by_tokens(left, name).select(name, "__n", letter_masks(F.col("__s")).alias("__masks"))
+        b = b.select(*by, right_name, F.col("__s").alias("__t"), "__key")
+        pairs = a.select(*by, name, "__key").join(b, [*by, "__key"]).select(name, right_name, "__t").distinct()
+    # Masks are made once a left name, and pairs meet them by it.
+    known = by_tokens(left, name).select(name, "__s", "__n")
+    known = (known.distinct() if by else known).select(name, "__n", letter_masks(F.col("__s")).alias("__masks"))
     scored = pairs.join(known, name).withColumn("similarity", masked_ratio(F.col("__masks"), F.col("__n"), F.col("__t")))
-    kept = scored.filter(F.col("similarity") >= cutoff)
+    return scored.filter(F.col("similarity") >= cutoff).select(name, right_name, "similarity")
+
+
+def fuzzy_top1(left: DataFrame, right: DataFrame, name: str, right_name: str, cutoff: float = 90.0) -> DataFrame:
+    """The most similar right name of each left name, by token-sorted similarity, if it reaches the cutoff.
+
+    The least name wins ties.
+    """
+    kept = similar_names(left, right, name, right_name, cutoff)
     best = kept.groupBy(name).agg(F.min_by(F.struct(right_name, "similarity"), F.struct(-F.col("similarity"), F.col(right_name))).alias("__b"))
     return best.select(name, "__b.*")
 
