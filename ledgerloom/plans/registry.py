@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import dataset_queries, filing_queries, linkage_queries, listing_queries, panel_queries, report_queries, stream_queries, temporal_queries, text_queries
+from . import dataset_queries, filing_queries, letter_queries, linkage_queries, listing_queries, panel_queries, report_queries, stream_queries, temporal_queries, text_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for module in (temporal_queries, panel_queries, linkage_queries, text_queries, dataset_queries, filing_queries, listing_queries, report_queries, stream_queries):
+for module in (temporal_queries, panel_queries, linkage_queries, text_queries, dataset_queries, filing_queries, listing_queries, report_queries, stream_queries, letter_queries):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
