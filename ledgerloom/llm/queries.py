@@ -6,6 +6,8 @@ Each query applies one operator with its production parameters to the whole
 
 from __future__ import annotations
 
+import secrets
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,14 +48,19 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read_documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+_drawn_keys: dict[str, str] = {}
+
+
 def surrogate_key(spark: SparkSession) -> str:
     """The secret key of surrogates: the session's setting.
 
-    Without one a session on this machine takes a key for trials, which is no secret; on a cluster that is an error.
+    Without one a session on this machine takes a key for trials, which is no secret; on a cluster a secret is drawn once
+    an application, so that its queries agree on surrogates and no one can tell them.  Only a key that is set gives the
+    same surrogates in the next application.
     """
     key = spark.conf.get("spark.ledgerloom.surrogateKey", "")
     if not key and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.ledgerloom.surrogateKey to a secret")
+        key = _drawn_keys.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
     return key or "trial"
 
 

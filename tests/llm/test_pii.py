@@ -1,6 +1,7 @@
 import re
+from types import SimpleNamespace
 
-from ledgerloom.llm import pii
+from ledgerloom.llm import pii, queries
 
 from . import plain_pii
 from .conftest import TEXTS, strip
@@ -246,3 +247,15 @@ def test_types_keep_what_makes_them_valid(spark):
     for t in out[len(made) :]:
         area, group, serial = map(int, t.split("-"))
         assert 0 < area < 900 and area != 666 and group and serial
+
+
+def test_a_cluster_without_a_key_draws_a_secret():
+    """One key an application, no trial key and no error; a key that is set is used."""
+
+    def session(app, conf=None, master="spark://host:7077"):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: (conf or {}).get(k, d)), sparkContext=SimpleNamespace(master=master, applicationId=app))
+
+    first = queries.surrogate_key(session("app-1"))
+    assert len(first) == 64 and first == queries.surrogate_key(session("app-1")) != queries.surrogate_key(session("app-2"))
+    assert queries.surrogate_key(session("app-1", {"spark.ledgerloom.surrogateKey": "k"})) == "k"
+    assert queries.surrogate_key(session("app-1", master="local[4]")) == "trial"
