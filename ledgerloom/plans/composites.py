@@ -142,14 +142,21 @@ def firm_year_panel(letters: DataFrame, recalls: DataFrame, adverse: DataFrame,
     return joined.select("gvkey", "year", "event_type", *counts, "company_name_compustat", "sic", "costat", "cik")
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out once a row: a later filter on them takes their values and not their expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def classify_filings(docs: DataFrame, text: str = "text") -> DataFrame:
     """Lead, event flags and product domain of event filings."""
     body = F.col(text)
-    led = docs.withColumns({"lead": texts.lead(body), "lead_source": texts.lead_source(body), "doc_chars": F.length(body)})
+    led = _once(docs, {"lead": texts.lead(body), "lead_source": texts.lead_source(body), "doc_chars": F.length(body)})
+    says = texts.event_hits(body, F.col("lead"))
+    flagged = _once(led, says).withColumns(texts.flags_of({n: F.col(n) for n in says})).drop(*[n for n in says if "_says_" in n])
     hits = texts.domain_hits(body)
-    flagged = led.withColumns({**texts.event_flags(body, F.col("lead")), **{f"domain_{n}_hits": c for n, c in hits.items()}})
     leads = {f"domain_{n}_lead_hits": c for n, c in texts.domain_hits(F.col("lead")).items()}
-    labelled = flagged.withColumns({**leads, "product_domain": texts.domain_label({n: F.col(f"domain_{n}_hits") for n in hits})})
+    counted = _once(flagged, {**{f"domain_{n}_hits": c for n, c in hits.items()}, **leads})
+    labelled = counted.withColumn("product_domain", texts.domain_label({n: F.col(f"domain_{n}_hits") for n in hits}))
     return labelled.withColumn("is_device_domain", F.col("product_domain") == "device")
 
 
@@ -169,7 +176,8 @@ def device_set(filings: DataFrame) -> DataFrame:
 def score_filings(filings: DataFrame, text: str = "text") -> DataFrame:
     """Mentions, substantive and hedged ones by event in both sections of a filing, and totals over them."""
     sections = {"rf": "risk_factors", "mda": "mda"}
-    rows = filings.withColumns({f"__{s}": texts.section(F.col(text), F.col("form"), name) for s, name in sections.items()})
+    cut = filings.withColumn("__sections", texts.sections(F.col(text), F.col("form"), tuple(sections.values())))
+    rows = cut.withColumns({f"__{s}": F.col("__sections")[name] for s, name in sections.items()})
     scored = rows.withColumns({f"__{s}_{e}": texts.mention_scores(F.col(f"__{s}"), texts.FILING_TERMS[e]) for s in sections for e in EVENT_TYPES})
     out = {f"has_{name}": F.length(f"__{s}") > 0 for s, name in sections.items()} | {f"{s}_chars": F.length(f"__{s}") for s in sections}
     for e in EVENT_TYPES:
@@ -177,7 +185,7 @@ def score_filings(filings: DataFrame, text: str = "text") -> DataFrame:
             out |= {f"{s}_{e}_{what}": F.col(f"__{s}_{e}.{what}") for s in sections}
         for what in ("mentions", "substantive"):
             out[f"{e}_{what}_total"] = F.col(f"__rf_{e}.{what}") + F.col(f"__mda_{e}.{what}")
-    return scored.withColumns(out).drop(text, *[f"__{s}" for s in sections], *[f"__{s}_{e}" for s in sections for e in EVENT_TYPES])
+    return scored.withColumns(out).drop(text, "__sections", *[f"__{s}" for s in sections], *[f"__{s}_{e}" for s in sections for e in EVENT_TYPES])
 
 
 KEY = ["gvkey", "reporting_year", "reporting_quarter"]

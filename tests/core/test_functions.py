@@ -231,3 +231,24 @@ def test_letters(spark):
     assert one(spark, texts.without_archive_mark(F.col("v")), v="Acme [ARCHIVED]") == "Acme"
     assert one(spark, texts.printed_id(F.lit("ref 12345."), F.lit(12345)), v="") is True
     assert one(spark, texts.printed_id(F.lit("ref 912345."), F.lit(12345)), v="") is False
+
+
+def test_patterns_are_passed_once_over_a_text(spark):
+    """Neither a filter on flags nor the sections repeat a pattern over the whole text, and what leads to a match changes none."""
+    import re
+
+    from ledgerloom.plans import composites
+
+    docs = spark.createDataFrame([(0, "10-K", "3841", "x")], "doc_id int, form string, sic string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    classified = plan(composites.device_set(composites.classify_filings(docs)))
+    assert classified.count("cGMP") == 1 and classified.count("infusion") == 2  # the latter over the text and over its lead
+    assert len(re.findall(r"regexp_extract_all\([^,]*text[^,]*, [^,]*item", plan(composites.score_filings(docs)))) == 2  # one a form
+    vocabularies = [*texts.EVENT_PHRASES.values(), texts.REGULATOR, *texts.DOMAIN_TERMS.values(), *texts.FILING_TERMS.values(), texts.ACTUAL_MARKERS, texts.LOCAL_HEDGES]
+    said = "No recall. The RECALL of class II recall; 510(k) and MDR report, BLA; our recall during the year may close: closed, 21 CFR 820 vials"
+    for pattern in vocabularies:
+        assert texts.led(pattern).startswith("(?=[")
+        want = [m.group() for m in re.finditer("(?i)" + pattern.removeprefix("(?i)"), said)]
+        got = spark.sql("SELECT 1").select(F.regexp_extract_all(F.lit(said), F.lit(texts.led(pattern, "(?i)")), F.lit(0)).alias("x")).first().x
+        assert got == want
+    assert texts.led(r"(?i)^a|b") == "(?i)(?:^a|b)" and texts.led(r"a?b") == "(?:a?b)" and texts.led(r"ab") == "(?=[Aa])(?:ab)"
