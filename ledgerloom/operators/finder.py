@@ -26,14 +26,17 @@ def page_candidates(letters: DataFrame, pages: DataFrame, days: int = 15, least:
     of their sorted words alone, whose pairs ``similar_names`` finds, by days
     too.
     """
-    number = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / (days + 1))
+    # A letter's days lie in two buckets at most, and mostly in one.
+    number = lambda c, more=0: F.floor((F.unix_date(F.col(c)) + more) / (4 * days + 1))
     as_set = lambda c: F.array_join(F.array_sort(F.array_distinct(words(F.col(c)))), " ")
     listed = pages.select("page_id", "issued", "company").dropna().distinct()
     asked = letters.filter(F.col("day").isNotNull()).select("case_id", "day", F.explode("names").alias("name")).dropna().distinct()
-    l = asked.withColumns({"__b": F.explode(F.array(*[number("day") + k for k in (-1, 0, 1)])), "__u": as_set("name")})
+    l = asked.withColumns({"__b": F.explode(F.array_distinct(F.array(number("day", -days), number("day", days)))), "__u": as_set("name")})
     p = listed.withColumns({"__b": number("issued"), "__v": as_set("company")})
     by_word = l.withColumn("__w", F.explode(F.array_distinct(words(F.col("name"))))).join(p.withColumn("__w", F.explode(F.array_distinct(words(F.col("company"))))), ["__b", "__w"])
     alike = similar_names(l.select("__b", "__u"), p.select("__b", "__v"), "__u", "__v", least, ("__b",)).select("__u", "__v")
+    # Names that share a word have met by it.
+    alike = alike.filter(~F.coalesce(F.arrays_overlap(words(F.col("__u")), words(F.col("__v"))), F.lit(False)))
     by_letters = l.join(alike, "__u").join(p, ["__b", "__v"])
     columns = ["case_id", "day", "page_id", "issued", "company"]
     near = F.abs(F.datediff("day", "issued")) <= days

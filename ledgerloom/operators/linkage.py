@@ -158,39 +158,57 @@ def similar_names(left: DataFrame, right: DataFrame, name: str, right_name: str,
     at least; the pair is still one row.
 
     Candidates have lengths that allow the cutoff and share a piece, which no
-    pair at the cutoff escapes: ``k - 1`` letters at most are dropped or added
-    between a left name of length ``la`` and a match, so of its ``k`` pieces
-    one stands whole in the match.  The first piece ``i`` with no more than
-    ``i`` edits up to its end has none itself, ``i`` at most before it and
-    ``k - 1 - i`` at most after it, which bounds its place.  Under a cutoff of
-    two thirds pieces may be empty and tell nothing, so all names are scored.
+    pair at the cutoff escapes: lengths ``la`` and ``lb`` allow ``e`` letters
+    dropped or added at most, of even or odd number as ``la + lb`` is, so of
+    ``e + 1`` pieces of the left name one stands whole in the match.  The first
+    piece ``i`` with no more than ``i`` edits up to its end has none itself,
+    ``i`` before it and ``e - i`` at most after it, which bounds its place and
+    makes its shift even or odd as ``i`` is.  Keys are made only for lengths
+    that the other side has; each pair of lengths has the longest pieces that
+    it allows, so few names meet by chance.  Under a cutoff of two thirds
+    pieces may be empty and tell nothing, so all names are scored.
     """
 
     def by_tokens(df: DataFrame, column: str) -> DataFrame:
         known = df.select(*by, column).filter(F.col(column).isNotNull()).distinct()
         return known.withColumn("__s", sorted_words(F.col(column))).withColumn("__n", F.length("__s"))
 
+    def lengths(df: DataFrame, column: str) -> DataFrame:
+        """One row: the lengths of names, as many as there are different ones."""
+        known = df.filter(F.col(column).isNotNull())
+        return F.broadcast(known.agg(F.sort_array(F.collect_set(F.length(sorted_words(F.col(column))))).alias("__lengths")))
+
     def whole(c: Column) -> Column:
         return F.floor(c + 1e-6).cast("int")  # rounding may add candidates, never lose one
 
-    def n_pieces(la: Column) -> Column:
-        return whole(la * ((200 - 2 * cutoff) / cutoff)) + 1
+    def edits(la: Column, lb: Column) -> Column:
+        most = whole((la + lb) * (1 - cutoff / 100))
+        return most - (most + la + lb) % 2
 
-    def start(la: Column, i: Column) -> Column:
-        return F.floor(i * la / n_pieces(la)).cast("int")
+    def start(la: Column, e: Column, i: Column) -> Column:
+        return F.floor(i * la / (e + 1)).cast("int")
 
-    def key(la: Column, i: Column, at: Column) -> Column:
-        return F.struct(la.alias("la"), i.alias("i"), F.substr("__s", at + 1, start(la, i + 1) - start(la, i)).alias("piece"))
+    def key(la: Column, lb: Column, e: Column, i: Column, at: Column) -> Column:
+        return F.struct(la.alias("la"), lb.alias("lb"), i.alias("i"), F.substr("__s", at + 1, start(la, e, i + 1) - start(la, e, i)).alias("piece"))
 
-    def places(lb: Column, la: Column, i: Column) -> Column:
+    def places(la: Column, lb: Column, e: Column, i: Column) -> Column:
         """Where in a name of length lb the i-th piece of a name of length la can be."""
-        apart, after, edits = lb - la, n_pieces(la) - 1 - i, (la + lb) * (1 - cutoff / 100)
-        low = F.greatest(-i, apart - after, -whole((edits - apart) / 2), -start(la, i))
-        high = F.least(i, apart + after, whole((edits + apart) / 2), lb - start(la, i + 1))
-        return F.when(low <= high, F.transform(F.sequence(low, high), lambda x: start(la, i) + x)).otherwise(F.array().cast("array<int>"))
+        apart, after = lb - la, e - i
+        low = F.greatest(-i, apart - after, F.floor((apart - e) / 2).cast("int"), -start(la, e, i))
+        high = F.least(i, apart + after, F.floor((e + apart) / 2).cast("int"), lb - start(la, e, i + 1))
+        first = low + F.pmod(low - i, F.lit(2))
+        return F.when(first <= high, F.transform(F.sequence(first, high, F.lit(2)), lambda x: start(la, e, i) + x)).otherwise(F.array().cast("array<int>"))
+
+    def keys(of_lengths, of_piece) -> Column:
+        """Keys of all lengths of the other side that allow the cutoff, of all pieces."""
+
+        def of_pair(other: Column) -> Column:
+            la, lb = of_lengths(other)
+            e = edits(la, lb)
+            numbers = F.when(e >= F.abs(la - lb), F.sequence(F.lit(0), e)).otherwise(F.array().cast("array<int>"))
+            return F.flatten(F.transform(numbers, lambda i: of_piece(la, lb, e, i)))
 
-    def numbers(la: Column) -> Column:
-        return F.sequence(F.lit(0), n_pieces(la) - 1)
+        return F.explode(F.array_distinct(F.flatten(F.transform("__lengths", of_pair))))
 
     if 3 * cutoff <= 200:
         b = by_tokens(right, right_name).select(*by, right_name, F.col("__s").alias("__t"))
@@ -198,10 +216,10 @@ def similar_names(left: DataFrame, right: DataFrame, name: str, right_name: str,
         pairs = a.join(b, list(by)).select(name, right_name, "__t").distinct() if by else a.crossJoin(b)
     else:
         n = F.col("__n")
-        a = by_tokens(left, name).withColumn("__key", F.explode(F.transform(numbers(n), lambda i: key(n, i, start(n, i)))))
-        lengths = F.sequence(-whole(-n * (cutoff / (200 - cutoff))), whole(n * ((200 - cutoff) / cutoff)))
-        met = F.flatten(F.transform(lengths, lambda la: F.flatten(F.transform(numbers(la), lambda i: F.transform(places(n, la, i), lambda at: key(la, i, at))))))
-        b = by_tokens(right, right_name).withColumn("__key", F.explode(F.array_distinct(met)))
+        a = by_tokens(left, name).crossJoin(lengths(right, right_name))
+        a = a.withColumn("__key", keys(lambda lb: (n, lb), lambda la, lb, e, i: F.array(key(la, lb, e, i, start(la, e, i)))))
+        b = by_tokens(right, right_name).crossJoin(lengths(left, name))
+        b = b.withColumn("__key", keys(lambda la: (la, n), lambda la, lb, e, i: F.transform(places(la, lb, e, i), lambda at: key(la, lb, e, i, at))))
         b = b.select(*by, right_name, F.col("__s").alias("__t"), "__key")
         pairs = a.select(*by, name, "__key").join(b, [*by, "__key"]).select(name, right_name, "__t").distinct()
     # Masks are made once a left name, and pairs meet them by it.

@@ -71,3 +71,27 @@ def test_pages_equal_the_sequential_choice(spark, seed, n):
 def test_nothing_to_find(spark):
     l, p, t = spark.createDataFrame([], LETTERS), spark.createDataFrame([], PAGES), spark.createDataFrame([], "page_id string, text string")
     assert finder.find_pages(l, p, t).collect() == []
+
+
+def test_names_meet_by_few_keys(spark):
+    """Names of sixteen random letters meet by long pieces, so that chance pairs are few: 3 keys a left name, 4 a right one."""
+    from ledgerloom.operators import linkage
+
+    l, p = (spark.createDataFrame([(f"{rng.getrandbits(32):08X} {rng.getrandbits(32):08X}",) for _ in range(50)], f"{c} string") for c, rng in (("a", random.Random(1)), ("b", random.Random(2))))
+    pairs = linkage.similar_names(l, p, "a", "b", 90.0)
+    pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan()
+    made = sorted(int(x) for x in __import__("re").findall(r"Generate_rows=(\d+)", _generated(plan)))
+    assert made == [150, 200]
+
+
+def _generated(plan) -> str:
+    """Rows that each Generate of a plan gave."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _generated(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return _generated(plan.plan())
+    own = f"Generate_rows={plan.metrics().apply('numOutputRows').value()} " if name == "Generate" else ""
+    children = plan.children()
+    return own + "".join(_generated(children.apply(i)) for i in range(children.size()))
