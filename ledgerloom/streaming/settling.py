@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -19,8 +19,13 @@ from ledgerloom.sources.sinks import write_partitions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "firm string, part int, id string, day int, period string, change bigint"
-#: A revision that spans more days looks at the days that are kept instead of at each day of its span.
-WIDE = 3000
+PART = "changes bigint, days bigint, periods array<struct<id: string, revision: bigint, low: int, high: int>>, few array<struct<id: string, revision: bigint, day: int>>"
+#: Events that a part keeps in one row of state; more of them are kept in maps.
+FEW = 100
+#: Rows of a firm's part that are worked on at once.
+CHUNK = 10_000
+#: Kept days that one call of the state lists, about; a revision lists them unless the days of its span are fewer calls.
+KEYS_A_CALL = 100
 
 
 class _Known:
@@ -37,53 +42,57 @@ class _Known:
 
 
 class _Settle(StatefulProcessor):
-    """State of one part of a firm: its periods, its events by id, and the ids of each day."""
+    """State of one part of a firm: one row with its periods and few events, or maps of events by id and ids by day.
+
+    A call of the state costs far more than a row, so most parts are one row, read and written once a batch.  Events
+    move to the maps when they are more than ``FEW``, or at once if they are let go one by one.  The days of the map
+    are counted (those let go too), so that a revision takes the shorter way to the days that it may move.
+    """
 
     def __init__(self, keep_ms: int | None):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.periods = handle.getMapState("periods", "id string", "revision bigint, low int, high int")
+        self.part = handle.getValueState("part", PART)
         self.seen = handle.getMapState("seen", "id string", "revision bigint, day int", self.keep_ms)
         self.days = handle.getMapState("days", "day int", "ids array<string>", self.keep_ms)
-        self.changes = handle.getValueState("changes", "n bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        periods = {k[0]: tuple(v) for k, v in self.periods.iterator()}
-        known, n = _Known(periods), (self.changes.get() or (0,))[0]
-        for chunk in rows:
-            whole = chunk.astype(object).where(chunk.notna(), None)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        n, self.n_days, held, few = self.part.get() or (0, 0, (), None if self.keep_ms else ())
+        periods = {k: tuple(v) for k, *v in held}
+        self.few = None if few is None else {k: tuple(v) for k, *v in few}
+        known = _Known(periods)
+        while chunk := list(islice(rows, CHUNK)):
             told: list[tuple] = []
-            known = self._revise(self._newest(whole, "period"), periods, known, told)
-            self._arrive(self._newest(whole, "event"), known, told)
-            out = pd.DataFrame(told, columns=["id", "day", "period"])
-            out.insert(0, "part", key[1])
-            out.insert(0, "firm", key[0])
-            out["day"] = out["day"].astype("Int32")
-            out["change"] = range(n, n + len(out))
-            n += len(out)
-            yield out
-        self.changes.update((n,))
+            known = self._revise(self._newest(chunk, "period"), periods, known, told)
+            self._arrive(self._newest(chunk, "event"), known, told)
+            for change, (k, day, period) in enumerate(told, n):
+                yield Row(firm=key[0], part=key[1], id=k, day=day, period=period, change=change)
+            n += len(told)
+        listed = lambda rows: None if rows is None else [(k, *v) for k, v in rows.items()]
+        self.part.update((n, self.n_days, listed(periods), listed(self.few)))
 
     @staticmethod
-    def _newest(rows: pd.DataFrame, kind: str) -> dict:
+    def _newest(rows: list[Row], kind: str) -> dict:
         """id -> (revision, day or low, high) of the last revision in these rows."""
         newest: dict = {}
-        mine = rows[rows["kind"] == kind]
-        for k, revision, low, high in zip(mine["id"], mine["revision"], mine["low_or_day"], mine["high"]):
-            if k not in newest or newest[k][0] < revision:
-                newest[k] = (int(revision), None if low is None else int(low), None if high is None else int(high))
+        for r in rows:
+            if r.kind == kind and (r.id not in newest or newest[r.id][0] < r.revision):
+                newest[r.id] = (r.revision, r.low_or_day, r.high)
         return newest
 
     def _revise(self, came: dict, periods: dict, known: _Known, told: list) -> _Known:
         """Take in later revisions, and tell the events whose pick they change."""
         later = {k: v for k, v in came.items() if k not in periods or periods[k][0] < v[0]}
         spans = [v[1:] for k in later for v in (periods.get(k), later[k]) if v and None not in v]
-        for k, v in later.items():
-            periods[k] = v
-            self.periods.updateValue((k,), v)
+        periods.update(later)
         new = _Known(periods) if later else known
-        if sum(high - low for low, high in spans) > WIDE:
+        if not spans or not (self.few or self.n_days):
+            return new
+        if self.few:
+            told += [(k, day, new.pick(day)) for k, (_, day) in self.few.items() if new.pick(day) != known.pick(day)]
+            return new
+        if sum(high - low for low, high in spans) > self.n_days / KEYS_A_CALL:
             touched = [k[0] for k in self.days.keys()]
         else:
             touched = sorted({d for low, high in spans for d in range(low + 1, high + 1)})
@@ -96,6 +105,14 @@ class _Settle(StatefulProcessor):
 
     def _arrive(self, came: dict, known: _Known, told: list) -> None:
         """Events that are new or corrected; a row that came before is passed over."""
+        if self.few is not None:
+            for k, (revision, day, _) in came.items():
+                if k not in self.few or self.few[k][0] < revision:
+                    self.few[k] = (revision, day)
+                    told.append((k, day, known.pick(day)))
+            if len(self.few) > FEW:
+                self._unfold()
+            return
         added: dict[int, list[str]] = {}
         for k, (revision, day, _) in came.items():
             prior = self.seen.getValue((k,))
@@ -112,8 +129,20 @@ class _Settle(StatefulProcessor):
                 added.setdefault(day, []).append(k)
         for day, ids in added.items():
             kept = self.days.getValue((day,))
+            self.n_days += kept is None
             self.days.updateValue((day,), ([*(kept[0] if kept else ()), *ids],))
 
+    def _unfold(self) -> None:
+        """Events go from the row of the part to the maps."""
+        by_day: dict[int, list[str]] = {}
+        for k, (revision, day) in self.few.items():
+            self.seen.updateValue((k,), (revision, day))
+            if day is not None:
+                by_day.setdefault(day, []).append(k)
+        for day, ids in by_day.items():
+            self.days.updateValue((day,), (ids,))
+        self.few, self.n_days = None, len(by_day)
+
     def close(self) -> None:
         pass
 
@@ -148,7 +177,7 @@ def settle_stream(events: DataFrame, periods: DataFrame, parts: int = 8, keep_da
     p = p.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keep_ms = None if keep_days is None else keep_days * 86_400_000
     mode = "None" if keep_days is None else "ProcessingTime"
-    told = e.unionByName(p).groupBy("firm", "part").transformWithStateInPandas(_Settle(keep_ms), CHANGES, "Update", mode)
+    told = e.unionByName(p).groupBy("firm", "part").transformWithState(_Settle(keep_ms), CHANGES, "Update", mode)
     status = F.when(F.col("day").isNull(), "undated").when(F.col("period").isNull(), "outside").otherwise("assigned")
     return told.withColumns({"day": F.date_from_unix_date("day"), "status": status})
 
