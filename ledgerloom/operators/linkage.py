@@ -122,11 +122,14 @@ def token_prefixes(name: Column, least_tokens: int, strict: bool) -> Column:
     return F.when(most >= least_tokens, made).otherwise(F.array().cast("array<string>"))
 
 
-def longest_prefix(rows: DataFrame, index: DataFrame, name: str, key: str, least_chars: int = 6, least_tokens: int = 1, strict: bool = True) -> DataFrame:
+def longest_prefix(rows: DataFrame, index: DataFrame, name: str, key: str, least_chars: int = 6, least_tokens: int = 1, strict: bool = True, row_id: str | None = None) -> DataFrame:
     """Left join of names to the longest indexed name that they extend at a token boundary.
 
-    An equi-join on generated prefixes instead of a nested loop; resolved once for each distinct name.
+    An equi-join on generated prefixes instead of a nested loop; resolved once for each distinct name.  Rows that
+    are unique in ``row_id`` are resolved one by one instead and read once only, which is less where they are dear.
     """
+    if row_id is not None:
+        return _longest_prefix_once(rows.drop(key), index, name, key, least_chars, least_tokens, strict, row_id)
     names = rows.select(name).filter(F.col(name).isNotNull()).distinct()
     made = names.select(name, F.explode(token_prefixes(F.col(name), least_tokens, strict)).alias("__prefix"))
     made = made.filter(F.length("__prefix") >= least_chars)
@@ -136,10 +139,23 @@ def longest_prefix(rows: DataFrame, index: DataFrame, name: str, key: str, least
     return rows.drop(key).join(best, name, "left") if key in rows.columns else rows.join(best, name, "left")
 
 
-def resolve_tiers(rows: DataFrame, exact: DataFrame, index: DataFrame, name: str, key: str) -> DataFrame:
-    """Tier A_exact, else B_prefix (keys of six characters or more), with link_tier."""
+def _longest_prefix_once(rows: DataFrame, index: DataFrame, name: str, key: str, least_chars: int, least_tokens: int, strict: bool, row_id: str) -> DataFrame:
+    long = F.filter(token_prefixes(F.col(name), least_tokens, strict), lambda p: F.length(p) >= least_chars)
+    made = rows.withColumn("__made", long).withColumn("__any", F.size("__made") > 0)
+    # A name without prefixes goes under itself and meets nothing, so that all such names are no single task.
+    made = made.withColumn("__prefix", F.explode(F.when(F.col("__any"), F.col("__made")).otherwise(F.array(name)))).drop("__made").alias("m")
+    parents = index.select(F.col(name).alias("__prefix"), F.col(key)).distinct().alias("p")
+    hit = made.join(parents, (F.col("m.__prefix") == F.col("p.__prefix")) & F.col("__any"), "left")
+    longest = F.when(F.col("p.__prefix").isNotNull(), F.struct(F.length("p.__prefix"), key))
+    found = F.max_by(F.struct(F.col("p.__prefix").alias("matched_prefix"), F.col(key)), longest).alias("__b")
+    best = hit.groupBy(row_id).agg(F.any_value(F.struct(*rows.columns)).alias("__row"), found)
+    return best.select(*[F.col("__row")[c].alias(c) for c in rows.columns], "__b.matched_prefix", F.col("__b")[key].alias(key))
+
+
+def resolve_tiers(rows: DataFrame, exact: DataFrame, index: DataFrame, name: str, key: str, row_id: str | None = None) -> DataFrame:
+    """Tier A_exact, else B_prefix (keys of six characters or more), with link_tier; ``row_id`` as in ``longest_prefix``."""
     hit = exact.select(name, F.col(key).alias("__exact"))
-    both = longest_prefix(rows, index, name, key).join(hit, name, "left")
+    both = longest_prefix(rows, index, name, key, row_id=row_id).join(hit, name, "left")
     tier = F.when(F.col("__exact").isNotNull(), "A_exact").when(F.col(key).isNotNull(), "B_prefix")
     return both.withColumns({"link_tier": tier, key: F.coalesce("__exact", key)}).drop("__exact")
 

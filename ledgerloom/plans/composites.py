@@ -95,8 +95,9 @@ def link_adverse_events(reports: DataFrame, exact: DataFrame, index: DataFrame,
     Makers are resolved once each; a report of unknown year passes the window.
     """
     makers = reports.select(report_id, F.posexplode(F.transform("device", lambda d: d["manufacturer_d_name"])).alias("pos", "maker"))
-    distinct = makers.select("maker").distinct().withColumn("name_key", names.normalize_name(F.col("maker"))).filter("name_key <> ''")
-    known = linkage.resolve_tiers(distinct, exact, index, "name_key", "gvkey").filter("gvkey IS NOT NULL")
+    # The key is made of an aggregate, so that its patterns are not pushed to the rows before they are distinct.
+    distinct = makers.groupBy("maker").agg(F.max("maker").alias("__name")).withColumn("name_key", names.normalize_name(F.col("__name"))).drop("__name").filter("name_key <> ''")
+    known = linkage.resolve_tiers(distinct, exact, index, "name_key", "gvkey", row_id="maker").filter("gvkey IS NOT NULL")
     hit = makers.join(known.select("maker", "name_key", "gvkey", "link_tier"), "maker")
     best = hit.groupBy(report_id).agg(F.min_by(F.struct("name_key", "gvkey", "link_tier"), "pos").alias("b")).select(report_id, "b.*")
     day = F.coalesce(dates.parse_date(F.col("date_received"), ("yyyyMMdd",)), dates.parse_date(F.col("date_of_event"), ("yyyyMMdd",)))

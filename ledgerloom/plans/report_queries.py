@@ -16,17 +16,20 @@ WINDOWED, OTHER = linkage.WINDOWED[0], next(s for s in linkage.CURATED_ORDER if
 
 def _reports(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as reports and their lines as devices: a third of the makers match exactly, a third by prefix, a third not at all."""
-    s, kind = F.col("l_suppkey"), F.col("l_suppkey") % 3
-    maker = F.when(kind == 0, F.concat(F.lit("Maker "), s, F.lit(", Inc."))).when(kind == 1, F.concat(F.lit("Maker "), s, F.lit(" East LLC"))).otherwise(F.concat(F.lit("Unknown "), s))
     none = lambda name: F.lit(None).cast("string").alias(name)
-    device = F.struct(
-        maker.alias("manufacturer_d_name"), F.col("l_shipmode").alias("brand_name"), none("generic_name"), none("model_number"), F.col("l_partkey").cast("string").alias("device_report_product_code"),
-        none("implant_flag"), none("device_operator"), F.struct((s % 3 + 1).cast("string").alias("device_class"), none("medical_specialty_description")).alias("openfda"),
-    )
-    problem = F.when(F.col("l_returnflag") == "R", "broke").when(F.col("l_returnflag") == "N", "leaked")
-    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", device.alias("device"), problem.alias("problem"))
-    l = table(spark, sf, "lineitem").withColumn("l_shipmode", F.col("l_linestatus"))
-    lines = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("x"))
+
+    def device(e: Column) -> Column:
+        s, kind = e["l_suppkey"], e["l_suppkey"] % 3
+        maker = F.when(kind == 0, F.concat(F.lit("Maker "), s, F.lit(", Inc."))).when(kind == 1, F.concat(F.lit("Maker "), s, F.lit(" East LLC"))).otherwise(F.concat(F.lit("Unknown "), s))
+        return F.struct(
+            maker.alias("manufacturer_d_name"), e["l_linestatus"].alias("brand_name"), none("generic_name"), none("model_number"), e["l_partkey"].cast("string").alias("device_report_product_code"),
+            none("implant_flag"), none("device_operator"), F.struct((s % 3 + 1).cast("string").alias("device_class"), none("medical_specialty_description")).alias("openfda"),
+        )
+
+    # Lines are gathered as they are and become devices in their report: names need not be shuffled and sorted.
+    line = F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_returnflag", "l_linestatus")
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(line)).alias("x"))
+    problem = lambda e: F.when(e["l_returnflag"] == "R", "broke").when(e["l_returnflag"] == "N", "leaked")
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
     k = F.col("o_orderkey")
     written = lambda day: F.date_format(day, "yyyyMMdd")
@@ -34,9 +37,9 @@ def _reports(spark: SparkSession, sf: str) -> DataFrame:
         "o_orderkey",
         F.when(k % 4 != 0, written("day")).alias("date_received"),
         F.when(k % 8 != 0, written(F.date_sub("day", 10))).alias("date_of_event"),
-        F.transform("x", lambda e: e["device"]).alias("device"),
+        F.transform("x", device).alias("device"),
         F.when(k % 3 == 0, F.array(F.struct(F.lit("1").alias("n")))).alias("patient"),
-        F.transform("x", lambda e: e["problem"]).alias("product_problems"),
+        F.transform("x", problem).alias("product_problems"),
         F.lit(None).cast("array<struct<text:string>>").alias("mdr_text"),
     )
 
