@@ -114,12 +114,21 @@ def inherited_eras(cited: DataFrame, windows: DataFrame, id_col: str, name: str,
     return drop_conflicts(eras, id_col, key, low, high)
 
 
+def _carried(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str) -> list[str]:
+    """Columns of the left that ride along: all but the keys and the time, where both sides have these in one type."""
+    same = {on} if left.schema[on].dataType == right.schema[right_on].dataType else set()
+    same |= {k for k in by if left.schema[k].dataType == right.schema[k].dataType}
+    return [c for c in left.columns if c not in same]
+
+
 def _interleaved(left: DataFrame, right: DataFrame, by: list[str], on: str, right_on: str, values: list[str], ties: list[str]) -> DataFrame:
+    """Both sides as rows of one width; what would stand in a row twice is left out, since every row is sorted twice."""
     payload = F.struct(F.col(right_on).alias("__at"), *[F.col(v) for v in values])
     empty = F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType)
-    mine = left.select(*by, F.col(on).alias("__ts"), F.lit(0).alias("__side"), F.struct(*left.columns).alias("__row"), empty.alias("__hit"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"__t{i}") for i, t in enumerate(ties)])
-    none = F.lit(None).cast(mine.schema["__row"].dataType)
-    theirs = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("__ts"), F.lit(1).alias("__side"), none.alias("__row"), payload.alias("__hit"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)])
+    own = _carried(left, right, by, on, right_on)
+    mine = left.select(*by, F.col(on).alias("__ts"), F.lit(0).alias("__side"), *[F.col(c).alias(f"__l{i}") for i, c in enumerate(own)], empty.alias("__hit"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"__t{i}") for i, t in enumerate(ties)])
+    none = [F.lit(None).cast(left.schema[c].dataType).alias(f"__l{i}") for i, c in enumerate(own)]
+    theirs = right.filter(F.col(right_on).isNotNull()).select(*by, F.col(right_on).alias("__ts"), F.lit(1).alias("__side"), *none, payload.alias("__hit"), *[F.col(t).alias(f"__t{i}") for i, t in enumerate(ties)])
     return mine.unionByName(theirs)
 
 
@@ -138,15 +147,16 @@ def _nearest(both: DataFrame, by: list[str], ties: list[str], forward: bool) ->
     pieces = both.withColumn("__month", F.trunc(F.col("__ts").cast("date"), "month"))
     edge = (Window.currentRow, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, Window.currentRow)
     pick = F.first if forward else F.last
-    within = Window.partitionBy(*by, "__month").orderBy(*_ordered(ties)).rowsBetween(*edge)
-    near = pieces.withColumn("__near", pick("__hit", ignorenulls=True).over(within))
-    order = F.struct(*_ordered(ties))
-    ends = pieces.groupBy(*by, "__month").agg((F.min_by if forward else F.max_by)("__hit", F.when(F.col("__hit").isNotNull(), order)).alias("__end"))
+    within = Window.partitionBy(*by, "__month").orderBy(*_ordered(ties))
+    near = pieces.withColumn("__near", pick("__hit", ignorenulls=True).over(within.rowsBetween(*edge)))
+    # What a month carries over is what its outermost row finds: the same shuffle and sort as for all its rows.
+    outermost = (F.lag if forward else F.lead)(F.lit(1)).over(within).isNull()
+    ends = near.withColumn("__outermost", outermost).filter("__outermost").select(*by, "__month", F.col("__near").alias("__end"))
     beyond = (1, Window.unboundedFollowing) if forward else (Window.unboundedPreceding, -1)
     carried = ends.withColumn("__far", pick("__end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("__month").rowsBetween(*beyond)))
-    keys = [near[k].eqNullSafe(carried[k]) for k in (*by, "__month")]
-    joined = near.join(carried.select(*by, "__month", "__far"), keys, "left")
-    return joined.select(*[near[c] for c in near.columns if c not in ("__near", "__month")], F.coalesce("__near", "__far").alias("__found"))
+    keys = [F.col(f"n.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*by, "__month")]
+    joined = near.alias("n").join(carried.select(*by, "__month", "__far").alias("c"), keys, "left")
+    return joined.select(*[F.col(f"n.{c}") for c in near.columns if c not in ("__near", "__month")], F.coalesce("__near", "__far").alias("__found"))
 
 
 def asof_backward(
@@ -158,7 +168,7 @@ def asof_backward(
     of exactly the tolerance matches.
     """
     both = _nearest(_interleaved(left, right, by, on, right_on, values, list(ties)), by, list(ties), forward=False)
-    return _matched(both, left, on, values, lambda ts, at: F.lit(True) if tolerance_days is None else ts <= at + F.expr(f"interval {tolerance_days} days"))
+    return _matched(both, left, _carried(left, right, by, on, right_on), on, values, lambda ts, at: F.lit(True) if tolerance_days is None else ts <= at + F.expr(f"interval {tolerance_days} days"))
 
 
 def asof_forward(
@@ -166,13 +176,13 @@ def asof_forward(
 ) -> DataFrame:
     """Left rows with ``values`` of the first right row at or after them (first of equals by ``ties``)."""
     both = _nearest(_interleaved(left, right, by, on, right_on, values, list(ties)), by, list(ties), forward=True)
-    return _matched(both, left, on, values, lambda ts, at: F.lit(True))
+    return _matched(both, left, _carried(left, right, by, on, right_on), on, values, lambda ts, at: F.lit(True))
 
 
-def _matched(rows: DataFrame, left: DataFrame, on: str, values: list[str], near) -> DataFrame:
+def _matched(rows: DataFrame, left: DataFrame, own: list[str], on: str, values: list[str], near) -> DataFrame:
     kept = rows.filter("__side = 0")
     ok = F.col("__found").isNotNull() & F.col("__ts").isNotNull() & near(F.col("__ts"), F.col("__found")["__at"])
-    mine = [F.col("__row")[c].alias(c) for c in left.columns]
+    mine = [F.col(f"__l{own.index(c)}" if c in own else "__ts" if c == on else c).alias(c) for c in left.columns]
     return kept.select(*mine, *[F.when(ok, F.col("__found")[v]).alias(v) for v in values])
 
 
