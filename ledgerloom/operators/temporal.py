@@ -193,6 +193,29 @@ def assign_to_period(events: DataFrame, periods: DataFrame, by: list[str], day:
     return found.withColumns({k: F.when(inside, F.col(k)) for k in keys}).drop(start)
 
 
+def assign_in_one_sweep(events: DataFrame, by: list[str], day: str, windows: dict[str, DataFrame]) -> DataFrame:
+    """Give events, for each kind of windows, a struct of the keys of the window (start, end] that holds their day; NULL outside of all.
+
+    ``windows``: by kind, the columns ``by``, start, end and keys.  What a day
+    finds is what ``assign_to_period`` finds for each kind alone: the first end
+    at or after it, the least start of equals.  Events and windows of all kinds
+    are shuffled and sorted once, by key and not by month, so events are to come
+    summed up by key and day: then no key has more rows than days and windows.
+    """
+    rows = events.select(*[c for c in events.columns if c != day], F.col(day).alias("__ts"), F.lit(0).alias("__side"))
+    for kind, of in windows.items():
+        keys = [c for c in of.columns if c not in (*by, "end")]  # the start is the first
+        hits = of.filter("end IS NOT NULL").select(*by, F.col("end").alias("__ts"), F.lit(1).alias("__side"), F.col("start").alias("__start"), F.struct(*keys).alias(f"__{kind}"))
+        rows = rows.unionByName(hits, allowMissingColumns=True)
+    # Latest first, so that the frame only grows; the exact reverse of by time, events before ends, by start.
+    seen = Window.partitionBy(*by).orderBy(F.desc("__ts"), F.desc("__side"), F.desc("__start")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumns({f"__{kind}": F.last(f"__{kind}", ignorenulls=True).over(seen) for kind in windows}).filter("__side = 0")
+    picked = {kind: F.struct(*[F.col(f"__{kind}")[c].alias(c) for c in of.columns if c not in (*by, "start", "end")]) for kind, of in windows.items()}
+    inside = lambda kind: F.col("__ts") > F.col(f"__{kind}")["start"]
+    own = [F.col("__ts").cast(events.schema[day].dataType).alias(day) if c == day else F.col(c) for c in events.columns]
+    return found.select(*own, *[F.when(inside(kind), keys).alias(kind) for kind, keys in picked.items()])
+
+
 def half_open_pick(rows: DataFrame, windows: DataFrame, key: str, day: str, start: str, end: str, position: str, values: list[str], row_id: str) -> DataFrame:
     """Left join to the first window [start, end) by ``position`` that holds the day; an open end is NULL.
 
@@ -206,11 +229,21 @@ def half_open_pick(rows: DataFrame, windows: DataFrame, key: str, day: str, star
     return best.select(*[F.col("__row")[c].alias(c) for c in rows.columns], *[F.col("__v")[v].alias(v) for v in values])
 
 
-def period_starts(rows: DataFrame, by: list[str], end: str, order: list[str], most_gap: int, months_back: int, name: str = "period_start") -> DataFrame:
-    """The previous end of the entity if the gap is 1..most_gap days, else ``months_back`` months before the end."""
-    previous = F.lag(end).over(Window.partitionBy(*by).orderBy(end, *order))
+def period_starts(
+    rows: DataFrame, by: list[str], end: str, order: list[str], most_gap: int, months_back: int, name: str = "period_start", among: Column | None = None
+) -> DataFrame:
+    """The previous end of the entity if the gap is 1..most_gap days, else ``months_back`` months before the end.
+
+    With ``among`` only such rows have starts and count as previous ones.
+    """
+    window = Window.partitionBy(*by).orderBy(end, *order)
+    if among is None:
+        previous = F.lag(end).over(window)
+    else:
+        previous = F.last(F.when(among, F.col(end)), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, -1))
     gap = F.datediff(F.col(end), previous)
-    return rows.withColumn(name, F.when(gap.between(1, most_gap), previous).otherwise(F.add_months(end, -months_back)))
+    start = F.when(gap.between(1, most_gap), previous).otherwise(F.add_months(end, -months_back))
+    return rows.withColumn(name, start if among is None else F.when(among, start))
 
 
 def reporting_periods(filings: DataFrame, firm: str = "gvkey", filed: str = "filing_date", reported: str = "report_date", trigger_days: int = 8, lead_days: int = 20, most_gap: int = 120) -> DataFrame:
@@ -224,10 +257,9 @@ def reporting_periods(filings: DataFrame, firm: str = "gvkey", filed: str = "fil
     imputed = F.col(reported).isNull() | near
     marked = filings.withColumns({"period_end_imputed": imputed, "__end": F.when(~imputed, F.col(reported))})
     snapped = nearest_month_end(F.col("__end"))
-    # The most frequent month mod 3 among reliable ends, the least of equals; 0 without any.
-    cycle = F.mode(F.month(snapped) % 3, deterministic=True)
-    cycles = marked.filter("__end IS NOT NULL").groupBy(firm).agg(cycle.alias("__cycle"))
-    joined = marked.join(cycles, firm, "left").withColumn("__cycle", F.coalesce("__cycle", F.lit(0)))
+    # The most frequent month mod 3 among reliable ends, the least of equals; 0 without any. The firm's rows are in one place for their starts anyway.
+    cycle = F.mode(F.month(snapped) % 3, deterministic=True).over(Window.partitionBy(firm))
+    joined = marked.withColumn("__cycle", F.coalesce(F.when(F.col(firm).isNotNull(), cycle), F.lit(0)))
     end = F.coalesce("__end", cycle_month_end(F.col(filed), F.col("__cycle"), lead_days))
     ended = joined.withColumn("period_end", end)
     label = nearest_month_end(F.col("period_end"))
@@ -235,6 +267,11 @@ def reporting_periods(filings: DataFrame, firm: str = "gvkey", filed: str = "fil
     return period_starts(labelled, [firm], "period_end", [filed], most_gap, 3).drop("__end", "__cycle")
 
 
+def with_fiscal_starts(filings: DataFrame, annual: Column, firm: str = "gvkey", end: str = "period_end", filed: str = "filing_date", most_gap: int = 400) -> DataFrame:
+    """All filings, the annual ones with ``fy_start`` as by ``fiscal_windows``."""
+    return period_starts(filings, [firm], end, [filed], most_gap, 12, "fy_start", annual)
+
+
 def fiscal_windows(annual: DataFrame, firm: str = "gvkey", end: str = "period_end", filed: str = "filing_date", most_gap: int = 400) -> DataFrame:
     """Fiscal-year windows (fy_start, period_end] of annual filings."""
     return period_starts(annual, [firm], end, [filed], most_gap, 12, "fy_start")

@@ -192,9 +192,40 @@ def score_filings(filings: DataFrame, text: str = "text") -> DataFrame:
 KEY = ["gvkey", "reporting_year", "reporting_quarter"]
 
 
-def _placed(book: checks.Reconciliation, rows: DataFrame, branch: str, day: str, n: Column) -> DataFrame:
+def _sweep(book: checks.Reconciliation, filings: DataFrame, branches: list[tuple[str, DataFrame, str, dict[str, str]]]) -> tuple[DataFrame, list[str]]:
+    """Sums by filing of the branches' rows in its period and, as fy_n_..., in its fiscal year; and the names of the sums of periods.
+
+    ``branches``: (branch, rows by firm and day, day, {column: name of its sum}),
+    the first column being how many events a row stands for.  All branches go
+    through one sweep over the firms' days, a row with a number for its branch
+    and the columns in slots, and become columns where they are summed up.
+    """
+    tall = None
+    for i, (_, rows, day, names) in enumerate(branches):
+        part = rows.select("gvkey", F.col(day).alias("day"), F.lit(i).alias("branch"), *[F.col(c).alias(f"m{j}") for j, c in enumerate(names)])
+        tall = part if tall is None else tall.unionByName(part, allowMissingColumns=True)
+    period = filings.select(*KEY, F.col("period_start").alias("start"), F.col("period_end").alias("end"))
+    year = filings.filter("fy_start IS NOT NULL").select(*KEY, F.col("fy_start").alias("start"), F.col("period_end").alias("end"))
+    found = temporal.assign_in_one_sweep(tall, ["gvkey"], "day", {"quarter": period, "year": year})
+    slots = {name: (i, f"m{j}") for i, (_, _, _, names) in enumerate(branches) for j, name in enumerate(names.values())}
+    sums = [F.coalesce(F.sum(F.when(F.col("branch") == i, F.col(m))), F.lit(0)).alias(name) for name, (i, m) in slots.items()]
+    # Still by firm, so neither this aggregation nor the next one shuffles.
+    placed = found.groupBy("gvkey", "quarter", "year", F.col("day").isNotNull().alias("dated")).agg(*sums)
+    sizes = {branch: next(iter(names.values())) for branch, _, _, names in branches}
+    for branch, n in sizes.items():
+        placed = _placed(book, placed, branch, F.col(n))
+    yearly = {n: f"fy_{n}" for branch, n in sizes.items() if branch != "reports"}
+    none = F.lit(0).cast("bigint")
+    of_period = F.struct("quarter.*", *slots, *[none.alias(n) for n in yearly.values()])
+    of_year = F.struct("year.*", *[none.alias(n) for n in slots], *[F.col(n).alias(fy) for n, fy in yearly.items()])
+    both = placed.select("gvkey", F.inline(F.array(of_period, of_year)))
+    return panel.counts_by_key(both, KEY, {n: n for n in (*slots, *yearly.values())}), list(slots)
+
+
+def _placed(book: checks.Reconciliation, rows: DataFrame, branch: str, n: Column) -> DataFrame:
     """Events with their periods, under observation: how many came, found a period, lie outside of all, have no date."""
-    found, known = F.col("reporting_year").isNotNull(), F.col(day).isNotNull()
+    known = F.col("dated")
+    found = F.col("gvkey").isNotNull() & F.coalesce(F.col("quarter.reporting_year").isNotNull() & F.col("quarter.reporting_quarter").isNotNull(), F.lit(False))
     part = lambda which: F.sum(F.when(which, n).otherwise(0))
     book.law(f"{branch} came and found", lambda t: t[branch + "_in"]["n"], lambda t: sum(t[branch].values()))
     return book.watch(rows, branch, assigned=part(found), outside=part(~found & known), undated=part(~found & ~known))
@@ -217,30 +248,27 @@ def combine(
     assigned, outside of all periods or without a date, each one assigned is
     counted at one filing, and no filing is lost or doubled.
 
-    Every branch needs the periods, so filings are written once: texts are not
-    scored again for each branch, nor planned again.
+    Filings are written once, with their fiscal years and whether the firm was
+    active: texts are not scored again, and what is joined by other keys is
+    joined while filings are narrow.  Events of all types and reports find
+    both their period and their fiscal year in one sweep, and the sums meet the
+    filings in one join.
     """
     book = book or checks.Reconciliation()
-    filings = checks.unique(settled(filings), KEY)
-    periods = filings.select(*KEY, "period_start", "period_end")
-    extra = {"recall": {"class_i": "n_recall_class_i", "class_ii": "n_recall_class_ii", "class_iii": "n_recall_class_iii"}, "adverse_event": {"tier_a": "n_mdr_tier_a", "tier_b": "n_mdr_tier_b"}}
-    years = temporal.fiscal_windows(filings.filter("form = '10-K'")).select("gvkey", "accession", "fy_start", F.col("period_end").alias("fy_end"))
-    out = book.watch(filings, "filings_in", n=F.count(F.lit(1))).join(years.select("accession", "fy_start"), "accession", "left")
     annual, covered = F.col("form") == "10-K", F.lit(letters_since).cast("date")
-    counted: list[str] = []
+    gate = active.select("gvkey", F.col("year").alias("reporting_year"))
+    flagged = panel.active_flag(temporal.with_fiscal_starts(filings, annual), gate, ["gvkey", "reporting_year"], "compustat_active_year")
+    filings = checks.unique(settled(flagged.withColumn("compustat_active_year", F.col("compustat_active_year").cast("int"))), KEY)
+    extra = {"recall": {"class_i": "n_recall_class_i", "class_ii": "n_recall_class_ii", "class_iii": "n_recall_class_iii"}, "adverse_event": {"tier_a": "n_mdr_tier_a", "tier_b": "n_mdr_tier_b"}}
+    branches = []
     for e, rows in events.items():
         renamed = {"n": f"n_{e}"} | {k: v for k, v in extra.get(e, {}).items() if k in rows.columns}
-        came = book.watch(rows, f"{e}_in", n=F.sum("n"))
-        placed = temporal.assign_to_period(came, periods, ["gvkey"], "event_date", ["reporting_year", "reporting_quarter"])
-        out = out.join(panel.counts_by_key(_placed(book, placed, e, "event_date", F.col("n")), KEY, renamed), KEY, "left")
-        counted += renamed.values()
-        in_year = temporal.assign_to_period(rows, years, ["gvkey"], "event_date", ["accession"], "fy_start", "fy_end")
-        out = out.join(panel.counts_by_key(in_year, ["accession"], {"n": f"fy_n_{e}"}), "accession", "left")
-    came = book.watch(reports, "reports_in", n=F.count(F.lit(1)))
-    placed = _placed(book, temporal.assign_to_period(came, periods, ["gvkey"], "file_date", ["reporting_year", "reporting_quarter"]), "reports", "file_date", F.lit(1))
-    flags = {f"flag_{e}": f"n_8k_{e}" for e in events} | {"__one": "n_8k_any_event"}
-    out = out.join(panel.counts_by_key(placed.withColumn("__one", F.lit(1)), KEY, flags), KEY, "left")
-    counted += flags.values()
+        branches.append((e, book.watch(rows, f"{e}_in", n=F.sum("n")), "event_date", renamed))
+    flags = {"__one": "n_8k_any_event"} | {f"flag_{e}": f"n_8k_{e}" for e in events}
+    came = book.watch(reports, "reports_in", n=F.count(F.lit(1))).withColumn("__one", F.lit(1))
+    branches.append(("reports", came.groupBy("gvkey", "file_date").agg(*[F.sum(c).alias(c) for c in flags]), "file_date", flags))
+    sums, counted = _sweep(book, filings, branches)
+    out = book.watch(filings, "filings_in", n=F.count(F.lit(1))).join(sums, KEY, "left")
     out = out.na.fill(0, counted)  # a filing without events has true zeros
     new = {f"event_{e}": (F.col(f"n_{e}") > 0).cast("int") for e in events} | {f"has_8k_{e}": (F.col(f"n_8k_{e}") > 0).cast("int") for e in events}
     new |= {f"fy_n_{e}": F.when(annual, F.coalesce(f"fy_n_{e}", F.lit(0))) for e in events}
@@ -249,14 +277,11 @@ def combine(
     new |= {f"mda_{e}_substantive_flag": (F.col(f"mda_{e}_substantive") > 0).cast("int") for e in events if f"mda_{e}_substantive" in filings.columns}
     out = out.withColumns(new).withColumns({f"fy_event_{e}": (F.col(f"fy_n_{e}") > 0).cast("int") for e in events})
     out = out.withColumns({"event_any": panel.any_flag(*[f"event_{e}" for e in events]), "event_letter_or_recall": panel.any_flag("event_warning_letter", "event_recall")})
-    gate = active.select("gvkey", F.col("year").alias("reporting_year"))
-    flagged = panel.active_flag(out, gate, ["gvkey", "reporting_year"], "compustat_active_year")
-    whole = flagged.withColumn("compustat_active_year", F.col("compustat_active_year").cast("int"))
     counts = {e: f"n_{e}" for e in events} | {"reports": "n_8k_any_event"}
     book.law("filings in and out", lambda t: t["filings_in"]["n"], lambda t: t["filings"]["n"])
     for branch in counts:
         book.law(f"{branch} assigned and counted", lambda t, b=branch: t[b]["assigned"], lambda t, b=branch: t["filings"][b])
-    return book.watch(whole, "filings", n=F.count(F.lit(1)), **{branch: F.sum(c) for branch, c in counts.items()})
+    return book.watch(out, "filings", n=F.count(F.lit(1)), **{branch: F.sum(c) for branch, c in counts.items()})
 
 
 def combined_shares(combined: DataFrame) -> DataFrame:

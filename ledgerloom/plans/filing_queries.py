@@ -57,9 +57,9 @@ def _combined(spark: SparkSession, sf: str, book: checks.Reconciliation | None =
     text = filed.withColumn("doc_id", F.col("gvkey") * 2 + F.when(F.col("form") == "10-Q", 1).otherwise(0))
     scored = text.join(scores, "doc_id", "left").drop("doc_id").na.fill(0)
     filings = temporal.reporting_periods(scored)
-    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linenumber", "l_quantity", D("l_shipdate").alias("shipped"))
-    shipped = F.when(F.col("l_linenumber") != 7, F.col("shipped"))  # the day of the seventh line is unknown
-    e = l.join(o.select("o_orderkey", "gvkey"), "o_orderkey").withColumn("event_date", shipped)
+    shipped = F.when(F.col("l_linenumber") != 7, D("l_shipdate"))  # the day of the seventh line is unknown
+    l = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_quantity", shipped.alias("event_date"))
+    e = l.join(o.select("o_orderkey", "gvkey"), "o_orderkey")
     q = F.col("l_quantity")
     events = {
         "warning_letter": _counted(e.filter("l_returnflag = 'R'"), {}),
