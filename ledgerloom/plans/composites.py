@@ -208,25 +208,22 @@ def _sweep(book: checks.Reconciliation, filings: DataFrame, branches: list[tuple
     year = filings.filter("fy_start IS NOT NULL").select(*KEY, F.col("fy_start").alias("start"), F.col("period_end").alias("end"))
     found = temporal.assign_in_one_sweep(tall, ["gvkey"], "day", {"quarter": period, "year": year})
     slots = {name: (i, f"m{j}") for i, (_, _, _, names) in enumerate(branches) for j, name in enumerate(names.values())}
-    sums = [F.coalesce(F.sum(F.when(F.col("branch") == i, F.col(m))), F.lit(0)).alias(name) for name, (i, m) in slots.items()]
-    # Still by firm, so neither this aggregation nor the next one shuffles.
-    placed = found.groupBy("gvkey", "quarter", "year", F.col("day").isNotNull().alias("dated")).agg(*sums)
-    sizes = {branch: next(iter(names.values())) for branch, _, _, names in branches}
-    for branch, n in sizes.items():
-        placed = _placed(book, placed, branch, F.col(n))
-    yearly = {n: f"fy_{n}" for branch, n in sizes.items() if branch != "reports"}
-    none = F.lit(0).cast("bigint")
-    of_period = F.struct("quarter.*", *slots, *[none.alias(n) for n in yearly.values()])
-    of_year = F.struct("year.*", *[none.alias(n) for n in slots], *[F.col(n).alias(fy) for n, fy in yearly.items()])
-    both = placed.select("gvkey", F.inline(F.array(of_period, of_year)))
-    return panel.counts_by_key(both, KEY, {n: n for n in (*slots, *yearly.values())}), list(slots)
+    for i, (branch, _, _, _) in enumerate(branches):
+        found = _placed(book, found, branch, F.when(F.col("branch") == i, F.col("m0")))
+    kinds = F.array(*[F.struct(f"{kind}.*", F.lit(kind == "year").alias("yearly")) for kind in ("quarter", "year")])
+    each = found.select("gvkey", "branch", *sorted({m for _, m in slots.values()}), F.inline(kinds)).filter("reporting_year IS NOT NULL")
+    of = lambda i, m, yearly: F.when((F.col("branch") == i) & (F.col("yearly") == yearly), F.col(m))
+    wide = {name: of(i, m, False) for name, (i, m) in slots.items()}
+    wide |= {f"fy_{name}": of(i, m, True) for name, (i, m) in slots.items() if m == "m0" and branches[i][0] != "reports"}
+    # Still by firm, so that this is no shuffle; aggregated once, since each aggregation holds its groups in memory.
+    return panel.counts_by_key(each.select(*KEY, *[c.alias(n) for n, c in wide.items()]), KEY, {n: n for n in wide}), list(slots)
 
 
 def _placed(book: checks.Reconciliation, rows: DataFrame, branch: str, n: Column) -> DataFrame:
     """Events with their periods, under observation: how many came, found a period, lie outside of all, have no date."""
-    known = F.col("dated")
+    known = F.col("day").isNotNull()
     found = F.col("gvkey").isNotNull() & F.coalesce(F.col("quarter.reporting_year").isNotNull() & F.col("quarter.reporting_quarter").isNotNull(), F.lit(False))
-    part = lambda which: F.sum(F.when(which, n).otherwise(0))
+    part = lambda which: F.sum(F.when(which, n))
     book.law(f"{branch} came and found", lambda t: t[branch + "_in"]["n"], lambda t: sum(t[branch].values()))
     return book.watch(rows, branch, assigned=part(found), outside=part(~found & known), undated=part(~found & ~known))
 
